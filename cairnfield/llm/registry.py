@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from cairnfield.llm.decontaminate import op8_decontaminate
+from cairnfield.llm.host_rules import op10_host_rules
+from cairnfield.llm.license import op4_license
+from cairnfield.llm.mixing import op6_mixing
 from cairnfield.llm.pii import op1_pii
+from cairnfield.llm.quality import op7_quality
+from cairnfield.llm.secret_scan import op5_secrets
 from cairnfield.llm.simhash import op2_simhash
+from cairnfield.llm.toxicity import op9_toxicity
+from cairnfield.llm.wrapper import op3_html
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash)}
+    numbered = (op1_pii, op2_simhash, op3_html, op4_license, op5_secrets, op6_mixing, op7_quality, op8_decontaminate, op9_toxicity, op10_host_rules)
+    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
