@@ -154,5 +154,5 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    found = materialize(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak"), F.col("t").alias("_t")).distinct(), "leaks")
-    return docs.join(small(found), F.col(id_col).eqNullSafe(F.col("_leak")) & (F.xxhash64(F.col(text_col)) == F.col("_t")), "left_anti")
+    found = small(materialize(matches(docs, benchmark, id_col, text_col).select("doc_id", "t").distinct(), "leaks"))
+    return docs.join(found, docs[id_col].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs[text_col]) == found["t"]), "left_anti")

@@ -199,8 +199,8 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects (predicted 0). Statistics are computed again beside the row."""
     known = training_rows(labels, "quality")
-    sample = docs.join(F.broadcast(known.select(F.col("doc_id").alias("_id"))), F.col(id_col) == F.col("_id"), "left_semi")
-    model = train(measure(sample, id_col, text_col), known)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    model = train(measure(texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
     if model is None:
         return docs
     at = docs.columns.index(text_col)

@@ -119,7 +119,10 @@ def labelled_samples(found: DataFrame, docs: DataFrame, id_col: str, text_col: s
     """(value, label): up to ``size`` values of base spans, and up to ``size`` documents' longest plain words."""
     values = found.select(F.explode("base").alias("s")).select(F.when(F.col("s.kind") == "assign", _value(F.col("s.value"))).otherwise(F.col("s.value")).alias("value"))
     random = values.distinct().orderBy(F.xxhash64("value"), "value").limit(size).withColumn("label", F.lit(1))
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("text is not null").orderBy("h").limit(size // 40)
+    # Ids are chosen before their texts are read, so no task gathers texts that are not used.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    ids = rows.select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(size // 40)
+    texts = rows.join(F.broadcast(ids), "id", "left_semi")
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z][a-z_]{5,}\b"), F.lit(0))).alias("value"))
     plain = words.where(~F.col("value").rlike(HEX)).distinct().orderBy(F.xxhash64("value"), "value").limit(size).withColumn("label", F.lit(0))
     return random.unionByName(plain)

@@ -180,5 +180,5 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays; null ids stay."""
     found = near_duplicates(docs, id_col, text_col)
-    extra = materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(extra, docs[id_col] == extra["_gone"], "left_anti")
+    extra = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return docs.join(extra, docs[id_col] == extra["doc_id"], "left_anti")

@@ -122,8 +122,9 @@ def fit(rows: list[tuple[int, str, int]], size: int) -> tuple[float, np.ndarray]
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[dict[str, float], float]:
     """Word weights and bias."""
-    known = F.broadcast(training_rows(labels, label_col, size=SAMPLE).withColumnRenamed("doc_id", "_id"))
-    sample = materialize(docs.join(known, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "y"), "training")
+    known = F.broadcast(training_rows(labels, label_col, size=SAMPLE))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = materialize(texts.join(known, "doc_id").select("text", "y"), "training")
     words = vocabulary(sample)
     index = {w: i for i, w in enumerate(words)}
     rows = sample.mapInArrow(_reduce(index), "y int, bag string").groupBy("y", "bag").count().orderBy("y", "bag").collect() if words else []
