@@ -114,3 +114,34 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:
     found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
+def _oracle() -> str:
+    space = SPACE
+    rules = {
+        "short": f"n_words < {MIN_WORDS}",
+        "repeats": f"100 * n_repeat_words > {MAX_REPEAT} * n_words",
+        "symbols": f"n_symbols > {MAX_SYMBOLS}::double * word_chars",
+        "dup_lines": f"n_dup_lines > {MAX_DUP_LINES}::double * n_lines",
+    }
+    sums = ", ".join(f"count(*) filter (where {v})::double as k_{r}" for r, v in rules.items())
+    prior = ", ".join(f"avg(k_{r} / n) as m_{r}, var_pop(k_{r} / n) as v_{r}" for r in rules)
+    strength = ", ".join(f"case when v_{r} > 1e-12 then least(10000.0::double, greatest(1.0::double, m_{r} * (1 - m_{r}) / v_{r} - 1)) else 10000.0::double end as s_{r}" for r in rules)
+    failed = " or ".join(f"(k_{r} + s_{r} * m_{r}) / (n + s_{r}) >= {HOST_LIMIT}::double" for r in rules)
+    return f"""with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
+w as (select rid, doc_id, source, regexp_extract_all(text, '[^{space}]+') as words, length(regexp_replace(text, '[{space}]+', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as lines from d),
+t as (select rid, i, words[i] || chr(31) || words[i + 1] || chr(31) || words[i + 2] as g from (select rid, words, unnest(range(1, len(words) - 1)) as i from w)),
+twice as (select rid, g from t group by rid, g having count(*) > 1),
+covered as (select rid, count(distinct pos) as n_repeat_words from (select t.rid, unnest([t.i, t.i + 1, t.i + 2]) as pos from t join twice on t.rid = twice.rid and t.g = twice.g) group by rid),
+m as (select doc_id, source, len(words)::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines)::bigint as n_lines,
+  coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join covered on w.rid = covered.rid),
+h as (select source, count(*)::double as n, {sums} from m group by source),
+p as (select *, {strength} from (select {prior} from h)),
+v as (select source as host, {failed} as host_failed from h cross join p)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules['short']} or {rules['repeats']} as base_failed,
+  not ({rules['short']} or {rules['repeats']}) and not host_failed as kept, host_failed from m join v on m.source is not distinct from v.host"""
+
+
+#: DuckDB's form of op10_host_rules.
+ORACLE_SQL = _oracle()

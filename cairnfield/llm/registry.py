@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from cairnfield.llm import host_rules
 from cairnfield.llm.decontaminate import op8_decontaminate
 from cairnfield.llm.host_rules import op10_host_rules
 from cairnfield.llm.license import op4_license
@@ -25,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op10_host_rules": host_rules.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql is not None}
