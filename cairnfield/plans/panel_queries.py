@@ -121,9 +121,10 @@ def last_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.last_active(dense(spark, sf_dir), "lr_sb")
 
 
-@query(f"with {X.SPARSE_SQL} select unit, list(distinct month_id order by month_id) as months from sparse where lr_sb > 0 group by unit")
+@query(f"with {X.SPARSE_SQL} select unit, string_agg(distinct month_id::varchar, ',' order by month_id::varchar) as months from sparse where lr_sb > 0 group by unit")
 def active_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.active_months(X.sparse_panel(spark, sf_dir), "lr_sb")
+    found = R.active_months(X.sparse_panel(spark, sf_dir), "lr_sb")
+    return found.select("unit", F.array_join(F.transform("months", lambda m: m.cast("string")), ",").alias("months"))
 
 
 @query(f"with {X.SPARSE_SQL} select min(month_id) as first, max(month_id) as last, count(distinct month_id) as months, count(distinct unit) as units from sparse")
