@@ -29,7 +29,7 @@ def run_path(root: str, run_type: str, suffix: str = ".parquet") -> str:
     """Where a run type's raw panel lies."""
     if run_type not in ("calibration", "validation", "forecasting"):
         raise ValueError(f"unknown run type {run_type!r}")
-    return f"{root.rstrip('/')}/{run_type}_viewser_df{suffix}"
+    return f"{root.rstrip('/')}/{run_type}_panel{suffix}"
 
 
 def truth(spark: SparkSession, path: str, targets: Sequence[str], months: Sequence[int] | None = None) -> DataFrame:
