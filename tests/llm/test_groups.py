@@ -130,6 +130,13 @@ def test_pages_lose_boilerplate_and_keep_their_text(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pathological_pages_take_linear_time():
+    assert wrapper.parse("<b>x" * 40_000 + "<p>y" * 40_000)
+    assert wrapper.parse("<div>" * 20_000 + "z" + "</div>" * 20_000)[-1][2] == "z"
+    labels, depths = ["r", *["p", "q"] * 4_000], [0, *[1, 2] * 4_000]
+    assert len(wrapper.simple_tree_matching(labels, depths, labels, depths)) == len(labels)
+
+
 def test_constant_blocks_become_template_but_copies_do_not(spark):
     box = "<p>Read more on our channel</p>"
     rows = [(i, f"http://h.x/{i}", page(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
