@@ -22,7 +22,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -117,10 +116,10 @@ def _emit(buckets: int):
     return run
 
 
-def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+def _meet(rows: pa.Table) -> pa.Table:
     """Verified links between fingerprints that share a variant: a star for each variant, each link once."""
-    variants = np.frombuffer(b"".join(rows["variants"]), np.uint64)
-    masks = np.frombuffer(b"".join(rows["masks"]), np.uint16)
+    variants = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("variants")), np.uint64)
+    masks = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("masks")), np.uint16)
     order = np.argsort(variants, kind="stable")
     variants, masks = variants[order], masks[order]
     first = np.flatnonzero(np.append(True, variants[1:] != variants[:-1])) if len(variants) else np.zeros(0, np.int64)
@@ -129,7 +128,7 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     variants, masks = variants[shared], masks[shared]
     size = size[size > 1]
     if not len(size):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     first = np.cumsum(size) - size
     fps = variants ^ _MASKS[masks]
     near = masks < _EVEN
@@ -140,7 +139,7 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     a, b = centres[use], fps[use]
     ok = (a != b) & (_popcount(a ^ b) <= RADIUS)
     pairs = np.unique(np.stack([a[ok], b[ok]], 1), axis=0).view(np.int64) if ok.any() else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def links(fps: DataFrame) -> DataFrame:
     # Few fingerprints fit in one file split, but their variants do not: deal them out first.
     spread = fps.select("fp").repartition(max(6, -(-n // 20_000)))
     blocks = spread.mapInArrow(_emit(buckets), "bucket int, variants binary, masks binary")
-    return blocks.groupBy("bucket").applyInPandas(_meet, "a long, b long")
+    return blocks.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
