@@ -11,6 +11,7 @@ from cairnfield.operators import origins as O
 from cairnfield.operators import panel as P
 from cairnfield.operators import scores as S
 from cairnfield.sources import fixtures as X
+from cairnfield.sources import work
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,11 @@ def cells(spark: SparkSession, sf_dir: str, horizons=X.HORIZONS, arms=X.ARMS) ->
     return S.cell_scores(scored(spark, sf_dir, horizons, arms), "gate")
 
 
+def cells_table(spark: SparkSession, sf_dir: str, horizons=X.HORIZONS, arms=X.ARMS) -> DataFrame:
+    """Cell scores computed once, for queries that use them in several branches."""
+    return work.table(cells(spark, sf_dir, horizons, arms), "cells")
+
+
 def cells_sql(horizons=X.HORIZONS, arms=X.ARMS) -> str:
     return f"""{X.preds_sql(horizons, arms)},
 cells as (select arm, target, m0, h, month_id, unit, y, gate, gate as p, {X.MEAN_SQL} as ey, {X.CRPS_SQL} as crps from preds)"""

@@ -14,7 +14,7 @@ from cairnfield.operators import origins as O
 from cairnfield.operators import rollout as RO
 from cairnfield.operators import scores as S
 from cairnfield.operators import verdicts as V
-from cairnfield.plans.base import BOARD_SQL, ap_sql, cells, cells_sql, dense, origins, q6, query, r6, rounded, scored, store, truth
+from cairnfield.plans.base import BOARD_SQL, ap_sql, cells, cells_sql, cells_table, dense, origins, q6, query, r6, rounded, scored, store, truth
 from cairnfield.plans.panel_queries import _PARAMS_SQL, params
 from cairnfield.sources import fixtures as X
 
@@ -32,14 +32,14 @@ board as (select arm, target, {BOARD_SQL} from cells group by arm, target)
 select b.*, {q6('ap.ap')} as ap from board b left join ap on b.arm = ap.arm and b.target = ap.target""")
 def board_t0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: first-month scores of every arm and target."""
-    return rounded(_with_ap(cells(spark, sf_dir, T0), AT))
+    return rounded(_with_ap(cells_table(spark, sf_dir, T0), AT))
 
 
 @query(f"""with {cells_sql()}, {ap_sql('arm, target, h')},
 board as (select arm, target, h, {BOARD_SQL} from cells group by arm, target, h)
 select b.*, {q6('ap.ap')} as ap from board b left join ap on b.arm = ap.arm and b.target = ap.target and b.h = ap.h""")
 def board_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_with_ap(cells(spark, sf_dir), ATH))
+    return rounded(_with_ap(cells_table(spark, sf_dir), ATH))
 
 
 @query(f"""with {X.preds_sql(T0)},
@@ -102,12 +102,12 @@ parts as (select a.target, a.h, a.crps_all - b.crps_all as gap, (1 - a.n_event /
 select 'A' as arm, target, h, {q6('gap')} as gap, {q6('zero_part')} as zero_part, {q6('event_part')} as event_part,
   {q6('case when gap <> 0 then zero_part / gap end')} as zero_share, {q6('gap - zero_part - event_part')} as residual, {q6('skill')} as skill from parts""")
 def gap_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.gap_decomposition(S.board(cells(spark, sf_dir), ATH), "B"))
+    return rounded(V.gap_decomposition(S.board(cells_table(spark, sf_dir), ATH), "B"))
 
 
 @query(f"""with {cells_sql()}, {_GAP_SQL} select count(*) as rows, {q6('max(abs(gap - zero_part - event_part))')} as worst, count(*) filter (where not abs(gap - zero_part - event_part) < 1e-9) = 0 as holds from parts""")
 def identity_falsifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.identity_falsifier(V.gap_decomposition(S.board(cells(spark, sf_dir), ATH), "B")))
+    return rounded(V.identity_falsifier(V.gap_decomposition(S.board(cells_table(spark, sf_dir), ATH), "B")))
 
 
 _PAIRS_SQL = """pairs as (select a.target, a.m0, a.h, a.unit, a.crps - b.crps as d from cells a join cells b
@@ -156,13 +156,13 @@ REPS = 200
 
 @query(f"""with {cells_sql()}, {_PAIRS_SQL}, {_block_sql('pairs', 'target, h', REPS, 0.9, 'block')} select target, h, n, blocks, {_out('mean low high p')} from block""")
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.paired_differences(cells(spark, sf_dir), "A", "B")
+    d = I.paired_differences(cells_table(spark, sf_dir), "A", "B")
     return rounded(I.block_bootstrap(d, ["target", "h"], block="m0", replicates=REPS, level=0.9, seed="block"))
 
 
 @query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], 50, 0.95, 'iid')} select target, n, {_out('mean low high p')} from iid""")
 def iid_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.paired_differences(cells(spark, sf_dir, T0), "A", "B")
+    d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
     return rounded(I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=50, level=0.95, seed="iid"))
 
 
@@ -170,7 +170,7 @@ def iid_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 select b.target, {q6('(b.high - b.low) / 2')} as block_half, {q6('(i.high - i.low) / 2')} as iid_half, {q6('case when i.high > i.low then ((b.high - b.low) / 2) / ((i.high - i.low) / 2) end')} as inflation
 from block b join iid i on b.target = i.target""")
 def minimum_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.paired_differences(cells(spark, sf_dir, T0), "A", "B")
+    d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
     block = I.block_bootstrap(d, ["target"], block="m0", replicates=REPS, level=0.9, seed="block")
     iid = I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=50, level=0.9, seed="iid")
     return rounded(I.minimum_effect(block, iid, ["target"]))
@@ -180,7 +180,7 @@ def minimum_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 active as (select p.* from pairs p join support s on p.m0 = s.m0 and p.unit = s.unit and p.target = s.target where s.active),
 {_block_sql('active', 'target, h', REPS, 0.95, 'stratum')} select target, h, n, blocks, {_out('mean low high p')} from block""")
 def stratified_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.paired_differences(cells(spark, sf_dir), "A", "B")
+    d = I.paired_differences(cells_table(spark, sf_dir), "A", "B")
     strata = O.risk_stratum(truth(spark, sf_dir), origins(spark))
     return rounded(I.stratified_test(d, strata, ["target", "h"], replicates=REPS, seed="stratum"))
 
@@ -191,12 +191,12 @@ s as (select target, count(*) as n, sum(case when d > 0 then r when d = 0 then r
 t as (select target, sum(t * t * t - t) as tie from (select target, a, count(*) as t from ranked where a > 0 group by target, a) group by target)
 select s.target, n, w_plus, {q6("(w_plus - n::double * (n + 1) / 4) / sqrt((n::double * (n + 1) * (2 * n + 1) - m0 * (m0 + 1) * (2 * m0 + 1) - coalesce(tie, 0) / 2) / 24)")} as z from s left join t on s.target = t.target""")
 def signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.signed_ranks(I.paired_differences(cells(spark, sf_dir, T0), "A", "B"), ["target"]))
+    return rounded(I.signed_ranks(I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B"), ["target"]))
 
 
 @query()
 def paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.paired_differences(cells(spark, sf_dir, T0), "A", "B")
+    d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
     return I.paired_significance(d, ["target"], key=["target", "m0", "unit"], replicates=50, seed="iid")
 
 
@@ -206,7 +206,7 @@ select p.target, p.h, {q6('case when gap <> 0 then zero_part / gap end')} as zer
 from parts p join ap x on x.target = p.target and x.h = p.h and x.arm = 'A' join ap y on y.target = p.target and y.h = p.h and y.arm = 'B' join block b on b.target = p.target and b.h = p.h""")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support, cell scores, decomposition, interval and verdict in one plan."""
-    c = cells(spark, sf_dir)
+    c = cells_table(spark, sf_dir)
     parts = V.gap_decomposition(S.board(c, ATH), "B").drop("arm")
     ap = S.average_precision(c, ATH)
     th = ["target", "h"]
@@ -296,7 +296,7 @@ select c.arm, c.target, count(*) as n, {q6('max(m)')} as ratio_med, {q6('avg(cas
   {q6('avg(case when ey / y / (case when m > 0 then m else 1.0::double end) between 0.5 and 2 then 1.0::double else 0.0::double end)')} as rescaled
 from cells c join med on c.arm = med.arm and c.target = med.target where y > 0 group by 1, 2""")
 def within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.within_two(cells(spark, sf_dir), AT))
+    return rounded(S.within_two(cells_table(spark, sf_dir), AT))
 
 
 @query(f"""with {cells_sql()},
@@ -390,7 +390,7 @@ z as (select c.arm, c.target, gate as pi, ey / greatest(gate, 1e-4::double) as b
 s as (select arm, target, avg(pi * body) as leak, avg(pi * body - least(pi, rho) * body) as by_gate, avg(pi * body - pi * least(body, m)) as by_body from z group by 1, 2)
 select arm, target, {_out('leak by_gate by_body')}, {q6('case when by_gate + by_body <> 0 then by_gate / (by_gate + by_body) end')} as gate_share, case when by_gate >= by_body then 'gate' else 'body' end as dominant from s""")
 def hurdle_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.hurdle_attribution(cells(spark, sf_dir), AT))
+    return rounded(S.hurdle_attribution(cells_table(spark, sf_dir), AT))
 
 
 @query(f"""with {cells_sql()}, e as (select arm, target, y, gate as pi, ey / greatest(gate, 1e-4::double) as body from cells where y > 0)
@@ -444,20 +444,20 @@ b as (select arm, target, avg(crps) as crps_all, avg(ey) filter (where y <= 0) a
 w as (select b.arm, max(mcr_all) as mcr, max(crps_none) as leak, max(crps_all) as crps, min(ap) as ap from b join ap on b.arm = ap.arm and b.target = ap.target group by 1)
 select arm, mcr > 1e7 as k1, leak > 0.1 as k2, crps <= 0.6 as s1, coalesce(ap >= 0.3, false) as s2, case when mcr > 1e7 or leak > 0.1 then 'KILL' when crps <= 0.6 and coalesce(ap >= 0.3, false) then 'SURVIVE' else 'HOLD' end as outcome from w""")
 def screen_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.screen(_with_ap(cells(spark, sf_dir, T0), AT), {"k1": 1e7, "k2": 0.10, "crps": 0.60, "ap": 0.30})
+    return V.screen(_with_ap(cells_table(spark, sf_dir, T0), AT), {"k1": 1e7, "k2": 0.10, "crps": 0.60, "ap": 0.30})
 
 
 @query(f"""with {cells_sql()}, b as (select arm, target, h, avg(crps) filter (where y <= 0) as none, avg(ey) as m from cells group by 1, 2, 3)
 select arm, {q6('max(none)')} as worst_none, {q6('max(m)')} as worst_mean, max(none) > 0.5 or max(m) > 5 as bloomed from b group by 1""")
 def bloom_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
+    c = cells_table(spark, sf_dir)
     return rounded(V.bloom(S.board(c, ATH), S.trajectory(c, ATH)))
 
 
 @query(f"""with {cells_sql(T0)}, b as (select arm, target, avg(crps) as crps_all, avg((p - case when y > 0 then 1.0::double else 0.0::double end) ** 2) as brier, sum(ey) / sum(y) as mcr from cells group by 1, 2)
 select a.arm, a.target, coalesce(a.crps_all <= 0.95::double * r.crps_all and a.brier <= 1.01::double * r.brier and abs(a.mcr - 1) < abs(r.mcr - 1), false) as eligible from b a join b r on a.target = r.target and r.arm = 'B' and a.arm <> 'B'""")
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.eligibility(S.board(cells(spark, sf_dir, T0), AT), "B")
+    return V.eligibility(S.board(cells_table(spark, sf_dir, T0), AT), "B")
 
 
 _GPD_SQL = "case when sigma <> 0 then least(1.0, greatest(0.0, case when abs(gamma) < 1e-9 then 1 - exp(-v / sigma) else 1 - case when 1 + gamma * v / sigma > 0 then (1 + gamma * v / sigma) ** (-1 / gamma) else 0.0 end end)) end"
@@ -476,7 +476,7 @@ om as (select target, u, gamma, side, m, 1 / (12 * m) + sum(({_GPD_SQL} - (2 * i
 wide as (select target, u, gamma, max(m) filter (where side = 'model') as m_model, max(omega) filter (where side = 'model') as o_model, max(m) filter (where side = 'ref') as m_ref, max(omega) filter (where side = 'ref') as o_ref from om group by 1, 2, 3)
 select target, {q6('u')} as u, coalesce(m_model, 0) as n_model, coalesce(m_ref, 0) as n_ref, {q6('gamma')} as gamma, {q6('case when coalesce(m_model, 0) >= 20 and coalesce(m_ref, 0) >= 20 and o_model > 0 then 1 - o_ref / o_model end')} as index, gamma > 0.9 as ceiling from wide""")
 def tail_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
+    c = cells_table(spark, sf_dir)
     key = ["target", "m0", "h", "unit"]
     pairs = c.where("arm = 'A'").select(*key, F.col("crps").alias("crps_model")).join(c.where("arm = 'B'").select(*key, F.col("crps").alias("crps_ref")), key)
     return rounded(V.tail_index(pairs, 0.9, 20))

@@ -8,20 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.plans.base import query
-from cairnfield.sources import fixtures as X
+from cairnfield.sources import work
 from cairnfield.streaming import metrics as M
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cairnfield-checkpoints"
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
-@query(f"""select cast((year(l_shipdate) - 1980) * 12 + month(l_shipdate) as integer) as lesson, l_returnflag as key, count(*) as n, sum(cast((l_quantity - 25) * (l_quantity - 25) as double)) as se,
+@query("""select cast((year(l_shipdate) - 1980) * 12 + month(l_shipdate) as integer) as lesson, l_returnflag as key, count(*) as n, sum(cast((l_quantity - 25) * (l_quantity - 25) as double)) as se,
   sum(cast(abs(l_quantity - 25) as double)) as ae, sum(25.0::double) as sh, sum(cast(l_quantity as double)) as sy from lineitem where l_shipdate is not null group by 1, 2""")
 def stream_metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lessons of a constant forecast, summed as the rows stream in; every batch replaces its groups' sums."""
-    root = _shared(spark)
+    root = f"{work.work_dir(spark)}/streams/{uuid.uuid4().hex}"
     path = f"{sf_dir}/lineitem.parquet"
     schema = spark.read.parquet(path).schema
     lines = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")
