@@ -1,41 +1,21 @@
-"""Shared helpers of the corpus operators: the work folder, tables that cut lineage, small checks."""
+"""Shared helpers of the corpus operators: sizes checked before a broadcast, held-out rows, words."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.sources.work import table as materialize
+from cairnfield.sources.work import work_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "held_out", "materialize", "shuffle_partitions", "small", "table", "work_dir"]
+
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 #: Most rows of a table that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is a local one set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/cairnfield-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
-
-    Files in the shared folder outlive any executor, unlike cached or locally checkpointed blocks.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/cairnfield/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
