@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from cairnfield.sources.work import table as materialize
 from cairnfield.sources.work import work_dir
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "held_out", "materialize", "shuffle_partitions", "small", "table", "work_dir"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "held_out", "lean_batches", "materialize", "shuffle_partitions", "small", "table", "work_dir"]
 
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 #: Most rows of a table that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
+#: Most texts in one Arrow batch.
+BATCH_ROWS = 1_000
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold BATCH_ROWS rows at most: texts are long, and a batch is in memory whole
+    on both sides of the Python worker's socket. A smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

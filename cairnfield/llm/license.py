@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.llm.common import lean_batches
+
 #: Words, before A-Z are lower-cased: the class is closed under that mapping.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -178,7 +180,7 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The score grows with the evidence: each accepted run leaves a tenth of the doubt, each base phrase a half.
     """
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
     found = only.mapInArrow(_rows, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, runs array<struct<start:long,end:long,label:string>>")
     doubt = F.pow(F.lit(0.1), F.size("runs")) * F.pow(F.lit(0.5), F.col("n_base"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import materialize
+from cairnfield.llm.common import lean_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -175,7 +175,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found): one row for each row of ``docs``, with its candidate spans and their vote patterns."""
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
     return only.mapInArrow(_scan, f"doc_id {kind}, found {_SPAN_SQL}")
 
@@ -306,4 +306,4 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
                 cols[n_chars_col] = pa.array(sizes, pa.int64()).cast(batch.schema.field(n_chars_col).type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(cover, docs.schema)
+    return lean_batches(docs).mapInArrow(cover, docs.schema)

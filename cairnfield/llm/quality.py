@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import held_out, materialize
+from cairnfield.llm.common import held_out, lean_batches, materialize
 
 SAMPLE = 40_000
 PARTS = 12
@@ -85,7 +85,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of each row's text."""
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return only.mapInArrow(_measure, f"doc_id {only.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 x = np.array([statistics(t.as_py() or "") for t in batch.column(at)])
                 yield batch.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return lean_batches(docs).mapInArrow(keep, docs.schema)

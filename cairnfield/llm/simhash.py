@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import materialize, shuffle_partitions
+from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions
 from cairnfield.llm.components import components
 
 RADIUS = 3
@@ -75,7 +75,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row for each row of ``docs``."""
-    only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    only = lean_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return only.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import held_out, materialize
+from cairnfield.llm.common import held_out, lean_batches, materialize
 from cairnfield.llm.quality import training_rows
 
 SAMPLE = 40_000
@@ -123,7 +123,7 @@ def fit(rows: list[tuple[int, str, int]], size: int) -> tuple[float, np.ndarray]
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[dict[str, float], float]:
     """Word weights and bias."""
     known = F.broadcast(training_rows(labels, label_col, size=SAMPLE))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = materialize(texts.join(known, "doc_id").select("text", "y"), "training")
     words = vocabulary(sample)
     index = {w: i for i, w in enumerate(words)}
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 names=["doc_id", "score", "predicted", "n_sentences", "offending"],
             )
 
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
     scored = only.mapInArrow(apply, f"doc_id {kind}, score double, predicted int, n_sentences long, offending array<struct<start:int,end:int,p:double>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_sentences", "offending")
