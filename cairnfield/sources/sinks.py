@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,20 @@ def write_audit(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_manifest(spark: SparkSession, path: str, name: str, body: bytes, config: Mapping[str, object], required: Sequence[str] = ()) -> None:
+    """Appends an artifact's row (name, sha256, bytes, config as JSON) to a manifest table; ``required`` settings must be there."""
+    lacking = [k for k in required if k not in config]
+    if lacking:
+        raise ValueError(f"the configuration lacks {lacking}")
+    row = (name, hashlib.sha256(body).hexdigest(), len(body), json.dumps(config, sort_keys=True))
+    spark.createDataFrame([row], "name string, sha256 string, bytes long, config string").write.mode("append").parquet(path)
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """Adds rows of a training trajectory, one for each lesson, to a CSV folder."""
+    records.write.mode("append").option("header", True).csv(path)
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A small report table; ``limit`` rows at most."""
     rows = df.limit(limit).collect()
