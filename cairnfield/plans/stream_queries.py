@@ -30,3 +30,17 @@ def stream_metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spark.read.parquet(f"{root}/out")
     latest = done.groupBy("key", "lesson").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "se", "ae", "sh", "sy")])
     return latest
+
+
+@query("""select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events where ts is not null group by 1, 2""")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by day and type as they stream in; a window's later counts replace its earlier ones. Times are UTC, as the session is."""
+    root = f"{work.work_dir(spark)}/streams/{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/number={number}")
+
+    M.run_each_batch(M.windowed_counts(events, "ts", "event_type", "1 day", "1 day", "2 days"), keep, f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))

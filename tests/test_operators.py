@@ -222,3 +222,22 @@ def test_stream_carries_the_last_value(spark, tmp_path):
     M.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r["key"], r["at"]): r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 1): 2.0, ("a", 2): 2.0, ("b", 1): 0.0}
+
+
+def test_stream_windows_overlap_and_drop_late_rows(spark, tmp_path):
+    from cairnfield.streaming import metrics as M
+
+    src, schema = str(tmp_path / "in"), "k string, t timestamp"
+    put = lambda *times: spark.createDataFrame([("a", t) for t in times], "k string, t string").selectExpr("k", "cast(t as timestamp) as t").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: M.windowed_counts(M.read_stream(spark, src, schema, 1), "t", "k", "10 minutes", "5 minutes", "5 minutes")
+    seen = []
+    keep = lambda rows, number: seen.extend((r["start"].strftime("%H:%M"), r["n"]) for r in rows.collect())
+    put("2024-01-01 10:01:00", "2024-01-01 10:02:00")
+    M.run_each_batch(stream(), keep, str(tmp_path / "cp"))
+    assert sorted(seen) == [("09:55", 2), ("10:00", 2)]
+    put("2024-01-01 12:00:00")
+    M.run_each_batch(stream(), keep, str(tmp_path / "cp"))
+    seen.clear()
+    put("2024-01-01 10:03:00", "2024-01-01 12:01:00")
+    M.run_each_batch(stream(), keep, str(tmp_path / "cp"))
+    assert sorted(seen) == [("11:55", 2), ("12:00", 2)]
