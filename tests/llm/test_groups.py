@@ -146,6 +146,18 @@ def test_constant_blocks_become_template_but_copies_do_not(spark):
     assert all(got[100 + i] == "same\n\nevery page\n\nis a copy" for i in range(12))
 
 
+def test_template_is_found_though_the_first_pages_lack_it(spark):
+    box = "<p>Read more on our channel</p>"
+    rows = [(10 + i, f"http://h.x/{i}", page(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
+    rows += [(1, "http://h.x/null", None), (2, "http://h.x/error", "<html><body><h2>Not found</h2></body></html>")]
+    # A second layout of the host has a block of its own.
+    rows += [(50 + i, f"http://h.x/q{i}", f"<body><section><dl><dd>question {i}</dd><dd>Ask our experts</dd></dl></section></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[10 + i] == f"title {i}\n\ntext {i} first\n\ntext {i} second" for i in range(12))
+    assert all(got[50 + i] == f"question {i}" for i in range(6))
+    assert got[1] == "" and got[2] == "Not found"
+
+
 def test_simple_tree_matching_finds_the_largest_matching():
     rng = random.Random(6)
 
