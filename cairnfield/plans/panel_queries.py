@@ -196,13 +196,14 @@ def anchor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows around drawn anchors, with jitter and flips."""
+    """Windows around drawn anchors anywhere on the grid, over all months, with jitter and flips."""
     g = X.grid(spark, sf_dir)
     act = P.activity(dense(spark, sf_dir), ["lr_sb"])
     picked = P.draw_anchors(P.anchor_weights(act, "lr_sb", "power_law", 1), 8, 5)
-    side = 4
+    # The side of the square that the cells are laid on; its last row may be empty.
+    side = g.agg(F.max("col") - F.min("col") + 1).first()[0]
     corners = P.windows(g, picked, 3, side, side, 87, 310, 5)
-    return P.cut_windows(dense(spark, sf_dir).where("month_id >= 258"), corners, 3, 87, 310, seed=5).select("draw", "month_id", "unit", "dr", "dc", "lr_sb")
+    return P.cut_windows(dense(spark, sf_dir), corners, 3, 87, 310, seed=5).select("draw", "month_id", "unit", "dr", "dc", "lr_sb")
 
 
 @query(f"""with {X.DENSE_SQL}

@@ -241,3 +241,22 @@ def test_stream_windows_overlap_and_drop_late_rows(spark, tmp_path):
     put("2024-01-01 10:03:00", "2024-01-01 12:01:00")
     M.run_each_batch(stream(), keep, str(tmp_path / "cp"))
     assert sorted(seen) == [("11:55", 2), ("12:00", 2)]
+
+
+def test_anchor_windows_hold_their_anchors_on_a_larger_grid(spark, sf_dir, tmp_path):
+    from cairnfield.plans import panel_queries as Q
+    from cairnfield.plans.base import dense
+    from cairnfield.sources import fixtures as X
+
+    spark.range(90).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.withColumn("l_suppkey", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(90))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = Q.anchor_windows(spark, str(tmp_path)).collect()
+    act = P.activity(dense(spark, str(tmp_path)), ["lr_sb"])
+    picked = {r["draw"]: r["unit"] for r in P.draw_anchors(P.anchor_weights(act, "lr_sb", "power_law", 1), 8, 5).collect()}
+    place = {r["unit"]: (r["row"], r["col"]) for r in X.grid(spark, str(tmp_path)).collect()}
+    assert len(picked) == 8 and max(place[u][0] for u in picked.values()) >= 87 + 4
+    for draw, unit in picked.items():
+        mine = [r for r in rows if r["draw"] == draw]
+        assert unit in {r["unit"] for r in mine}
+        assert {r["month_id"] for r in mine} == set(range(X.MONTHS[0], X.MONTHS[1] + 1))
