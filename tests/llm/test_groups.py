@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -183,6 +184,39 @@ def test_simple_tree_matching_finds_the_largest_matching():
         assert len(m) == size(a, b) and len(set(m.values())) == len(m)
 
 
+def test_long_child_lists_are_aligned_in_the_middle():
+    a, b = ["h1", *["p"] * 70, "div.x", *["p"] * 5, "ul"], ["h1", "figure", *["p"] * 70, "div.x", *["p"] * 5, "h2", "ul"]
+    for times in (1, 30):  # 30: beyond TREE_CELLS
+        la, lb = ["r", *a * times], ["r", *b * times]
+        m = wrapper.simple_tree_matching(la, [0, *[1] * (len(la) - 1)], lb, [0, *[1] * (len(lb) - 1)])
+        assert len(m) == len(la) and all(la[x] == lb[y] for x, y in m.items())
+
+
+def test_common_sequence_is_longest(monkeypatch):
+    rng = random.Random(8)
+    for bits in (8_000_000, 20):
+        monkeypatch.setattr(wrapper, "ROW_BITS", bits)
+        for _ in range(300):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a, 1):
+                for j, y in enumerate(b, 1):
+                    w[i][j] = max(w[i - 1][j], w[i][j - 1], w[i - 1][j - 1] + (x == y))
+            got = wrapper.common_sequence(a, b)
+            assert len(got) == w[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_deep_trees_keep_their_depths():
+    chain = lambda n: (["r", *["div"] * n, "p", "ul"], [0, *range(1, n + 1), n + 1, n + 1])
+    for n in (100, 1_500, 4_000):
+        labels, depths = chain(n)
+        assert len(wrapper.simple_tree_matching(labels, depths, labels, depths)) == n + 3
+    html = "<div>" * 70 + "<section>a</section>" + "</div>" * 10 + "<section>b</section>"
+    page_of = lambda x: next(wrapper._parse_pages(iter([pa.record_batch({"i": [1], "u": ["u"], "h": [x]})])))
+    assert max(page_of(html).column("depths")[0].as_py()) == 71
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 
