@@ -1,16 +1,15 @@
-"""Benchmark decontamination by SimHash windows, with DataFrame functions only.
+"""Benchmark decontamination by item-sized windows, with DataFrame functions only.
 
-For each benchmark item a window as long as the item is laid over the document; the SimHash of the window's weighted
-shingles is looked up among the items' fingerprints in multi-index Hamming blocks, and the pairs that survive are
-verified by exact weighted-shingle similarity. Weights are how often a shingle occurs.
+For each benchmark item windows as long as the item are laid over the document and verified by exact weighted-shingle
+similarity. Weights are how often a shingle occurs. Verified windows also get the Hamming distance of their SimHash to
+the item's, which decides nothing.
 
 * Which windows. A window at similarity t or more shares a shingle with the item, and even one of the item's rarest
-  shingles whose weight is over 1 - t of the item's (prefix filter), since less than that can be missing. So only
-  windows that put such a shingle of the document where the item has it are fingerprinted. Nothing verifiable is
-  lost, and phrases common to many items cost nothing.
-* Blocks. The 64 bits are cut into 8 blocks. If two fingerprints differ in at most 15 bits, one block differs in at
-  most one bit, so items are filed under each block and its 8 one-bit variants, and windows look up their 8 blocks:
-  every pair within radius 15 is found. Five-word shingles at similarity 0.8 differ in about 10 bits.
+  shingles whose weight is over 1 - t of the item's (prefix filter), since less than that can be missing. So every
+  window that holds such a shingle of the document, wherever in the window, is compared with the items it is rare in.
+  Words may be inserted, dropped or moved before it; no window at similarity t or more is lost, and phrases common to many
+  items cost little.
+* Cost. An item of m words has up to m windows for each such shingle in a document, each compared in time m.
 
 Texts are scanned twice, once for windows and once, for the documents that have any, to fingerprint them; between the
 scans only positions are shuffled. Defined cases: null texts count as empty; items without words match nothing; items
@@ -27,8 +26,6 @@ from cairnfield.llm.common import materialize, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS = 8, 8
-RADIUS = 2 * BLOCKS - 1
 #: Words of the lower-cased text: runs of anything but ASCII punctuation, space and controls, so that punctuation hides no passage.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,25 +54,16 @@ def simhash(shingles: Column) -> Column:
 
 def _marked(shingles: Column) -> Column:
     """Repeats told apart: the set of (shingle, how many before it), so set sizes count weights."""
-    return F.transform(shingles, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(shingles, F.lit(1), i + 1), lambda x: x == h))))
-
-
-def _blocks(fp: Column, probe: bool) -> Column:
-    """array<struct(block, value)>: the blocks of a fingerprint; with ``probe`` also their one-bit variants."""
-    parts = []
-    for b in range(BLOCKS):
-        value = F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        for flip in [0, *(1 << i for i in range(BLOCK_BITS))] if probe else [0]:
-            parts.append(F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(flip)).alias("value")))
-    return F.array(*parts)
+    repeats = F.transform(shingles, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(shingles, F.lit(1), i + 1), lambda x: x == h))))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda h: F.xxhash64(h, F.lit(1)))).otherwise(repeats)
 
 
 def prepare(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, len, k, shingles, marked, fp) of every item with words; k is the length of its shingles."""
+    """(item, same, len, k, shingles, marked, fp) of every item with words; k is the length of its shingles, ``same`` hashes them."""
     words = benchmark.select(F.col(item_col).alias("item"), _words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     sized = words.select("item", F.size("w").alias("len"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
     shingles = sized.select("item", "len", "k", F.when(F.size("w") >= SHINGLE, _shingles(F.col("w"), SHINGLE)).otherwise(F.array(_whole(F.col("w")))).alias("shingles"))
-    return shingles.select("item", "len", "k", "shingles", _marked(F.col("shingles")).alias("marked"), simhash(F.col("shingles")).alias("fp"))
+    return shingles.select("item", F.xxhash64("len", "shingles").alias("same"), "len", "k", "shingles", _marked(F.col("shingles")).alias("marked"), simhash(F.col("shingles")).alias("fp"))
 
 
 def _whole(words: Column) -> Column:
@@ -88,26 +76,28 @@ def _whole(words: Column) -> Column:
 
 
 def anchors(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h, k, at, len): each item's rarest shingles, over 1 - similarity of its weight, with their first position."""
-    one = items.select("item", "len", "k", F.size("shingles").alias("total"), F.posexplode("shingles").alias("at", "h"))
-    weights = one.groupBy("item", "len", "k", "total", "h").agg(F.count("*").alias("weight"), F.min("at").alias("at"))
+    """(k, h, len, same): each item's rarest shingles, over 1 - similarity of its weight."""
+    one = items.dropDuplicates(["same"]).select("same", "len", "k", F.size("shingles").alias("total"), F.explode("shingles").alias("h"))
+    weights = one.groupBy("same", "len", "k", "total", "h").agg(F.count("*").alias("weight"))
     df = weights.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("df"))
-    known = weights.join(df, F.col("h") == F.col("h2")).select("item", "len", "k", "total", F.struct("df", "h", "at", "weight").alias("s"))
-    ordered = known.groupBy("item", "len", "k", "total").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    known = weights.join(df, F.col("h") == F.col("h2")).select("same", "len", "k", "total", F.struct("df", "h", "weight").alias("s"))
+    ordered = known.groupBy("same", "len", "k", "total").agg(F.sort_array(F.collect_list("s")).alias("s"))
     # Shingles in order of rarity until more than (1 - similarity) of the weight is taken.
-    running = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda acc, y: acc + y["weight"]).alias("before")))
-    taken = ordered.select("len", "k", "total", F.explode(running).alias("x")).where(F.col("x.before") <= (1 - similarity) * F.col("total") + 1e-9)
-    return taken.select("k", F.col("x.h").alias("h"), F.col("x.at").alias("at"), "len").distinct()
+    running = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda acc, y: acc + y["weight"]).alias("before")))
+    taken = ordered.select("same", "len", "k", "total", F.explode(running).alias("x")).where(F.col("x.before") <= (1 - similarity) * F.col("total") + 1e-9)
+    return taken.select("k", F.col("x.h").alias("h"), "len", "same")
 
 
 def windows(docs: DataFrame, marks: DataFrame, sizes: list[int]) -> DataFrame:
-    """(row, starts): candidate windows of each document, as array<struct(start, len)>. ``sizes``: shingle lengths."""
+    """(row, first, last, len, same): windows of ``len`` words to compare with an item, by their first and last start. ``sizes``: shingle lengths."""
     hits = None
     with_words = docs.select("row", _words(F.col("text")).alias("w"))
     for k in sizes:
         one = with_words.select("row", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("pos", "h"))
-        mine = small(marks.where(F.col("k") == k).select(F.col("h").alias("h2"), "at", "len"))
-        found = one.join(mine, F.col("h") == F.col("h2")).select("row", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start"), "len")
+        mine = small(marks.where(F.col("k") == k).select(F.col("h").alias("h2"), "len", "same"))
+        first = F.greatest(F.lit(0), F.col("pos") + k - F.col("len"))
+        last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("len")))
+        found = one.join(mine, F.col("h") == F.col("h2")).select("row", first.alias("first"), last.alias("last"), "len", "same")
         hits = found if hits is None else hits.unionByName(found)
     return hits.distinct()
 
@@ -122,19 +112,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     marks = materialize(anchors(items, similarity), "anchors")
     # Without items there are no sizes; any size then gives the empty result.
     where = materialize(windows(rows, marks, sizes or [SHINGLE]), "windows")
-    wanted = small(where.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "len")).alias("at")), 20_000)
+    starts = F.struct("first", "last", "len", "same")
+    wanted = small(where.groupBy(F.col("row").alias("_row")).agg(F.collect_set(starts).alias("at")), 20_000)
     again = rows.join(wanted, F.col("row").eqNullSafe(F.col("_row"))).select("row", _words(F.col("text")).alias("w"), "at").distinct()
-    one = again.select("row", F.explode(F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), F.slice("w", x["start"] + 1, x["len"]).alias("w")))).alias("x"))
-    cut = one.select("row", "x.start", "x.len", F.when(F.size("x.w") >= SHINGLE, _shingles(F.col("x.w"), SHINGLE)).otherwise(F.array(_whole(F.col("x.w")))).alias("shingles"))
-    prints = materialize(cut.select("row", "start", "len", _marked(F.col("shingles")).alias("marked"), simhash(F.col("shingles")).alias("fp")), "prints")
-    left = prints.select("row", "start", F.col("len").alias("len"), "fp", "marked", F.explode(_blocks(F.col("fp"), False)).alias("b"))
-    right = items.select(F.col("item"), F.col("len").alias("len2"), F.col("fp").alias("fp2"), F.col("marked").alias("marked2"), F.explode(_blocks(F.col("fp"), True)).alias("b2"))
-    pairs = left.join(small(right), (F.col("len") == F.col("len2")) & (F.col("b") == F.col("b2")))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    near = pairs.select("row", "item", "start", "len", "marked", "marked2", distance.alias("distance")).where(F.col("distance") <= RADIUS)
+    each = F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), x["len"].alias("len"), x["same"].alias("same"))))))
+    one = again.select("row", F.explode(F.transform(each, lambda x: F.struct(x["start"].alias("start"), x["same"].alias("same"), F.slice("w", x["start"] + 1, x["len"]).alias("w")))).alias("x"))
+    cut = one.select("row", "x.start", "x.same", F.when(F.size("x.w") >= SHINGLE, _shingles(F.col("x.w"), SHINGLE)).otherwise(F.array(_whole(F.col("x.w")))).alias("shingles"))
+    right = items.select("item", F.col("same").alias("same2"), "len", F.col("fp").alias("fp2"), F.col("marked").alias("marked2"))
+    pairs = cut.select("row", "start", "same", "shingles", _marked(F.col("shingles")).alias("marked")).join(small(right), F.col("same") == F.col("same2"))
     shared = F.size(F.array_intersect("marked", "marked2"))
-    exact = near.withColumn("similarity", shared / (F.size("marked") + F.size("marked2") - shared)).where(F.col("similarity") >= similarity - 1e-12)
-    return exact.select("row.doc_id", F.col("row.t").alias("t"), "item", "start", "len", "distance", "similarity").distinct()
+    whole = pairs.withColumn("similarity", shared / (F.size("marked") + F.size("marked2") - shared)).where(F.col("similarity") >= similarity - 1e-12)
+    # Written before fingerprints are made, so that only verified windows get one.
+    exact = materialize(whole.select("row", "item", "start", "len", "shingles", "fp2", "similarity"), "verified")
+    distance = F.bit_count(simhash(F.col("shingles")).bitwiseXOR(F.col("fp2"))).alias("distance")
+    return exact.select("row.doc_id", F.col("row.t").alias("t"), "item", "start", "len", distance, "similarity").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

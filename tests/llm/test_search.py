@@ -242,3 +242,24 @@ def test_decontamination_matches_brute_force(spark):
     assert left.columns == df.columns and left.count() == len(texts) - len(got)
     assert decontaminate.contaminated(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
+
+
+def test_decontamination_finds_every_edited_window(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    items = [[word() for _ in range(n)] for n in (41, 41, 50, 60, 100)]
+    texts = []
+    for _ in range(60):
+        for w in items:
+            x = list(w)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 2)] = [word() for _ in range(rng.randint(0, 2))]
+            texts.append([word() for _ in range(9)] + x + [word() for _ in range(9)])
+    # A passage whose halves changed places, and one with a long insertion.
+    texts += [w[len(w) // 2 :] + w[: len(w) // 2] for w in items] + [items[4][:5] + ["x"] * 6 + items[4][5:]]
+    texts, items = [" ".join(t) for t in texts], [" ".join(w) for w in items]
+    rows = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = naive_leaks(texts, items)
+    assert len(want) > 100
+    assert {r["doc_id"]: list(r["item_ids"]) for r in rows if r["contaminated"]} == want
