@@ -35,8 +35,18 @@ SHINGLE = 3
 SEED = 42
 #: Variants in one bucket, about; 10 bytes each.
 BUCKET_VARIANTS = 1_500_000
-#: Fingerprints whose variants are made at once.
-BATCH = 2_000
+#: Fingerprints whose variants are made at once: at least, and at most where there are many buckets to fill.
+BATCH, MOST_BATCH = 2_000, 16_000
+
+#: The similarity join: word shingles, least Jaccard similarity of their sets, and ball hashing on TABLES independent
+#: SimHashes of SEGMENT bits with radius 2. Two texts at similarity 0.8 differ in 15 % of the bits on average and meet in one table
+#: at least with probability 0.90, at 0.85 with 0.98, at 0.9 with 0.999. Use 40 bits and more tables beyond a billion texts.
+JOIN_SHINGLE, SIMILARITY = 5, 0.8
+TABLES, SEGMENT = 18, 32
+#: Candidates whose TABLES x SEGMENT bits differ in a greater share are not verified: five standard deviations from 0.15.
+FAR = 0.245
+#: Within a variant each text is compared with so many next ones in hash order.
+NEIGHBOURS = 3
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,7 +99,11 @@ def _popcount(v: np.ndarray) -> np.ndarray:
 
 
 def _emit(buckets: int):
-    """Batches of fingerprints to rows (bucket, variants, masks): packed variants and the number of each one's mask."""
+    """Batches of fingerprints to rows (bucket, variants, masks): packed variants and the number of each one's mask.
+
+    With many buckets more fingerprints are packed at once, so that a row holds many variants of its bucket.
+    """
+    step = min(MOST_BATCH, max(BATCH, buckets * 32 // 561))
 
     def blocks(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         odd = (_popcount(fps) & 1).astype(bool)
@@ -100,8 +114,8 @@ def _emit(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fps = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-            for at in range(0, len(all_fps), BATCH):
-                made = list(blocks(all_fps[at : at + BATCH]))
+            for at in range(0, len(all_fps), step):
+                made = list(blocks(all_fps[at : at + step]))
                 variants, masks = (np.concatenate(x) for x in zip(*made, strict=True))
                 to = (_mix(variants) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
@@ -150,7 +164,8 @@ def links(fps: DataFrame) -> DataFrame:
     # Few fingerprints fit in one file split, but their variants do not: deal them out first.
     spread = fps.select("fp").repartition(max(6, -(-n // 20_000)))
     blocks = spread.mapInArrow(_emit(buckets), "bucket int, variants binary, masks binary")
-    return blocks.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    # As many tasks as buckets: a task's share stays the same at any size.
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,8 +191,152 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None, shingle: int = JOIN_SHINGLE) -> tuple[int, np.ndarray]:
+    """A hash of the sequence of lower-cased words, and the sorted set of XXH64 of its shingles; without words an empty set."""
+    words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    whole = digest(joined, SEED)
+    if len(words) <= shingle:
+        return whole, np.array([whole] if words else [], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
+    return whole, np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def _spread(v: np.ndarray, number: int) -> np.ndarray:
+    """Another 64-bit hash of each hash, one for each number."""
+    v = v ^ np.uint64((0x9E3779B97F4A7C15 * (number + 1)) & 0xFFFFFFFFFFFFFFFF)
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def signature(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """``tables`` SimHashes of SEGMENT bits of a set of hashes; a bit is set if it is set in over half of them."""
+    wide = -(-tables * SEGMENT // 64)
+    total = np.zeros(64 * wide, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = np.stack([_spread(hashes[at : at + 16_384], k) for k in range(wide)], 1)
+        total += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    bits = np.packbits((2 * total > len(hashes)).reshape(-1, SEGMENT)[:tables], axis=1).astype(np.uint64)
+    return sum(bits[:, i] << np.uint64(8 * i) for i in range(SEGMENT // 8))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingle_hashes(t.as_py()) for t in batch.column(2)]
+        keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
+        sigs = [signature(h).view(np.int64) if len(h) else None for _, h in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "t", "key", "sig"])
+
+
+def _emit_segments(buckets: int):
+    """(key, sig) to rows (bucket, variants, codes, keys): packed one-bit variants of every table's segment."""
+    masks = np.concatenate([[0], [1 << i for i in range(SEGMENT)]]).astype(np.uint64)
+    table = (np.arange(TABLES, dtype=np.uint64) << np.uint64(SEGMENT))[None, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                keys = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
+                segments = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, TABLES)
+                variants = ((segments[:, :, None] ^ masks[None, None, :]) | table).ravel()
+                of = np.repeat(keys, TABLES * len(masks))
+                to = (_mix(variants) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                variants, of, to = variants[order], of[order], to[order]
+                present, first = np.unique(to, return_index=True)
+                last = np.append(first[1:], len(to))
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(present), cut((variants & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)), cut((variants >> np.uint64(SEGMENT)).astype(np.uint8)), cut(of)], names=["bucket", "variants", "tables", "keys"])
+
+    return run
+
+
+def _neighbours(rows: pa.Table) -> pa.Table:
+    """Pairs of texts that share a variant: each with the next ones in hash order, so a hot variant costs no square."""
+    read = lambda name, kind: np.frombuffer(b"".join(x.as_buffer() for x in rows.column(name)), kind)
+    variants = read("variants", np.uint32).astype(np.uint64) | (read("tables", np.uint8).astype(np.uint64) << np.uint64(SEGMENT))
+    keys = read("keys", np.int64)
+    order = np.lexsort((_mix(keys.view(np.uint64)), variants))
+    variants, keys = variants[order], keys[order]
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, NEIGHBOURS + 1):
+        same = (variants[step:] == variants[:-step]) & (keys[step:] != keys[:-step])
+        a, b = keys[:-step][same], keys[step:][same]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [shingle_hashes(t.as_py())[1].tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "set"])
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, t, key, group): groups of texts that links of Jaccard ``similarity`` or more connect, over five-word shingles.
+
+    ``t`` is xxhash64 of the text and ``key`` a hash of its lower-cased words: texts with equal words are one node. Every
+    node emits the one-bit variants of its segments, nodes that meet on a variant are candidates, and exact similarity
+    decides. Texts without words are one group. Null texts count as empty. Rows stay repeated.
+    """
+    spark = docs.sparkSession
+    only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    kind = only.schema["doc_id"].dataType.simpleString()
+    prints = materialize(only.mapInArrow(_signatures, f"doc_id {kind}, t long, key long, sig array<long>"), "signatures")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
+    nodes = materialize(prints.groupBy("key").agg(one, F.first("sig", ignorenulls=True).alias("sig")).where("sig is not null"), "nodes")
+    n = nodes.count()
+    buckets = max(shuffle_partitions(spark), -(-n * TABLES * (SEGMENT + 1) // BUCKET_VARIANTS))
+    spread = nodes.select("key", "sig").repartition(max(6, -(-n // 20_000)))
+    blocks = spread.mapInArrow(_emit_segments(buckets), "bucket int, variants binary, tables binary, keys binary")
+    met = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct()
+    sig = nodes.select("key", "sig")
+    both = met.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = materialize(both.where(apart <= int(FAR * TABLES * SEGMENT)).select("a", "b"), "candidates")
+    wanted = near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
+    texts = only.join(wanted, (only.t == wanted["_t"]) & only.doc_id.eqNullSafe(wanted["_id"])).select("key", "text")
+    sets = materialize(texts.mapInArrow(_sets, "key long, set binary"), "sets")
+    pairs = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    linked = pairs.mapInArrow(_verify(similarity), "a long, b long")
+    reached = materialize(components(linked, "a", "b"), "components")
+    return prints.join(reached, prints.key == reached.node, "left").select("doc_id", "t", "key", F.coalesce("component", "key").alias("group"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    extra = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(extra, docs[id_col] == extra["doc_id"], "left_anti")
+    """``docs`` with one row of each group of similar texts (five-word shingles, 0.8): the one with the smallest id.
+
+    Rows without an id stay only where no row of their group has one; of several texts under the smallest id one stays, and
+    of rows that repeat both id and text one stays. A row that is nobody's duplicate always stays.
+    """
+    found = materialize(similar_groups(docs, id_col, text_col), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    first = found.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Rows of groups of one stay without a join: only what goes, and first rows that are repeated, are looked up.
+    members = found.join(first.select(F.col("group").alias("_group"), "first"), F.col("group") == F.col("_group"))
+    told = materialize(members.groupBy("doc_id", "t").agg(F.min((row == F.col("first")).cast("int")).alias("stays"), F.count("*").alias("n")), "members")
+    gone = told.where("stays = 0 or n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "stays")
+    at = lambda other: docs[id_col].eqNullSafe(other["_id"]) & (F.xxhash64(docs[text_col]) == other["_t"])
+    kept = docs.join(gone, at(gone), "left_anti")
+    again = told.where("stays = 1 and n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, at(again), "left_semi").dropDuplicates([id_col, text_col]))

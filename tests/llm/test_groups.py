@@ -97,6 +97,19 @@ def test_components_of_long_chains_and_stars(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    from cairnfield.llm import components as module
+
+    ids = random.Random(3).sample(range(400), 400)
+    steps = []
+    monkeypatch.setattr(module, "_state", lambda links, old=module._state: steps.append(1) or old(links))
+    monkeypatch.setattr(module, "HOT_NODES", 3)  # the way of hot nodes, too
+    df = spark.createDataFrame(list(zip(ids, ids[1:])) + [(1_000, i) for i in range(1_001, 3_100)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df, "a", "b").collect()}
+    assert got == dict.fromkeys(range(400), 0) | dict.fromkeys(range(1_000, 3_100), 1_000)
+    assert len(steps) <= 12
+
+
 def test_near_duplicates_match_brute_force(spark, sf_dir):
     rows = simhash.op2_simhash(spark, sf_dir).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
@@ -119,6 +132,52 @@ def test_near_duplicate_odd_cases(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    def sets(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups_match_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3_000)}" for _ in range(rng.choice((6, 60, 200)))]
+        for edits in (0, 0, 1, 2, 4, 7, 12):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(9_999)}"
+            texts.append(" ".join(copy))
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    rows = simhash.similar_groups(docs(spark, texts)).collect()
+    group = {r["doc_id"]: r["group"] for r in rows}
+    assert sum(group[i] == group[j] for i, j in links) >= 0.9 * len(links)
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[max(top(i), top(j))] = min(top(i), top(j))
+    # Nothing is joined that no chain of links joins.
+    assert all(top(i) == top(j) for i in group for j in group if group[i] == group[j])
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one text of six words here", "another text that is like none"
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, "alone without any id at all"), (None, "alone without any id at all"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("t", F.lit(2))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.fillna("", ["text"]).collect()) == sorted([(1, a), (2, b), (0, "alone without any id at all"), (3, "")])
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
 def page(title, paragraphs, extra=""):
     body = "".join(f"<p>{p}</p>" for p in paragraphs)
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a>m</a></ul></nav><div class='ad'>buy</div><article><h1>{title}</h1>{body}{extra}</article><footer>&copy; f</footer></body></html>"
