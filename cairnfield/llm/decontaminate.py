@@ -1,20 +1,18 @@
-"""Benchmark decontamination by item-sized windows, with DataFrame functions only.
-
-For each benchmark item windows as long as the item are laid over the document and verified by exact weighted-shingle
-similarity. Weights are how often a shingle occurs. Verified windows also get the Hamming distance of their SimHash to
-the item's, which decides nothing.
-
-* Which windows. A window at similarity t or more shares a shingle with the item, and even one of the item's rarest
-  shingles whose weight is over 1 - t of the item's (prefix filter), since less than that can be missing. So every
-  window that holds such a shingle of the document, wherever in the window, is compared with the items it is rare in.
-  Words may be inserted, dropped or moved before it; no window at similarity t or more is lost, and phrases common to many
-  items cost little.
-* Cost. An item of m words has up to m windows for each such shingle in a document, each compared in time m.
-
-Texts are scanned twice, once for windows and once, for the documents that have any, to fingerprint them; between the
-scans only positions are shuffled. Defined cases: null texts count as empty; items without words match nothing; items
-shorter than a shingle are one shingle; a document shorter than the item is one window; repeated rows and items and null
-ids each get their own result; empty tables give no matches; other columns are ignored.
+"""Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
+
+* Windows. A window at similarity t or more shares one of the item's rarest shingles whose weight is over 1 - t of the
+  item's (prefix filter), since less than that can be missing. So every window of the item's length that holds such a
+  shingle, at each of its places in the document, is fingerprinted; phrases common to many items cost little.
+* Candidates. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits. Items are filed under every value of each block within
+  ``FLIPS`` bits, so a window finds all items of its length within ``RADIUS`` = 23 bits, whichever item its shingle came from. Two
+  texts at similarity 0.8 differ in 9.7 bits on average and in over 23 with a probability of about 1 in 100,000.
+* Verification. Exact weighted-shingle similarity decides; weights are how often a shingle occurs. Only ids, starts and
+  fingerprints take part in the look-up; shingle arrays are fetched for pairs that passed it.
+
+Texts are scanned twice, once for shingles and once for the documents that have any of them. Defined cases: null texts count as
+empty; items without words match nothing; items shorter than a shingle are one shingle; a document shorter than the item
+is one window; repeated rows and items and null ids each get their own result; empty tables give no matches; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +24,13 @@ from cairnfield.llm.common import materialize, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Blocks of 8 bits; with FLIPS in every block a pair within RADIUS agrees in one of them at least.
+BLOCKS, FLIPS = 8, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: The values within FLIPS bits of zero.
+NEAR = [v for v in range(256) if v.bit_count() <= FLIPS]
+#: Four counters of 16 bits in a long hold this many shingles.
+LANE = 30_000
 #: Words of the lower-cased text: runs of anything but ASCII punctuation, space and controls, so that punctuation hides no passage.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,14 +47,28 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """Signed 64-bit SimHash; a bit is set if it is set in over half of the shingles, repeats included."""
-    def bit(b: int) -> Column:
-        ones = F.aggregate(shingles, F.lit(0), lambda acc, h: acc + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(2 * ones > F.size(shingles), F.lit(-(1 << 63) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-    out = bit(0)
-    for b in range(1, 64):
-        out = out.bitwiseOR(bit(b))
-    return out
+    """Signed 64-bit SimHash; a bit is set if it is set in over half of the shingles, repeats included.
+
+    Bits k, k + 16, k + 32 and k + 48 are counted in one long; longer arrays than those counters hold are counted bit by bit.
+    """
+    spread = 0x0001000100010001
+    sums = F.aggregate(
+        F.when(F.size(shingles) <= LANE, shingles).otherwise(F.array().cast("array<bigint>")),
+        F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(16)]),
+        lambda acc, h: F.struct(*[(acc[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(spread).cast("long"))).alias(f"s{k}") for k in range(16)]),
+    )
+
+    def single(b: int) -> Column:
+        return F.aggregate(shingles, F.lit(0), lambda acc, h: acc + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
+
+    def word(of) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(64):
+            out = out.bitwiseOR(F.when(2 * of(b) > F.size(shingles), F.lit(-(1 << 63) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    lanes = F.get(F.transform(F.array(sums), lambda t: word(lambda b: F.shiftrightunsigned(t[f"s{b % 16}"], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF)))), F.lit(0))
+    return F.when(F.size(shingles) <= LANE, lanes).otherwise(word(single))
 
 
 def _marked(shingles: Column) -> Column:
@@ -89,17 +108,43 @@ def anchors(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def windows(docs: DataFrame, marks: DataFrame, sizes: list[int]) -> DataFrame:
-    """(row, first, last, len, same): windows of ``len`` words to compare with an item, by their first and last start. ``sizes``: shingle lengths."""
-    hits = None
+    """(row, first, last, len): windows of ``len`` words to fingerprint, by their first and last start. ``sizes``: shingle lengths."""
     with_words = docs.select("row", _words(F.col("text")).alias("w"))
-    for k in sizes:
-        one = with_words.select("row", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("pos", "h"))
-        mine = small(marks.where(F.col("k") == k).select(F.col("h").alias("h2"), "len", "same"))
-        first = F.greatest(F.lit(0), F.col("pos") + k - F.col("len"))
-        last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("len")))
-        found = one.join(mine, F.col("h") == F.col("h2")).select("row", first.alias("first"), last.alias("last"), "len", "same")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.distinct()
+    # One pass for all shingle lengths: their arrays follow each other, so a place tells length and position.
+    placed = with_words.select("row", F.size("w").alias("n"), F.posexplode(F.concat(*[_shingles(F.col("w"), k) for k in sizes])).alias("at", "h"))
+    k, pos, behind = F.lit(sizes[-1]), F.col("at"), F.lit(0)
+    for size in sizes[:-1]:
+        behind = behind + F.greatest(F.lit(0), F.col("n") - size + 1)
+        pos = F.when(F.col("at") >= behind, F.col("at") - behind).otherwise(pos)
+    behind = F.lit(0)
+    for i, size in enumerate(sizes[:-1]):
+        behind = behind + F.greatest(F.lit(0), F.col("n") - size + 1)
+        k = F.when(F.col("at") < behind, F.lit(size)) if i == 0 else k.when(F.col("at") < behind, F.lit(size))
+    k = k.otherwise(F.lit(sizes[-1])) if len(sizes) > 1 else k
+    mine = small(marks.select(F.col("h").alias("h2"), F.col("k").alias("k2"), "len").distinct())
+    found = placed.join(mine, (F.col("h") == F.col("h2")) & (k == F.col("k2")))
+    first = F.greatest(F.lit(0), pos + F.col("k2") - F.col("len"))
+    last = F.least(pos, F.greatest(F.lit(0), F.col("n") - F.col("len")))
+    return found.select("row", first.alias("first"), last.alias("last"), "len").distinct()
+
+
+def _cut(held: DataFrame, at: Column, *more: Column) -> DataFrame:
+    """(row, start, len, ..., shingles) for each struct of ``at`` of the documents (row, w, sh, at)."""
+    one = held.select("row", "w", "sh", F.explode(at).alias("x"))
+    words = F.least(F.col("x.len"), F.size("w"))
+    runs = F.slice("sh", F.col("x.start") + 1, F.greatest(F.lit(0), words - SHINGLE + 1))
+    few = F.array(_whole(F.slice("w", F.col("x.start") + 1, words)))
+    return one.select("row", "x.*", *more, F.when(words >= SHINGLE, runs).otherwise(few).alias("shingles"))
+
+
+def index(items: DataFrame) -> DataFrame:
+    """(len, block, value, same, fp): the items under all values within FLIPS bits of each of their blocks."""
+    one = items.select("same", "len", "fp").distinct().select("same", "len", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "own"))
+    return one.select("len", "block", F.explode(F.transform(F.array(*map(F.lit, NEAR)), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"), "same", "fp")
+
+
+def _blocks(fp: Column) -> Column:
+    return F.array(*[F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(255)).cast("int") for b in range(BLOCKS)])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -112,20 +157,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     marks = materialize(anchors(items, similarity), "anchors")
     # Without items there are no sizes; any size then gives the empty result.
     where = materialize(windows(rows, marks, sizes or [SHINGLE]), "windows")
-    starts = F.struct("first", "last", "len", "same")
-    wanted = small(where.groupBy(F.col("row").alias("_row")).agg(F.collect_set(starts).alias("at")), 20_000)
-    again = rows.join(wanted, F.col("row").eqNullSafe(F.col("_row"))).select("row", _words(F.col("text")).alias("w"), "at").distinct()
-    each = F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), x["len"].alias("len"), x["same"].alias("same"))))))
-    one = again.select("row", F.explode(F.transform(each, lambda x: F.struct(x["start"].alias("start"), x["same"].alias("same"), F.slice("w", x["start"] + 1, x["len"]).alias("w")))).alias("x"))
-    cut = one.select("row", "x.start", "x.same", F.when(F.size("x.w") >= SHINGLE, _shingles(F.col("x.w"), SHINGLE)).otherwise(F.array(_whole(F.col("x.w")))).alias("shingles"))
-    right = items.select("item", F.col("same").alias("same2"), "len", F.col("fp").alias("fp2"), F.col("marked").alias("marked2"))
-    pairs = cut.select("row", "start", "same", "shingles", _marked(F.col("shingles")).alias("marked")).join(small(right), F.col("same") == F.col("same2"))
+    wanted = small(where.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "last", "len")).alias("at")), 20_000)
+    texts = rows.join(wanted, F.col("row").eqNullSafe(F.col("_row"))).select("row", _words(F.col("text")).alias("w"), "at").dropDuplicates(["row"])
+    held = materialize(texts.select("row", "w", _shingles(F.col("w"), SHINGLE).alias("sh"), "at"), "held")
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), x["len"].alias("len"))))))
+    prints = materialize(_cut(held, starts).select("row", "start", "len", simhash(F.col("shingles")).alias("fp")), "prints")
+    probes = prints.select("row", "start", "len", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
+    filed = small(index(items).toDF("len2", "block2", "value2", "same", "fp2"))
+    met = probes.join(filed, (F.col("len") == F.col("len2")) & (F.col("block") == F.col("block2")) & (F.col("value") == F.col("value2")))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))).alias("distance")
+    near = materialize(met.where(distance <= RADIUS).select("row", "start", "len", "same", distance).distinct(), "near")
+    mine = small(near.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "len", "same", "distance")).alias("near")), 20_000)
+    cut = _cut(held.join(mine, F.col("row").eqNullSafe(F.col("_row"))), F.col("near"))
+    right = small(items.select("item", F.col("same").alias("same2"), F.col("marked").alias("marked2")))
+    pairs = cut.select("row", "start", "len", "same", "distance", _marked(F.col("shingles")).alias("marked")).join(right, F.col("same") == F.col("same2"))
     shared = F.size(F.array_intersect("marked", "marked2"))
     whole = pairs.withColumn("similarity", shared / (F.size("marked") + F.size("marked2") - shared)).where(F.col("similarity") >= similarity - 1e-12)
-    # Written before fingerprints are made, so that only verified windows get one.
-    exact = materialize(whole.select("row", "item", "start", "len", "shingles", "fp2", "similarity"), "verified")
-    distance = F.bit_count(simhash(F.col("shingles")).bitwiseXOR(F.col("fp2"))).alias("distance")
-    return exact.select("row.doc_id", F.col("row.t").alias("t"), "item", "start", "len", distance, "similarity").distinct()
+    return whole.select("row.doc_id", F.col("row.t").alias("t"), "item", "start", "len", "distance", "similarity").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
