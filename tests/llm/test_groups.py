@@ -190,9 +190,53 @@ def test_pages_lose_boilerplate_and_keep_their_text(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+STORY = "<p>Story words go here and there are many of them in a row.</p>"
+SAID = "Story words go here and there are many of them in a row."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<body><div class="post hentry tag-news"><h1>T</h1>{STORY}</div></body>', ["T", SAID]),
+        (f'<div id="page" class="site has-sidebar"><article>{STORY}</article></div>', [SAID]),
+        (f'<div class="layout no-sidebar">{STORY}</div>', [SAID]),
+        (f'<div class="legal text">{STORY}{STORY}</div>', [SAID, SAID]),
+        (f'<article><h1>T</h1>{STORY}<section class="discussion"><h2>D</h2>{STORY}</section></article>', ["T", SAID, "D", SAID]),
+        (f'<form id="aspnetForm"><input><h1>T</h1>{STORY}<label>x</label></form>', ["T", SAID]),
+        (f'<div>{STORY * 6}</div><article class="card"><p>Teaser</p></article>', [SAID] * 6),
+        ("<article><p>We have <math><mi>x</mi><mo>=</mo><mn>3</mn></math> and <label>this</label> <object>o</object> too</p></article>", ["We have x=3 and this o too"]),
+        ("<article><p title=O'Reilly>one</p><p>two</p><p class='x'>three</p></article>", ["one", "two", "three"]),
+        (f'<article><h1>T</h1>{STORY}<div class="comments">{STORY * 5}</div><div class="comment-list">{STORY}</div></article>', ["T", SAID]),
+        (f"<div>{STORY}</div><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li></ul>", [SAID]),
+        (f'<div><h1>T</h1>{STORY}</div><div class="sidebar">{STORY * 9}</div><form>{STORY}</form>', ["T", SAID]),
+        (f'<div class="site-header">x</div><div class="cookie-notice">c</div>{STORY}<div id="footer">f</div>', [SAID]),
+    ],
+)
+def test_page_rules(html, want):
+    assert [n[2] for n in wrapper.parse(html) if n[3]] == want
+
+
+def test_neutral_chrome_goes_by_alignment_alone(spark):
+    """Blocks with plain names that pages of a host repeat at the same place go; the same words inside a text stay."""
+    top, low = "<div><p>Your daily paper since long ago</p></div>", "<div><p>Write to us at any time of day</p></div>"
+    rows = []
+    for i in range(2):
+        body = "".join(f"<p>page {i} says {k} things</p>" for k in range(3 + i))
+        rows.append((i, f"http://two.x/{i}", f"<body>{top}<div><h2>head {i}</h2>{body}</div>{low}</body>"))
+    for i in range(9):
+        body = "".join(f"<p>part {i} has {k}</p>" for k in range(2 + i % 3)) + ("<p>Your daily paper since long ago</p>" if i == 4 else "")
+        rows.append((10 + i, f"http://nine.x/{i}", f"<body>{top}<div><h2>top {i}</h2>{body}</div>{low}</body>"))
+    got = {r["page_id"]: r["text"].split("\n\n") for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(2):
+        assert got[i] == [f"head {i}", *[f"page {i} says {k} things" for k in range(3 + i)]]
+    for i in range(9):
+        assert got[10 + i] == [f"top {i}", *[f"part {i} has {k}" for k in range(2 + i % 3)], *(["Your daily paper since long ago"] if i == 4 else [])]
+
+
 def test_pathological_pages_take_linear_time():
     assert wrapper.parse("<b>x" * 40_000 + "<p>y" * 40_000)
     assert wrapper.parse("<div>" * 20_000 + "z" + "</div>" * 20_000)[-1][2] == "z"
+    assert wrapper.parse("<div class=ad>w " * 20_000 + "z" + "</div>" * 20_000)[-1][3]
     labels, depths = ["r", *["p", "q"] * 4_000], [0, *[1, 2] * 4_000]
     assert len(wrapper.simple_tree_matching(labels, depths, labels, depths)) == len(labels)
 
