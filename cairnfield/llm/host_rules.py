@@ -1,8 +1,15 @@
 """Quality rules with host verdicts, with DataFrame functions only.
 
 Each document is measured once. Rule failures are summed for each host (a host with a third of all rows is summed
-before its counts are shuffled), failure rates are shrunk towards the mean of all hosts by a beta prior fitted to the
-hosts' rates by moments, and a host whose shrunk rate is high is rejected for that rule. Verdicts are joined back.
+before its counts are shuffled) and get a beta prior that is fitted to the hosts' rates by moments, sampling noise taken
+off. A host's failure rate for a rule then has a beta posterior, judged by its mean and deviation:
+
+* bad: the rate lies above ``LIMIT`` and above twice the hosts' mean with 95 per cent certainty; all its documents go,
+* trusted: it lies below ``TRUST`` with the same certainty,
+* else neither.
+
+Verdicts are joined back. A document goes if it fails a base rule, if its host is bad for any rule, or if it fails one of the rules
+``WATCHED`` itself and its host is not trusted for that rule: the same text is a fault on one host and a fluke on another.
 
 Defined cases: a null text counts as empty (it fails the length rule); a null host is a host of its own; repeated rows
 stay repeated; an empty table gives an empty result; other columns are ignored.
@@ -20,11 +27,15 @@ from cairnfield.llm.common import SPACE, materialize, small
 MIN_WORDS = 50
 #: Per cent of the words that may lie in repeated 3-word windows.
 MAX_REPEAT = 50
-#: A host is rejected when its shrunk failure rate for one rule reaches this.
-HOST_LIMIT = 0.6
+#: A host is bad when its rate for one rule is surely above LIMIT and FACTOR times the mean, trusted when surely below TRUST.
+LIMIT, FACTOR, TRUST = 0.3, 2.0, 0.02
+#: Deviations of a one-sided 95 per cent bound.
+SURE = 1.645
 #: Document rules that count towards a host's rates, beside the base rules.
 MAX_SYMBOLS, MAX_DUP_LINES = 0.1, 0.3
 RULES = ("short", "repeats", "symbols", "dup_lines")
+#: Rules that reject the failing document itself, unless its host is trusted.
+WATCHED = ("symbols",)
 
 
 def _once(value: Column, f) -> Column:
@@ -83,37 +94,44 @@ def failures() -> dict[str, Column]:
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """(host, n, <rule>_rate, host_failed): failure rates shrunk by the empirical beta prior of each rule.
+    """(host, n, <rule>_rate, <rule>_trusted of WATCHED, host_failed): posterior mean rates by the empirical beta prior of each rule.
 
-    The prior's mean m is the hosts' mean rate and its strength s = m(1-m)/v - 1 comes from their variance v, kept
-    between 1 and 10,000; where hosts do not differ the strength is the upper bound. The rate is (k + s m) / (n + s).
+    The prior's mean m is the hosts' mean rate. Its strength is s = m(1-m)/v - 1, v being the hosts' variance less the mean sampling
+    variance m(1-m)/n, kept between 1 and 10,000; where hosts do not differ the strength is the upper bound. The posterior
+    has mean (k + s m) / (n + s) and variance mean (1 - mean) / (n + s + 1).
     """
     fails = failures()
     sums = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(fails[r].cast("long")).alias(r) for r in RULES])
     sums = materialize(sums, "hosts")
-    prior = sums.agg(*[x for r in RULES for x in (F.avg(F.col(r) / F.col("n")).alias(f"{r}_m"), F.var_pop(F.col(r) / F.col("n")).alias(f"{r}_v"))]).first()
-    rates = {}
+    rate = lambda r: F.col(r) / F.col("n")
+    prior = sums.agg(F.avg(1 / F.col("n")).alias("i"), *[x for r in RULES for x in (F.avg(rate(r)).alias(f"{r}_m"), F.var_pop(rate(r)).alias(f"{r}_v"))]).first()
+    rates, trusted, bad = [], [], []
     for r in RULES:
-        m, v = prior[f"{r}_m"] or 0.0, prior[f"{r}_v"] or 0.0
+        m = prior[f"{r}_m"] or 0.0
+        v = (prior[f"{r}_v"] or 0.0) - m * (1 - m) * (prior["i"] or 0.0)
         strength = min(10_000.0, max(1.0, m * (1 - m) / v - 1)) if v > 1e-12 else 10_000.0
-        rates[r] = (F.col(r) + F.lit(strength * m)) / (F.col("n") + F.lit(strength))
-    failed = reduce(lambda a, b: a | b, [rates[r] >= HOST_LIMIT for r in RULES])
-    return sums.select("host", "n", *[rates[r].alias(f"{r}_rate") for r in RULES], failed.alias("host_failed"))
+        mean = (F.col(r) + F.lit(strength * m)) / (F.col("n") + F.lit(strength))
+        off = F.lit(SURE) * F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(strength) + 1))
+        rates.append(mean.alias(f"{r}_rate"))
+        trusted += [(mean + off < TRUST).alias(f"{r}_trusted")] if r in WATCHED else []
+        bad.append(mean - off > max(LIMIT, FACTOR * m))
+    return sums.select("host", "n", *rates, *trusted, reduce(lambda a, b: a | b, bad).alias("host_failed"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The measures with base_failed, host_failed and kept for each row of ``docs``."""
+    """The measures with base_failed, host_failed, doc_failed and kept for each row of ``docs``."""
     measured = materialize(measures(docs, id_col, text_col, host_col), "measures")
-    verdicts = small(host_verdicts(measured).select(F.col("host").alias("_host"), "host_failed"))
+    verdicts = small(host_verdicts(measured).select(F.col("host").alias("_host"), "host_failed", *[f"{r}_trusted" for r in WATCHED]))
     fails = failures()
     base_failed = fails["short"] | fails["repeats"]
-    joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    doc_failed = reduce(lambda a, b: a | b, [fails[r] & ~F.col(f"{r}_trusted") for r in WATCHED])
+    joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").withColumns({"base_failed": base_failed, "doc_failed": doc_failed})
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed") & ~F.col("doc_failed")).drop("_host", *[f"{r}_trusted" for r in WATCHED])
 
 
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:
     found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed", "doc_failed")
 
 
 def _oracle() -> str:
@@ -125,9 +143,14 @@ def _oracle() -> str:
         "dup_lines": f"n_dup_lines > {MAX_DUP_LINES}::double * n_lines",
     }
     sums = ", ".join(f"count(*) filter (where {v})::double as k_{r}" for r, v in rules.items())
-    prior = ", ".join(f"avg(k_{r} / n) as m_{r}, var_pop(k_{r} / n) as v_{r}" for r in rules)
-    strength = ", ".join(f"case when v_{r} > 1e-12 then least(10000.0::double, greatest(1.0::double, m_{r} * (1 - m_{r}) / v_{r} - 1)) else 10000.0::double end as s_{r}" for r in rules)
-    failed = " or ".join(f"(k_{r} + s_{r} * m_{r}) / (n + s_{r}) >= {HOST_LIMIT}::double" for r in rules)
+    prior = "avg(1 / n) as i, " + ", ".join(f"avg(k_{r} / n) as m_{r}, var_pop(k_{r} / n) as v_{r}" for r in rules)
+    less = ", ".join(f"v_{r} - m_{r} * (1 - m_{r}) * i as b_{r}" for r in rules)
+    strength = ", ".join(f"case when b_{r} > 1e-12 then least(10000.0::double, greatest(1.0::double, m_{r} * (1 - m_{r}) / b_{r} - 1)) else 10000.0::double end as s_{r}" for r in rules)
+    mean = ", ".join(f"(k_{r} + s_{r} * m_{r}) / (n + s_{r}) as p_{r}" for r in rules)
+    off = ", ".join(f"{SURE}::double * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1)) as o_{r}" for r in rules)
+    failed = " or ".join(f"p_{r} - o_{r} > greatest({LIMIT}::double, {FACTOR}::double * m_{r})" for r in rules)
+    trusted = ", ".join(f"p_{r} + o_{r} < {TRUST}::double as t_{r}" for r in WATCHED)
+    doc = " or ".join(f"({rules[r]}) and not t_{r}" for r in WATCHED)
     return f"""with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
 w as (select rid, doc_id, source, regexp_extract_all(text, '[^{space}]+') as words, length(regexp_replace(text, '[{space}]+', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as lines from d),
@@ -137,10 +160,11 @@ covered as (select rid, count(distinct pos) as n_repeat_words from (select t.rid
 m as (select doc_id, source, len(words)::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines)::bigint as n_lines,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join covered on w.rid = covered.rid),
 h as (select source, count(*)::double as n, {sums} from m group by source),
-p as (select *, {strength} from (select {prior} from h)),
-v as (select source as host, {failed} as host_failed from h cross join p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules['short']} or {rules['repeats']} as base_failed,
-  not ({rules['short']} or {rules['repeats']}) and not host_failed as kept, host_failed from m join v on m.source is not distinct from v.host"""
+p as (select *, {strength} from (select *, {less} from (select {prior} from h))),
+q as (select *, {off} from (select *, {mean} from h cross join p)),
+v as (select source as host, {failed} as host_failed, {trusted} from q),
+j as (select m.*, {rules['short']} or {rules['repeats']} as base_failed, host_failed, {doc} as doc_failed from m join v on m.source is not distinct from v.host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_failed and not doc_failed as kept, host_failed, doc_failed from j"""
 
 
 #: DuckDB's form of op10_host_rules.

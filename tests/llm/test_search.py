@@ -179,8 +179,12 @@ def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark):
     good, bad = "w%d x%d y%d z%d " * 20, "# " * 60 + "a%d b%d c%d d%d " * 15
     fill = lambda t, k: t % tuple(range(k, k + t.count("%d")))
     rows = [(i, fill(bad, i), "en", "spam", 0) for i in range(60)] + [(1000 + i, fill(good, i), "en", f"g{i % 6}", 0) for i in range(300)] + [(5000, fill(bad, 7), "en", "tiny", 0), (5001, fill(good, 1), "en", None, 0)]
+    rows += [(9000 + i, fill(good, i), "en", "vast", 0) for i in range(600)] + [(8000, fill(bad, 3), "en", "vast", 0)]
     out = {r["doc_id"]: r for r in host_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
     assert not any(out[i]["kept"] for i in range(60)) and all(out[1000 + i]["kept"] for i in range(300)) and out[5001]["kept"]
+    # One failure: a fluke on a trusted host, a fault where little is known, though that host is not rejected.
+    assert out[8000]["kept"] and not out[8000]["doc_failed"]
+    assert not out[5000]["kept"] and out[5000]["doc_failed"] and not out[5000]["host_failed"]
     assert host_rules.judge(docs(spark, [])).count() == 0
 
 
