@@ -158,16 +158,17 @@ def test_positions_of_many_matches(spark):
     assert [(s["start"], s["end"]) for s in got] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
 
 
-def test_secret_query_judges_tokens_on_whole_tables(spark, tmp_path):
+def test_secret_query_judges_tokens_on_whole_tables(spark, sf_dir, tmp_path):
     rng = random.Random(6)
     words = ["connection", "handler", "document", "parameter", "iteration", "threshold", "validate", "response", "partition", "container", "about", "which"]
     prose = lambda: " ".join(rng.choice(words) for _ in range(60))
     key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)) + "7a"
     plain = ["https-server-08-eu-west-1-prod", "getUserName2Handler", "release-2024-08-notes", "MAX_BUFFER_SIZE_1024", "invoice-2024-000123"]
     texts = [f"{prose()} {key()} end" for _ in range(30)] + [f"{prose()} {p} end" for p in plain] + [f"{prose()} token = {key()}", None, ""]
-    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id") + 1_000, "text", "lang", "source", "n_chars")
+    docs(spark, texts).union(corpus).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r for r in secret_scan.op5_secrets(spark, str(tmp_path)).collect()}
-    assert len(rows) == len(texts)
+    assert len(rows) == len(texts) + corpus.count()
     assert sum("random" in rows[i]["spans"] for i in range(30)) >= 29
     assert not any(rows[30 + i]["spans"] for i in range(len(plain)))
     both = rows[30 + len(plain)]
