@@ -1,10 +1,13 @@
 """Personal data by weak supervision: labelers vote, EM estimates their reliabilities, a classifier decides.
 
-One pass over the texts finds the rule matches and the weaker candidates of four kinds (email, ip, card, phone).
-Regex, gazetteer, context and structure labelers vote on each candidate. Vote patterns are counted on Spark; the
-table of patterns is bounded (``len(KINDS) * 3**4 * 2**len(features)`` rows at most, however many documents
-there are), so expectation-maximisation and the logistic span classifier run on it in the driver. The classifier
-then accepts or rejects each candidate. Rule matches always stay.
+One pass over the texts finds the rule matches, weaker candidates and look-alikes (versions, order numbers, ISBN, digits
+that fail a check) of four kinds (email, ip, card, phone). Regex, gazetteer, context, structure and shape labelers vote on
+each candidate. Vote patterns are counted on Spark; the table of patterns is bounded (``len(KINDS) * 3**5 * 2**8`` rows at
+most, however many documents there are), so expectation-maximisation and the logistic span classifiers, one for each
+kind, run on it in the driver. Counts of a kind are always scaled to ``EVIDENCE``, and the votes on a fixed set of seed sentences
+(both personal data and look-alikes, without labels) are added, so that both classes occur whatever the corpus holds. A classifier
+sees the votes and features of the span, learns from the EM posteriors, and accepts or rejects each candidate. Rule matches
+always stay.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; each input row gives one output
 row, so repeated rows and null ids are kept; other columns of the input are ignored.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,10 @@ _WEAK = (
     ("card", re.compile(r"(?<![0-9.])[0-9]{4}(?:[.][0-9]{4}){3}(?![0-9.])")),
     ("phone", re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")),
     ("phone", re.compile(r"(?<![0-9+])00[1-9][0-9]{0,2}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9.-])")),
+    # Mostly look-alikes, for the labelers and the classifier to tell apart.
+    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){2,5}(?![0-9.])")),
+    ("card", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+.])\+?[0-9(][0-9 ().-]{6,18}[0-9](?![0-9])")),
 )
 _WORTH = re.compile(r"[0-9@\[(]")
 
@@ -52,13 +60,19 @@ _CUES = {
     "card": ("card", "visa", "credit", "payment", "mastercard"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "dial"),
 }
-_COUNTER_CUES = ("version", "isbn", "order", "invoice", "serial", "section", "figure", "item")
+_COUNTER_CUES = ("version", "isbn", "order", "invoice", "serial", "section", "figure", "item", "release", "chapter", "total", "number", "date")
 _TLDS = frozenset("com org net edu gov io info biz co de fr es uk us eu int mil ch at it nl ca au jp".split())
 _CALLING = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91".split())
 
 _CONTEXT = 40
 MODEL_ROUNDS = 50
-ACCEPT = 0.5
+#: A candidate that no rule matches is accepted from this probability on.
+ACCEPT = 0.8
+#: Votes of each kind count for so many candidates in all, so that the seeds and the ridge mean the same at every size.
+EVIDENCE = 1_000.0
+#: Pseudo votes of each labeler and class.
+PSEUDO = 50.0
+LABELERS = 5
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +122,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _votes(kind: str, span: str, before: str, is_base: bool) -> str:
-    """A letter for each labeler (regex, gazetteer, context, structure): y, n, or - where it abstains."""
+    """A letter for each labeler (regex, gazetteer, context, structure, shape): y, n, or - where it abstains."""
     digits = re.sub(r"[^0-9]", "", span)
     low = before.lower()
     regex = "y" if is_base else "n"
@@ -116,19 +130,24 @@ def _votes(kind: str, span: str, before: str, is_base: bool) -> str:
         tail = re.split(r"[.\s\])]+", span.lower().rstrip(")] "))[-1]
         gazetteer = "y" if tail in _TLDS else "n"
         structure = "y" if re.search(r"[A-Za-z]", span.split("@")[0]) and not span.startswith((".", "-")) else "n"
+        shape = "y" if re.search(r"[.\])][A-Za-z ]+$", span) and len(span) >= 6 else "n"
     elif kind == "ip":
         first = span.split(".")[0].split(":")[0]
         gazetteer = "-" if ":" in span else ("y" if 1 <= int(first[-3:] or 0) <= 223 else "n")
-        structure = "y" if ":" in span or not re.search(r"(?:^|\.)0[0-9]", span) else "n"
+        structure = "y" if ":" in span or (span.count(".") == 3 and _octets_fit(span) and not re.search(r"(?:^|\.)0[0-9]", span)) else "n"
+        shape = "y" if ":" in span or span.count(".") == 3 else "n"
     elif kind == "card":
         gazetteer = "y" if digits[:1] in "3456" and digits else "n"
         structure = "y" if 14 <= len(digits) <= 19 and luhn(digits) else "n"
+        shape = "y" if re.fullmatch(r"[0-9]{4}(?:([ .-]?)[0-9]{4})(?:\1[0-9]{4})\1[0-9]{2,4}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}", span) else "n"
     else:
         number = digits[2:] if digits.startswith("00") else digits
         gazetteer = "y" if number.startswith(_CALLING) or len(digits) == 10 else "n"
         structure = "y" if 10 <= len(number) <= 15 else "n"
+        groups = re.findall(r"[0-9]+", span)
+        shape = "y" if 2 <= len(groups) <= 6 and all(1 <= len(g) <= 5 for g in groups) and len(groups[-1]) >= 2 and not re.match(r"(?:19|20)[0-9]{2}(?![0-9])", span) else "n"
     context = "y" if any(c in low for c in _CUES[kind]) else "n" if any(c in low for c in _COUNTER_CUES) else "-"
-    return regex + gazetteer + context + structure
+    return regex + gazetteer + context + structure + shape
 
 
 def _features(text: str, start: int, end: int) -> str:
@@ -139,6 +158,9 @@ def _features(text: str, start: int, end: int) -> str:
         " " in span,
         any(c.isalpha() for c in span),
         end - start >= 16,
+        sum(c.isdigit() for c in span) >= 10,
+        span[0] in "+(",
+        len({c for c in span if c.isdigit()}) <= 3,
     )
     return "".join("1" if b else "0" for b in bits)
 
@@ -147,7 +169,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     """(start, end, kind, pattern, is_base): base spans, and weaker ones that overlap none of them."""
     out = [(a, b, k, f"{k}/{_votes(k, text[a:b], text[max(0, a - _CONTEXT):a], True)}/{_features(text, a, b)}", True) for a, b, k in base]
     taken = [(a, b) for a, b, _ in base]
-    weak = sorted((m.start(), RANK[k], m.end(), k) for k, p in _WEAK for m in p.finditer(text))
+    weak = sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(_WEAK) for m in p.finditer(text))
     at, reach = 0, -1
     for a, _, b, k in weak:
         while at < len(taken) and taken[at][1] <= a:
@@ -180,7 +202,7 @@ def candidate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return only.mapInArrow(_scan, f"doc_id {kind}, found {_SPAN_SQL}")
 
 
-def expectation_maximisation(counts: dict[str, int], rounds: int = MODEL_ROUNDS) -> dict[str, float]:
+def expectation_maximisation(counts: dict[str, float], rounds: int = MODEL_ROUNDS) -> dict[str, float]:
     """Dawid-Skene with two classes for each kind; P(span is personal data) for each pattern."""
     posterior: dict[str, float] = {}
     for kind in KINDS:
@@ -197,9 +219,9 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = MODEL_ROUNDS)
             logit = np.full(len(rows), math.log(prior / (1 - prior)))
             for j in range(votes.shape[1]):
                 w1, w0 = n * q * said[:, j], n * (1 - q) * said[:, j]
-                # Labelers are taken to be better than chance: two pseudo votes on the right side.
-                hit = (w1 @ (votes[:, j] == 1) + 2) / (w1.sum() + 3)
-                slip = (w0 @ (votes[:, j] == 1) + 1) / (w0.sum() + 3)
+                # Labelers are taken to be right four times in five: pseudo votes, which also tell the two classes apart.
+                hit = (w1 @ (votes[:, j] == 1) + 0.8 * PSEUDO) / (w1.sum() + PSEUDO)
+                slip = (w0 @ (votes[:, j] == 1) + 0.2 * PSEUDO) / (w0.sum() + PSEUDO)
                 yes, no = math.log(hit / slip), math.log((1 - hit) / (1 - slip))
                 logit += np.where(votes[:, j] == 1, yes, np.where(votes[:, j] == 0, no, 0.0))
             q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -207,34 +229,78 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = MODEL_ROUNDS)
     return posterior
 
 
+def seeds() -> list[str]:
+    """Sentences with personal data and with look-alikes, made by rule; they carry no labels."""
+    out = []
+    for i in range(40):
+        four = lambda k: f"{(i * 7919 + k * 104729) % 10_000:04d}"  # noqa: E731, B023
+        card = next(c for d in range(10) if luhn((c := f"4{four(1)}{four(2)}{four(3)}{i % 100:02d}{d}")))
+        bad = card[:-1] + str((int(card[-1]) + 3) % 10)
+        out += [
+            f"please contact first{i}.last@site{i}.com soon",
+            f"write to user{i} [at] mail{i} [dot] org today",
+            f"login from host 10.{i}.{i + 3}.{i + 11} last night",
+            f"paid by visa card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} then",
+            f"call my mobile ({200 + i}) 555-{four(4)} now",
+            f"phone +{1 + i % 9} {200 + i} 555 {four(5)} please",
+            f"see version {i}.{i + 1}.{300 + i}.{i * 9} of it",
+            f"in section {1 + i % 9}.{i}.{1 + i % 4} of the manual",
+            f"order {four(6)}{four(7)}{four(8)}{i} was sent",
+            f"serial {bad} on the box",
+            f"isbn 978-{i % 10}-{four(9)}-{four(10)}-{i % 10} in print",
+            f"on date 2024-{1 + i % 12:02d}-{1 + i % 28:02d} 1{i % 10}.30 it began",
+            f"item a{i}@b is a place holder",
+            f"invoice number {four(11)}.{four(12)} for the total",
+        ]
+    return out
+
+
+def _seed_counts() -> Counter[str]:
+    return Counter(pattern for text in seeds() for _, _, _, pattern, _ in candidates(text, base_spans(text)))
+
+
 def _design(patterns: list[str]) -> np.ndarray:
     rows = []
     for p in patterns:
-        kind, votes, bits = p.split("/")
-        rows.append([1.0, *(float(kind == k) for k in KINDS), *(float(c == y) for c in votes for y in "yn"), *(float(b) for b in bits)])
+        _, votes, bits = p.split("/")
+        rows.append([1.0, *(float(c == y) for c in votes for y in "yn"), *(float(b) for b in bits)])
     return np.array(rows)
 
 
-def span_classifier(counts: dict[str, int], posterior: dict[str, float], ridge: float = 1.0) -> dict[str, float]:
-    """Logistic regression on votes and span features, fitted to the EM posteriors as soft labels."""
-    patterns = sorted(counts)
-    if not patterns:
-        return {}
-    x, y = _design(patterns), np.array([posterior[p] for p in patterns])
-    n = np.array([counts[p] for p in patterns], float)
-    n *= 1000 / n.sum() if n.sum() > 1000 else 1.0
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (n * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (n * (y - p)) - ridge * w)
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+def span_classifier(counts: dict[str, float], posterior: dict[str, float], ridge: float = 1.0) -> dict[str, float]:
+    """Logistic regression on votes and span features for each kind, fitted to the EM posteriors as soft labels."""
+    out: dict[str, float] = {}
+    for kind in KINDS:
+        patterns = sorted(p for p in counts if p.startswith(kind + "/"))
+        if not patterns:
+            continue
+        x, y = _design(patterns), np.array([posterior[p] for p in patterns])
+        n = np.array([counts[p] for p in patterns], float)
+        w = np.zeros(x.shape[1])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = x.T @ (x * (n * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+            w += np.linalg.solve(h, x.T @ (n * (y - p)) - ridge * w)
+        out |= dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+    return out
+
+
+def evidence(counts: dict[str, int]) -> dict[str, float]:
+    """Counts of each kind scaled to EVIDENCE, and the seeds' counts."""
+    total: Counter[str] = Counter()
+    for p, n in counts.items():
+        total[p.split("/")[0]] += n
+    out = {p: float(n) for p, n in _seed_counts().items()}
+    for p, n in counts.items():
+        out[p] = out.get(p, 0.0) + EVIDENCE * n / total[p.split("/")[0]]
+    return out
 
 
 def train(found: DataFrame) -> dict[str, float]:
     """P(personal data) for each pattern that occurs. What is collected is the bounded table of patterns."""
     counts = {r["pattern"]: r["n"] for r in found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    return span_classifier(counts, expectation_maximisation(counts))
+    weighed = evidence(counts)
+    return span_classifier(weighed, expectation_maximisation(weighed))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,15 @@ def test_em_separates_good_labelers_from_bad():
     assert p["email/yyyy/11000"] > 0.5 > p["email/nnnn/00000"]
 
 
+def test_candidates_are_accepted_and_refused(spark):
+    yes = ["call my mobile (415) 555-0199 now", "write to joe.doe [at] mail [dot] com please", "phone 0044 20 7946 0018 today", "card 4111.1111.1111.1111 for payment"]
+    no = ["see version 12.4.300.7 of it", "order 4111111111111112 was sent", "isbn 978-3-1614-8410-0 in print", "section 3.2.1 of it", "on date 2024-05-17 12.30 it began", "item a1@b is here", "12345678901234567 items", "about 1234567890 of them"]
+    rows = {r["doc_id"]: r for r in pii.find(docs(spark, yes + no)).collect()}
+    added = [bool([s for s in rows[i]["spans"] if not s["base"]]) for i in range(len(yes + no))]
+    assert added[: len(yes)] == [True] * len(yes)
+    assert added[len(yes) :] == [False] * len(no)
+
+
 def naive_license(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     places = [(i, label) for phrase, label in license.PHRASES.items() for i in range(len(words)) if tuple(words[i : i + len(phrase)]) == phrase]
