@@ -29,32 +29,54 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
 # Wording of license notices, in the markup.
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD = f"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var;bullet;0;1>> {_SOURCE} <<var;bullet;0;1>> {_BINARY}"
+_NEITHER = "neither the name of <<var;holder;1;12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_BY_FSF = "general public license as published by the free software foundation"
 TEMPLATES = {
     "mit": [
         "<<beginOptional>>released <<beginOptional>>under<<endOptional>> <<endOptional>>under the mit license",
         "licensed under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
         "spdx license identifier mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        "<<beginOptional>> including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        f"<<beginOptional>> the above copyright notice and this permission notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software<<beginOptional>> {_WARRANTY}<<endOptional>><<endOptional>><<endOptional>>",
     ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "spdx license identifier isc"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-2-clause": [_BSD, "spdx license identifier bsd 2 clause"],
+    "bsd-3-clause": [f"{_BSD} <<var;bullet;0;1>> {_NEITHER}", "spdx license identifier bsd 3 clause"],
     "apache-2.0": [
         "licensed under the <<beginOptional>>terms of the <<endOptional>>apache license <<beginOptional>>version <<endOptional>>2 0",
+        "licensed under the apache license version 2 0 the license you may not use <<beginOptional>>this file <<endOptional>>except in compliance with the license you may obtain a copy of the license at <<var;address;1;10>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
         "spdx license identifier apache 2 0",
     ],
     "gpl-3.0": [
         "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3",
+        f"{_FREE} {_BY_FSF} either version 3 of the license<<beginOptional>> or at your option any later version<<endOptional>>",
         "spdx license identifier gpl 3 0",
     ],
     "gpl-2.0": [
         "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2",
+        f"{_FREE} {_BY_FSF} either version 2 of the license<<beginOptional>> or at your option any later version<<endOptional>>",
         "spdx license identifier gpl 2 0",
     ],
     "gpl-any": ["redistribute it and or modify it under the terms of the gnu <<beginOptional>>lesser <<endOptional>>general public license"],
+    "lgpl": [f"{_FREE} lesser {_BY_FSF} either version <<var;version;1;2>> of the license<<beginOptional>> or at your option any later version<<endOptional>>", "spdx license identifier lgpl <<var;version;1;1>> <<var;minor;1;1>>"],
+    "agpl-3.0": [f"{_FREE} affero {_BY_FSF} either version 3 of the license<<beginOptional>> or at your option any later version<<endOptional>>", "spdx license identifier agpl 3 0"],
+    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0<<beginOptional>> if a copy of the mpl was not distributed with this file you can obtain one at <<var;address;1;8>><<endOptional>>", "spdx license identifier mpl 2 0"],
+    "epl-2.0": ["made available under the terms of the eclipse public license <<beginOptional>>v <<endOptional>>2 0", "spdx license identifier epl 2 0"],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "bsl-1.0": ["distributed under the boost software license version 1 0", "spdx license identifier bsl 1 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain<<beginOptional>> anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means<<endOptional>>"],
     "cc-by-4.0": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by sa <<var;version;1;1>> 0"],
+    "cc-by-sa": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by sa <<var;version;1;1>> 0", "licensed under a creative commons attribution sharealike <<var;version;1;1>> 0 <<var;place;1;2>> license"],
+    "cc-by-nd": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by nd <<var;version;1;1>> 0", "licensed under a creative commons attribution noderivatives <<var;version;1;1>> 0 <<var;place;1;2>> license"],
     "cc0": ["cc0 1 0 universal", "dedicated to the public domain under cc0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
     "copyright": ["copyright <<beginOptional>>c <<endOptional>><<var;year and holder;1;8>> all rights reserved"],
 }
 
@@ -143,8 +165,34 @@ class Automaton:
 
 AUTOMATON = Automaton(TEMPLATES)
 
-# Every template and phrase holds one of these, so other texts need only be counted.
-_NEEDED = re.compile(r"licen[sc]e|reserved|cc|permission|permitted", re.I)
+
+
+def mandatory(template: str) -> set[str]:
+    """The words of a template outside all optional regions."""
+    found, depth = set(), 0
+    for mark, word in _MARK.findall(template):
+        depth += (mark == "beginOptional") - (mark == "endOptional")
+        if word and not depth:
+            found.add(word)
+    return found
+
+
+def _needed() -> re.Pattern:
+    """Words of which every template and phrase has one, so other texts need only be counted: a greedy cover by long words."""
+    every = [mandatory(t) for texts in TEMPLATES.values() for t in texts]
+    # Short words are common in any text; a phrase of short words only is looked up by its first.
+    left = [{w for w in ws if len(w) >= 7} for ws in every] + [{w for w in p if len(w) >= 7} or {p[0]} for p in PHRASES]
+    if not all(left):
+        raise ValueError("a template needs a mandatory word of seven letters or more")
+    chosen = []
+    while left:
+        best = max(sorted({w for ws in left for w in ws}), key=lambda w: (sum(any(w in x for x in ws) for ws in left), len(w)))
+        chosen.append(best)
+        left = [ws for ws in left if not any(best in x for x in ws)]
+    return re.compile("|".join(map(re.escape, chosen)), re.I | re.A)
+
+
+_NEEDED = _needed()
 
 
 def scan(text: str) -> tuple[int, int, int | None, int | None, list[str], list[str], list[tuple[int, int, str]]]:

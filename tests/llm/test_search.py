@@ -120,6 +120,49 @@ def test_templates_accept_only_exact_mandatory_wording(text, labels):
     assert license.scan(text)[5] == labels
 
 
+def naive_runs(words):
+    """For each start and label the longest run of a template's regular expression over space-ended words."""
+    text, starts = "", []
+    for w in words:
+        starts.append(len(text))
+        text += w + " "
+    ends = {at: i for i, at in enumerate([*starts, len(text)])}
+    found = {}
+    for label, templates in license.TEMPLATES.items():
+        for t in templates:
+            pattern = "".join("(?:" if m == "beginOptional" else ")?" if m == "endOptional" else r"(?:[^ ]+ ){%s,%s}" % tuple(m.split(";")[2:]) if m else re.escape(w) + " " for m, w in license._MARK.findall(t))
+            for i, at in enumerate(starts):
+                for end in (x for x in reversed([*starts[i + 1 :], len(text)]) if x > at):
+                    if re.compile(pattern).fullmatch(text, at, end):
+                        found[i, label] = max(found.get((i, label), 0), ends[end])
+                        break
+    return sorted((i, end, label) for (i, label), end in found.items())
+
+
+def test_templates_match_a_naive_matcher():
+    rng = random.Random(12)
+    for label, templates in license.TEMPLATES.items():
+        for t in templates:
+            words, skip = ["before"], 0
+            for mark, word in license._MARK.findall(t):
+                if mark == "beginOptional":
+                    skip += 1 if skip or rng.random() < 0.4 else 0
+                elif mark == "endOptional":
+                    skip -= skip > 0
+                elif mark and not skip:
+                    words += [f"fill{k}" for k in range(rng.randint(*map(int, mark.split(";")[2:])))]
+                elif word and not skip:
+                    words.append(word)
+            words.append("after")
+            assert sorted(license.AUTOMATON.accept(words)) == naive_runs(words)
+            text = " ".join(words).title()
+            assert label in license.scan(text)[5]
+            # Any change of a mandatory word takes the run away that held it.
+            at = next(i for i in range(len(words) - 2, 0, -1) if words[i] in license.mandatory(t))
+            words[at] = "changed"
+            assert sorted(license.AUTOMATON.accept(words)) == naive_runs(words)
+
+
 def test_license_odd_cases(spark):
     df = docs(spark, ODD).withColumn("labels", F.lit("x"))
     rows = license.notices(df).orderBy("doc_id").collect()
