@@ -391,11 +391,43 @@ def test_raking_meets_targets_and_budget(spark):
     assert np.allclose(both["probability_x"], both["probability_y"], atol=1e-6)
 
 
+def test_mixing_query_matches_a_plain_version(spark, sf_dir):
+    """op6_mixing on a whole table: cells, raking and probabilities against a loop over dictionaries."""
+    out = mixing.op6_mixing(spark, sf_dir).toPandas()
+    texts = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert sorted(out["doc_id"]) == sorted(texts)
+    assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", texts[d]["text"] or "")) for d, n in zip(out["doc_id"], out["tokens"], strict=True))
+    cells = {k: float(v) for k, v in out.groupby(["source", "lang", "topic"])["tokens"].sum().items()}
+    total = sum(cells.values())
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(400):
+        for d, goal in enumerate((lambda v, s: 1.0, lambda v, s: mixing.TARGETS["lang"].get(v, 0.0), lambda v, s: s**0.5)):
+            raw, now = {}, {}
+            for k in cells:
+                raw[k[d]] = raw.get(k[d], 0) + cells[k] / total
+                now[k[d]] = now.get(k[d], 0) + w[k]
+            want = {v: goal(v, s) * (s > 0) for v, s in raw.items()}
+            w = {k: x * want[k[d]] / sum(want.values()) / now[k[d]] if now[k[d]] else 0.0 for k, x in w.items()}
+    p, free, left = {k: 1.0 for k in cells}, {k for k in cells if cells[k] and w[k]}, 0.5 * total
+    while free:
+        scale = left / sum(w[k] * total for k in free)
+        over = {k for k in free if scale * w[k] * total / cells[k] >= 1}
+        if not over:
+            p |= {k: scale * w[k] * total / cells[k] for k in free}
+            break
+        left -= sum(cells[k] for k in over)
+        free -= over
+    want = [p[k] for k in zip(out["source"], out["lang"], out["topic"], strict=True)]
+    assert np.allclose(out["probability"], want, atol=1e-6)
+    assert out["residual"].iloc[0] < 1e-3 and out["topic"].nunique() > 2
+
+
 def test_mixing_odd_cases(spark):
     df = docs(spark, ODD).withColumn("tokens", F.lit(5)).withColumn("topic", F.lit("t")).withColumn("probability", F.lit(0.5)).withColumn("_source", F.lit("q"))
     assert mixing.weigh(df).count() == 5
     kept = mixing.sample(df, budget=1.0)
-    assert kept.count() == 5 and {"topic", "tokens", "mix_weight", "probability"} <= set(kept.columns)
+    assert kept.count() == 5 and set(kept.columns) == {*df.columns, "mix_topic", "mix_tokens", "mix_weight"}
+    assert kept.select("topic", "tokens").distinct().collect() == [("t", 5)]
     assert mixing.weigh(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
     assert mixing.probabilities(np.array([10.0, 10.0, 0.0]), np.array([0.9, 0.1, 0.0]), 0.5).tolist() == pytest.approx([0.9, 0.1, 1.0])
 
