@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from cairnfield.llm import host_rules
+from cairnfield.llm import host_rules, pipeline
 from cairnfield.llm.decontaminate import op8_decontaminate
 from cairnfield.llm.host_rules import op10_host_rules
 from cairnfield.llm.license import op4_license
@@ -22,9 +21,9 @@ from cairnfield.llm.wrapper import op3_html
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_pii, op2_simhash, op3_html, op4_license, op5_secrets, op6_mixing, op7_quality, op8_decontaminate, op9_toxicity, op10_host_rules)
-    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in numbered} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op10_host_rules": host_rules.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op10_host_rules": host_rules.ORACLE_SQL, "pipeline": pipeline.ORACLE_SQL}
     return {name: sql for name, sql in known.items() if sql is not None}
