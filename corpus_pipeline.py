@@ -1,56 +1,5 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, mix.
+"""The corpus pipeline; its stages live in ``cairnfield.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's documents. All but the last return the columns of ``documents``.
-"""
+from cairnfield.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from cairnfield.llm import decontaminate, mixing, pii, quality, simhash
-from cairnfield.llm.common import materialize, table
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_first(docs)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; all documents stay."""
-    return pii.redact(docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by calibrated probabilities."""
-    return mixing.sample(docs)
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("near-duplicates", near_duplicate_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("personal data", pii_stage),
-    ("source mix", mixing_stage),
-]
-
-#: The classifier, the fingerprints and the raking have no SQL form; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
