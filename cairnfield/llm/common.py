@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairnfield.sources.work import table as materialize
 from cairnfield.sources.work import work_dir
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "held_out", "lean_batches", "materialize", "shuffle_partitions", "small", "table", "work_dir"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "held_out", "lean_batches", "materialize", "shuffle_partitions", "skewed_join", "small", "table", "work_dir"]
 
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -43,3 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """True for rows whose crc32(doc_id as text) mod 3 is 1; such rows are never learned from. Null ids: False."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+#: A key with over 1 / HOT_KEYS of all rows is hot: there are fewer than HOT_KEYS of them, whatever the input.
+HOT_KEYS = 256
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (key, n, ...), n being how many of the ``rows`` rows of ``left`` have the key.
+
+    The few hot keys are broadcast and their rows stay where they are; only the others are shuffled.
+    """
+    limit = max(1_000, rows // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col("n") > limit))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= limit), key)
+    return left.join(hot, key).unionByName(rest)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions
+from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions, skewed_join, small
 from cairnfield.llm.components import components
 
 RADIUS = 3
@@ -45,7 +45,7 @@ JOIN_SHINGLE, SIMILARITY = 5, 0.8
 TABLES, SEGMENT = 18, 32
 #: Candidates whose TABLES x SEGMENT bits differ in a greater share are not verified: five standard deviations from 0.15.
 FAR = 0.245
-#: Within a variant each text is compared with so many next ones in hash order.
+#: Within a variant a text of each group found so far is compared with those of so many next groups in hash order.
 NEIGHBOURS = 3
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -231,40 +231,54 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "t", "key", "sig"])
 
 
-def _emit_segments(buckets: int):
-    """(key, sig) to rows (bucket, variants, codes, keys): packed one-bit variants of every table's segment."""
-    masks = np.concatenate([[0], [1 << i for i in range(SEGMENT)]]).astype(np.uint64)
+def _emit_segments(buckets: int, flips: bool):
+    """(key, group, sig) to rows (bucket, variants, tables, keys, groups): packed segments of every table, with their one-bit variants if ``flips``."""
+    masks = np.array([0, *([1 << i for i in range(SEGMENT)] if flips else [])], np.uint64)
     table = (np.arange(TABLES, dtype=np.uint64) << np.uint64(SEGMENT))[None, :, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                keys = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-                segments = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, TABLES)
+                ids = [np.array(part.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1)]
+                segments = np.array(part.column(2).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, TABLES)
                 variants = ((segments[:, :, None] ^ masks[None, None, :]) | table).ravel()
-                of = np.repeat(keys, TABLES * len(masks))
                 to = (_mix(variants) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
-                variants, of, to = variants[order], of[order], to[order]
+                variants, to, of = variants[order], to[order], order // (TABLES * len(masks))
                 present, first = np.unique(to, return_index=True)
                 last = np.append(first[1:], len(to))
-                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(present), cut((variants & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)), cut((variants >> np.uint64(SEGMENT)).astype(np.uint8)), cut(of)], names=["bucket", "variants", "tables", "keys"])
+                # The texts of a row are listed once; variants name them by their place.
+                rows: list[list[bytes]] = [[], [], [], [], [], []]
+                for i, j in zip(first, last, strict=True):
+                    mine, place = np.unique(of[i:j], return_inverse=True)
+                    key, group = ids[0][mine], ids[1][mine]
+                    # Few texts have a group other than themselves.
+                    odd = np.flatnonzero(key != group)
+                    for out, x in zip(rows, (variants[i:j].astype(np.uint32), (variants[i:j] >> np.uint64(SEGMENT)).astype(np.uint8), place.astype(np.uint16), key, odd.astype(np.uint16), group[odd]), strict=True):
+                        out.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(x, pa.binary()) for x in rows)], names=["bucket", "variants", "tables", "places", "keys", "odd", "groups"])
 
     return run
 
 
 def _neighbours(rows: pa.Table) -> pa.Table:
-    """Pairs of texts that share a variant: each with the next ones in hash order, so a hot variant costs no square."""
-    read = lambda name, kind: np.frombuffer(b"".join(x.as_buffer() for x in rows.column(name)), kind)
-    variants = read("variants", np.uint32).astype(np.uint64) | (read("tables", np.uint8).astype(np.uint64) << np.uint64(SEGMENT))
-    keys = read("keys", np.int64)
-    order = np.lexsort((_mix(keys.view(np.uint64)), variants))
-    variants, keys = variants[order], keys[order]
+    """Pairs of texts of different groups that share a variant: one text of each group, by a hash of text and variant, with those of the next groups."""
+    parts = []
+    for v, t, p, k, o, g in zip(*(rows.column(n) for n in ("variants", "tables", "places", "keys", "odd", "groups")), strict=True):
+        place, key = np.frombuffer(p.as_buffer(), np.uint16), np.frombuffer(k.as_buffer(), np.int64)
+        group = key.copy()
+        group[np.frombuffer(o.as_buffer(), np.uint16)] = np.frombuffer(g.as_buffer(), np.int64)
+        high = np.frombuffer(t.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(SEGMENT)
+        parts.append((np.frombuffer(v.as_buffer(), np.uint32).astype(np.uint64) | high, key[place], group[place]))
+    variants, keys, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((_mix(keys.view(np.uint64) ^ variants), _mix(groups.view(np.uint64)), variants))
+    variants, keys, groups = variants[order], keys[order], groups[order]
+    first = np.append(True, (variants[1:] != variants[:-1]) | (groups[1:] != groups[:-1]))
+    variants, keys = variants[first], keys[first]
     found = [np.zeros((0, 2), np.int64)]
     for step in range(1, NEIGHBOURS + 1):
-        same = (variants[step:] == variants[:-step]) & (keys[step:] != keys[:-step])
+        same = variants[step:] == variants[:-step]
         a, b = keys[:-step][same], keys[step:][same]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
@@ -290,35 +304,51 @@ def _verify(least: float):
     return run
 
 
+def _candidates(nodes: DataFrame, flips: bool) -> DataFrame:
+    """(a, b): pairs of nodes (key, group, sig) of different groups that meet and are not FAR apart."""
+    n = nodes.count()
+    buckets = max(shuffle_partitions(nodes.sparkSession), -(-n * TABLES * (1 + SEGMENT * flips) // BUCKET_VARIANTS))
+    spread = nodes.select("key", "group", "sig").repartition(max(6, -(-n // 20_000)))
+    blocks = spread.mapInArrow(_emit_segments(buckets, flips), "bucket int, variants binary, tables binary, places binary, keys binary, odd binary, groups binary")
+    met = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct()
+    sig = nodes.select("key", "sig")
+    both = met.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return materialize(both.where(apart <= int(FAR * TABLES * SEGMENT)).select("a", "b"), "candidates")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, only: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar; only the texts of these nodes are read again."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
+    wanted = small(materialize(wanted, "wanted"))
+    texts = only.join(wanted, (only.t == wanted["_t"]) & only.doc_id.eqNullSafe(wanted["_id"])).select("key", "text")
+    sets = materialize(texts.mapInArrow(_sets, "key long, set binary"), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(_verify(similarity), "a long, b long"), "similar")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, t, key, group): groups of texts that links of Jaccard ``similarity`` or more connect, over five-word shingles.
 
-    ``t`` is xxhash64 of the text and ``key`` a hash of its lower-cased words: texts with equal words are one node. Every
-    node emits the one-bit variants of its segments, nodes that meet on a variant are candidates, and exact similarity
-    decides. Texts without words are one group. Null texts count as empty. Rows stay repeated.
+    ``t`` is xxhash64 of the text and ``key`` a hash of its lower-cased words: texts with equal words are one node. First, nodes
+    that share a segment are compared with the next ones in hash order, so large groups of near copies are found by pairs in proportion
+    to their texts. Then every node emits the one-bit variants of its segments, and only pairs of different groups
+    are candidates; exact similarity decides both times. A pair within a group needs no verification, as it is connected.
+    Texts without words are one group. Null texts count as empty. Rows stay repeated.
     """
-    spark = docs.sparkSession
     only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
     prints = materialize(only.mapInArrow(_signatures, f"doc_id {kind}, t long, key long, sig array<long>"), "signatures")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
-    nodes = materialize(prints.groupBy("key").agg(one, F.first("sig", ignorenulls=True).alias("sig")).where("sig is not null"), "nodes")
-    n = nodes.count()
-    buckets = max(shuffle_partitions(spark), -(-n * TABLES * (SEGMENT + 1) // BUCKET_VARIANTS))
-    spread = nodes.select("key", "sig").repartition(max(6, -(-n // 20_000)))
-    blocks = spread.mapInArrow(_emit_segments(buckets), "bucket int, variants binary, tables binary, keys binary")
-    met = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct()
-    sig = nodes.select("key", "sig")
-    both = met.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = materialize(both.where(apart <= int(FAR * TABLES * SEGMENT)).select("a", "b"), "candidates")
-    wanted = near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
-    texts = only.join(wanted, (only.t == wanted["_t"]) & only.doc_id.eqNullSafe(wanted["_id"])).select("key", "text")
-    sets = materialize(texts.mapInArrow(_sets, "key long, set binary"), "sets")
-    pairs = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    linked = pairs.mapInArrow(_verify(similarity), "a long, b long")
-    reached = materialize(components(linked, "a", "b"), "components")
-    return prints.join(reached, prints.key == reached.node, "left").select("doc_id", "t", "key", F.coalesce("component", "key").alias("group"))
+    nodes = materialize(prints.groupBy("key").agg(one, F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("n")), "nodes")
+    words = nodes.where("sig is not null")
+    linked = _verified(_candidates(words.withColumn("group", F.col("key")), False), words, only, similarity)
+    reached = materialize(components(linked, "a", "b"), "components").withColumnRenamed("node", "key")
+    grouped = materialize(words.join(reached, "key", "left").select("key", "one", "sig", F.coalesce("component", "key").alias("group")), "grouped")
+    more = _verified(_candidates(grouped, True), words, only, similarity)
+    final = materialize(components(linked.union(more), "a", "b"), "components").withColumnRenamed("node", "key")
+    named = nodes.join(final, "key", "left").select("key", "n", F.coalesce("component", "key").alias("group"))
+    return skewed_join(prints.select("doc_id", "t", "key"), named, "key", prints.count()).select("doc_id", "t", "key", "group")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,10 +361,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     first = found.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Rows of groups of one stay without a join: only what goes, and first rows that are repeated, are looked up.
-    members = found.join(first.select(F.col("group").alias("_group"), "first"), F.col("group") == F.col("_group"))
+    members = skewed_join(found, first, "group", found.count())
     told = materialize(members.groupBy("doc_id", "t").agg(F.min((row == F.col("first")).cast("int")).alias("stays"), F.count("*").alias("n")), "members")
     gone = told.where("stays = 0 or n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "stays")
     at = lambda other: docs[id_col].eqNullSafe(other["_id"]) & (F.xxhash64(docs[text_col]) == other["_t"])
+    gone = small(gone)
     kept = docs.join(gone, at(gone), "left_anti")
     again = told.where("stays = 1 and n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
     if again.isEmpty():
