@@ -25,11 +25,11 @@ def wide_predictions(store: DataFrame, targets: Sequence[str]) -> DataFrame:
     return store.groupBy(*keys).pivot("target", list(targets)).agg(F.first("samples")).select(*keys, *[F.col(t).alias(f"pred_{t}") for t in targets])
 
 
-def evaluation_join(actual: DataFrame, predictions: DataFrame, steps: Mapping[int, int]) -> DataFrame:
-    """Predictions with their truth and step from a declared month-to-step map; months outside the map raise."""
+def evaluation_join(actual: DataFrame, predictions: DataFrame, steps: Mapping[int, Mapping[int, int]]) -> DataFrame:
+    """Predictions with their truth and step from the month-to-step map declared for each origin; months outside it raise."""
     spark = actual.sparkSession
-    table = spark.createDataFrame([(int(m), int(s)) for m, s in steps.items()], "month_id int, step int")
-    joined = predictions.join(F.broadcast(table), "month_id", "left")
+    table = spark.createDataFrame([(int(o), int(m), int(s)) for o, of in steps.items() for m, s in of.items()], "m0 int, month_id int, step int")
+    joined = predictions.join(F.broadcast(table), ["m0", "month_id"], "left")
     step = F.when(F.col("step").isNull(), F.raise_error(F.lit("a predicted month has no step"))).otherwise(F.col("step"))
     return joined.withColumn("step", step).join(actual, ["month_id", "unit", "target"])
 

@@ -179,14 +179,16 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(pairs).select("p.*")
 
 
-def neighbourhood_sum(cells: DataFrame, value: Column, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, row, col, box): mean over the n x n box around each cell, zero beyond the border.
+def neighbourhood_sum(cells: DataFrame, values: Mapping[str, Column], n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, row, col, one column for each of ``values``): means over the n x n box around each cell, zero beyond the border.
 
-    Each cell sends its value to the cells of its box, an equi-join's worth of rows turned into one aggregation.
+    A box is a sum over rows of sums over columns: each cell is sent to n rows, the sums to n columns, so it costs 2 n rows and
+    not n x n; all values go together. Places without a cell carry sums between the two steps.
     """
     half = n // 2
     shifts = F.sequence(F.lit(-half), F.lit(n - 1 - half))
-    sent = cells.select(*keys, "row", "col", value.alias("v")).select("*", F.explode(shifts).alias("dr")).select("*", F.explode(shifts).alias("dc"))
-    sent = sent.select(*keys, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "v")
-    box = sent.groupBy(*keys, "row", "col").agg((F.sum("v") / (n * n)).alias("box"))
-    return cells.select(*keys, "row", "col").join(box, [*keys, "row", "col"])
+    sums = [F.sum(v).alias(v) for v in values]
+    rows = cells.select(*keys, "row", "col", *[v.alias(name) for name, v in values.items()], F.explode(shifts).alias("d"))
+    tall = rows.groupBy(*keys, (F.col("row") + F.col("d")).alias("row"), "col").agg(*sums)
+    wide = tall.select("*", F.explode(shifts).alias("d")).groupBy(*keys, "row", (F.col("col") + F.col("d")).alias("col")).agg(*sums)
+    return cells.select(*keys, "row", "col").join(wide.select(*keys, "row", "col", *[(F.col(v) / (n * n)).alias(v) for v in values]), [*keys, "row", "col"])

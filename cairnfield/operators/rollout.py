@@ -1,7 +1,7 @@
 """The sequential roll-out and random draws of count families: the steps without a relational form.
 
-A roll-out feeds its own output back, so months of one (origin, pass) run in order inside one group; groups run in
-parallel. A group holds one grid of cells, not the panel's history: the state is folded month by month.
+A roll-out feeds its own output back, so months of one (origin, pass, block of units) run in order inside one group; groups
+run in parallel. A group holds the history and the free months of its block.
 """
 
 from __future__ import annotations
@@ -28,17 +28,20 @@ def _stream(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([abs(int(k)) for k in key])))
 
 
-def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, passes: int, history: int, seed: int, scorer: Scorer = smoothing_scorer, feedback: str = "sample", cap: float | None = None) -> DataFrame:
+def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, passes: int, history: int, seed: int, scorer: Scorer = smoothing_scorer, feedback: str = "sample", cap: float | None = None, block_units: int | None = 1_000) -> DataFrame:
     """(m0, pass_no, h, month_id, unit, mean, draw): months before m0 are digested, then ``steps`` months run freely.
 
     ``feedback`` is what a free step gets: the mean, or one Poisson draw for each cell, capped on the copy fed back only;
-    ``teacher_forced`` gets the truth where it is known.
+    ``teacher_forced`` gets the truth where it is known. Units are dealt in blocks of ``block_units`` ids, so a group holds that many
+    units times history and steps whatever the panel's size; this needs a scorer that treats cells by themselves. For one
+    that sees the whole grid (a convolution, say) give None: a group then holds the grid.
     """
     if feedback not in ("mean", "sample", "teacher_forced"):
         raise ValueError(f"unknown feedback {feedback!r}")
     listed = origins.select("m0", F.explode(F.sequence(F.col("m0") - history, F.col("m0") + steps - 1)).alias("month_id")).withColumn("month_id", F.col("month_id").cast("int"))
     rows = panel.select("month_id", "unit", F.col(column).cast("double").alias("x")).join(F.broadcast(listed), "month_id")
-    many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass_no"))
+    block = F.floor(F.col("unit") / block_units).cast("int") if block_units else F.lit(0)
+    many = rows.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass_no"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         m0, pass_no = int(pdf["m0"].iloc[0]), int(pdf["pass_no"].iloc[0])
@@ -46,7 +49,7 @@ def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, p
         units = wide.columns.to_numpy()
         state = np.zeros(len(units))
         mean = np.zeros(len(units))
-        rng = _stream(seed, m0, pass_no)
+        rng = _stream(seed, m0, pass_no, int(pdf["block"].iloc[0]))
         for month in range(m0 - history, m0):
             field = wide.loc[month].to_numpy() if month in wide.index else np.zeros(len(units))
             state, mean = scorer(state, field, rng)
@@ -60,12 +63,12 @@ def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, p
             state, mean = scorer(state, fed if cap is None else np.minimum(fed, cap), rng)
         return pd.concat(out)
 
-    return many.groupBy("m0", "pass_no").applyInPandas(fold, "m0 int, pass_no int, h int, month_id int, unit long, mean double, draw double")
+    return many.groupBy("m0", "pass_no", "block").applyInPandas(fold, "m0 int, pass_no int, h int, month_id int, unit long, mean double, draw double")
 
 
-def posterior(rolled: DataFrame) -> DataFrame:
-    """(m0, h, month_id, unit, samples): the passes' draws in order of the pass."""
-    return rolled.groupBy("m0", "h", "month_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "draw"))), lambda s: s["draw"]).alias("samples"))
+def posterior(rolled: DataFrame, *by: str) -> DataFrame:
+    """(by, m0, h, month_id, unit, samples): the passes' draws in order of the pass."""
+    return rolled.groupBy(*by, "m0", "h", "month_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "draw"))), lambda s: s["draw"]).alias("samples"))
 
 
 def family_draws(params: DataFrame, family: str, k: int, seed: int, core: bool = False) -> DataFrame:
@@ -79,6 +82,24 @@ def family_draws(params: DataFrame, family: str, k: int, seed: int, core: bool =
         mu, theta = max(mu, 1e-6), max(theta, 1e-6)
         return rng.poisson(np.minimum(rng.gamma(theta, mu / theta, n), 1e9)).astype(float)
 
+    def truncated(rng: np.random.Generator, mu: float, theta: float) -> np.ndarray:
+        """Exact draws given Y > 0: again where zeros are few, else as a sum of logarithmic series, a truncated Poisson number of them."""
+        rate = theta * np.log1p(mu / theta)  # P(Y = 0) is exp(-rate)
+        if rate > 0.05:
+            x = nb(rng, mu, theta, k)
+            while (zero := x == 0).any():
+                x[zero] = nb(rng, mu, theta, int(zero.sum()))
+            return x
+        u, number, p = rng.random(k) * -np.expm1(-rate), np.ones(k, int), rate * np.exp(-rate)
+        u -= p
+        while (more := u > 0).any():
+            number[more] += 1
+            p = p * rate / number.max()
+            if p == 0:
+                break
+            u[more] -= p
+        return np.array([rng.logseries(min(mu / (mu + theta), 1 - 1e-12), n).sum() for n in number], float)
+
     def draw(r) -> list[float]:
         rng = _stream(seed, int(r.key))
         if family == "zinb":
@@ -87,13 +108,7 @@ def family_draws(params: DataFrame, family: str, k: int, seed: int, core: bool =
         if family == "mixture":
             return np.where(rng.random(k) < r.w, nb(rng, r.mu, r.theta, k), nb(rng, r.mu2, r.theta2, k)).tolist()
         if family == "truncated":
-            x = nb(rng, r.mu, r.theta, k)
-            for _ in range(20):
-                zero = x == 0
-                if not zero.any():
-                    break
-                x[zero] = nb(rng, r.mu, r.theta, int(zero.sum()))
-            return np.maximum(x, 1.0).tolist()
+            return truncated(rng, max(r.mu, 1e-6), max(r.theta, 1e-6)).tolist()
         return nb(rng, r.mu, r.theta, k).tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,12 +119,16 @@ def family_draws(params: DataFrame, family: str, k: int, seed: int, core: bool =
     return params.select(*columns).mapInPandas(run, "key long, " + ", ".join(f"{c} double" for c in columns[1:]) + ", samples array<double>")
 
 
-@F.pandas_udf(DoubleType())
-def lgamma(x: pd.Series) -> pd.Series:
-    """log Γ; Spark SQL has none."""
-    from math import lgamma as f
+def lgamma(x):
+    """log Γ of positive numbers, which Spark SQL lacks: Stirling's series from 8 on, and below by the recurrence. Null for NaN."""
+
+    def series(z):
+        # Coefficients of Stirling's series.
+        tail = sum(F.lit(c) / F.pow(z, F.lit(float(n))) for n, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188), (11, -691 / 360360)))
+        return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + tail
 
-    return x.map(lambda v: None if v is None or v != v else f(v))
+    shifted = series(x + 8.0) - sum(F.log(x + float(i)) for i in range(8))
+    return F.when(~F.isnan(x), F.when(x < 8, shifted).otherwise(series(x)))
 
 
 @F.pandas_udf(DoubleType())

@@ -199,9 +199,7 @@ def fractions_skill(fields: DataFrame, grid: DataFrame, keys: Sequence[str], sca
     cells = fields.join(grid.select("unit", "row", "col"), "unit").select(*keys, "row", "col", (F.col("ey") > level).cast("double").alias("f"), (F.col("y") > 0).cast("double").alias("o"))
     out = None
     for n in scales:
-        f = neighbourhood_sum(cells, F.col("f"), n, keys).withColumnRenamed("box", "bf")
-        o = neighbourhood_sum(cells, F.col("o"), n, keys).withColumnRenamed("box", "bo")
-        one = f.join(o, [*keys, "row", "col"]).groupBy(*keys).agg(F.sum((F.col("bf") - F.col("bo")) ** 2).alias("num"), F.sum(F.col("bf") ** 2 + F.col("bo") ** 2).alias("den")).select(*keys, F.lit(n).alias("scale"), F.when(F.col("den") > 0, 1 - F.col("num") / F.col("den")).alias("fss"))
+        one = neighbourhood_sum(cells, {"bf": F.col("f"), "bo": F.col("o")}, n, keys).groupBy(*keys).agg(F.sum((F.col("bf") - F.col("bo")) ** 2).alias("num"), F.sum(F.col("bf") ** 2 + F.col("bo") ** 2).alias("den")).select(*keys, F.lit(n).alias("scale"), F.when(F.col("den") > 0, 1 - F.col("num") / F.col("den")).alias("fss"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -282,11 +280,9 @@ def gate_sweep(cells: DataFrame, by: Sequence[str], temperatures: Sequence[float
 
 def evaluation_schemas(cells: DataFrame, value: str = "crps") -> DataFrame:
     """(arm, target, by_origin, by_step, by_month, n, score): one pass over the three groupings, as grouping sets."""
-    cells.createOrReplaceTempView("_evaluation_cells")
-    return cells.sparkSession.sql(
-        f"select arm, target, m0 as by_origin, h as by_step, month_id as by_month, count(*) as n, avg({value}) as score from _evaluation_cells "
-        "group by grouping sets ((arm, target, m0), (arm, target, h), (arm, target, month_id))"
-    )
+    kinds = {"m0": "by_origin", "h": "by_step", "month_id": "by_month"}
+    named = cells.select("arm", "target", *[F.col(c).alias(k) for c, k in kinds.items()], F.col(value).alias("_value"))
+    return named.groupingSets([["arm", "target", k] for k in kinds.values()], "arm", "target", *kinds.values()).agg(F.count("*").alias("n"), F.avg("_value").alias("score"))
 
 
 def ensemble(store: DataFrame) -> DataFrame:

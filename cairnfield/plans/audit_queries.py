@@ -37,12 +37,12 @@ def wide_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide.withColumns({f"pred_{t}": arrays.mean(F.col(f"pred_{t}")) for t in X.TARGETS}))
 
 
-@query(f"""with {X.preds_sql((1, 6))}, few as (select * from preds where m0 = 230 and arm = 'A')
-select month_id - 229 as step, count(*) as n, {q6(f'avg({X.CRPS_SQL})')} as crps from few group by 1""")
+@query(f"""with {X.preds_sql()}
+select arm, m0, month_id - m0 + 1 as step, count(*) as n, {q6(f'avg({X.CRPS_SQL})')} as crps from preds group by 1, 2, 3""")
 def evaluation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = store(spark, sf_dir, (1, 6), ("A",)).where("m0 = 230")
-    joined = A.evaluation_join(truth(spark, sf_dir), few, {229 + s: s for s in range(1, 13)})
-    return rounded(S.cell_scores(joined).groupBy("step").agg(F.count("*").alias("n"), F.avg("crps").alias("crps")))
+    steps = {m0: {m0 + s - 1: s for s in range(1, 13)} for m0 in range(X.ORIGINS[0], X.ORIGINS[1] + 1)}
+    joined = A.evaluation_join(truth(spark, sf_dir), store(spark, sf_dir), steps)
+    return rounded(S.cell_scores(joined).groupBy("arm", "m0", "step").agg(F.count("*").alias("n"), F.avg("crps").alias("crps")))
 
 
 @query(f"""with {X.SPARSE_SQL}, b as (select * from sparse where unit % 13 <> 0)
@@ -234,11 +234,11 @@ def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.confirm(b)
 
 
-@query(f"""with {X.preds_sql(T0)}, t as (select arm, target, m0, unit, y, {X.MEAN_SQL} as mean_field, samples[1] as draw_field from preds where m0 in (227, 233))
+@query(f"""with {X.preds_sql(T0)}, t as (select arm, target, m0, unit, y, {X.MEAN_SQL} as mean_field, samples[1] as draw_field from preds)
 select arm, target, {q6('count(*) filter (where mean_field > 0.5) / greatest(count(*) filter (where y > 0), 1)')} as mean_area, {q6('count(*) filter (where draw_field > 0.5) / greatest(count(*) filter (where y > 0), 1)')} as draw_area from t group by 1, 2""")
 def sharpness_of_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean field spreads where a single draw is sharp: forecast area over event area of both."""
-    s = scored(spark, sf_dir, T0).where(F.col("m0").isin(227, 233))
+    s = scored(spark, sf_dir, T0)
     field = lambda c, name: S.area_concentration(s.select(*AT, "unit", "y", c.alias("ey")), AT).select(*AT, F.col("area_ratio").alias(name))
     mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
     return rounded(field(mean, "mean_area").join(field(F.get("samples", F.lit(0)), "draw_area"), AT))

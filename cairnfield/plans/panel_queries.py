@@ -34,13 +34,13 @@ def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel that breaks several contracts: repeated keys, missing values, rows before the anchor."""
-    d = dense(spark, sf_dir).where("month_id <= 200")
+    d = dense(spark, sf_dir)
     holes = d.withColumn("lr_os", F.when(F.col("unit") % 7 != 0, F.col("lr_os")))
     return holes.unionByName(holes.where("month_id = 181 and unit <= 3"))
 
 
 @query(f"""with {X.DENSE_SQL},
-holes as (select month_id, unit, row, col, c_id, lr_sb, lr_ns, case when unit % 7 <> 0 then lr_os end as lr_os from dense where month_id <= 200),
+holes as (select month_id, unit, row, col, c_id, lr_sb, lr_ns, case when unit % 7 <> 0 then lr_os end as lr_os from dense),
 broken as (select * from holes union all select * from holes where month_id = 181 and unit <= 3),
 keyed as (select month_id, unit, count(*) as k from broken group by 1, 2),
 placed as (select month_id, row, col, count(*) as k from broken group by 1, 2, 3),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,7 +153,7 @@ def _out(columns: str) -> str:
     return ", ".join(f"{q6(c)} as {c}" for c in columns.split())
 
 
-REPS = 200
+REPS = 2_000
 
 
 @query(f"""with {cells_sql()}, {_PAIRS_SQL}, {_block_sql('pairs', 'target, h', REPS, 0.9, 'block')} select target, h, n, blocks, {_out('mean low high p')} from block""")
@@ -320,15 +322,14 @@ def _fss_sql() -> str:
     one = lambda n: f"""select a.arm, a.target, a.m0, {n} as scale, a.row, a.col, sum(b.f) / {n * n} as bf, sum(b.o) / {n * n} as bo from field a join field b
   on a.arm = b.arm and a.target = b.target and a.m0 = b.m0 and b.row between a.row - {n // 2} and a.row + {n // 2} and b.col between a.col - {n // 2} and a.col + {n // 2} group by 1, 2, 3, 4, 5, 6"""
     return f"""with {cells_sql(T0)},
-field as (select c.arm, c.target, c.m0, g.row, g.col, case when ey > 0.5 then 1.0::double else 0.0::double end as f, case when y > 0 then 1.0::double else 0.0::double end as o from cells c join grid g on c.unit = g.unit where c.m0 in (227, 233)),
+field as (select c.arm, c.target, c.m0, g.row, g.col, case when ey > 0.5 then 1.0::double else 0.0::double end as f, case when y > 0 then 1.0::double else 0.0::double end as o from cells c join grid g on c.unit = g.unit),
 boxes as ({one(1)} union all {one(3)} union all {one(5)})
 select arm, target, m0, scale, {q6('case when sum(bf * bf + bo * bo) > 0 then 1 - sum((bf - bo) ** 2) / sum(bf * bf + bo * bo) end')} as fss from boxes group by 1, 2, 3, 4"""
 
 
 @query(_fss_sql())
 def fss_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir, T0).where(F.col("m0").isin(227, 233))
-    return rounded(S.fractions_skill(c, X.grid(spark, sf_dir), ["arm", "target", "m0"], (1, 3, 5)))
+    return rounded(S.fractions_skill(cells(spark, sf_dir, T0), X.grid(spark, sf_dir), ["arm", "target", "m0"], (1, 3, 5)))
 
 
 _RANKED_SQL = """ranked as (select *, row_number() over (partition by arm, target, m0 order by ey desc, unit) as k, sum(case when ey > 0 then 1 else 0 end) over (partition by arm, target, m0) as pos,
@@ -576,9 +577,10 @@ def attractor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rollout_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = origins(spark).where("m0 in (227, 233, 239)")
-    rolled = RO.roll_out(dense(spark, sf_dir), few, "lr_sb", steps=12, passes=4, history=24, seed=3)
-    return RO.posterior(rolled)
+    """Every origin and target: 24 months are digested, then 12 run freely in four passes."""
+    panel, every = dense(spark, sf_dir), origins(spark)
+    rolled = [RO.roll_out(panel, every, f"lr_{t}", steps=12, passes=4, history=24, seed=3 + i).withColumn("target", F.lit(t)) for i, t in enumerate(X.TARGETS)]
+    return RO.posterior(reduce(DataFrame.unionByName, rolled), "target")
 
 
 @query()

@@ -101,7 +101,12 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_artifact(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
     """The newest artifact (by the time stamp that ends its name); a wrong checksum is an error."""
-    found = artifacts(spark, path).withColumn("stamp", F.regexp_extract("path", r"(\d{8}_\d{6})\.[A-Za-z0-9.]+$", 1)).orderBy(F.desc("stamp"), F.desc("path")).limit(1)
+    # Names first: only the content of the one that is chosen is read and hashed.
+    names = spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"(\d{8}_\d{6})\.[A-Za-z0-9.]+$", 1).alias("stamp"))
+    newest = names.orderBy(F.desc("stamp"), F.desc("path")).first()
+    if newest is None:
+        return artifacts(spark, path).withColumn("stamp", F.lit(""))
+    found = artifacts(spark, newest["path"]).withColumn("stamp", F.lit(newest["stamp"]))
     if sha256 is not None and [r["sha256"] for r in found.collect()] != [sha256]:
         raise ContractError("the artifact's checksum differs from its record")
     return found

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (tests on one machine) a local folder is set."""
+    """``spark.checkpoint.dir``; a folder of this machine only where the session names none and runs on this machine alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/cairnfield-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -199,6 +200,11 @@ def test_family_draws_have_their_moments(spark):
     x = np.array([r["samples"] for r in RO.family_draws(p, "zinb", 400, 5).collect()])
     assert x.mean() == pytest.approx(0.75 * 3, abs=0.15)
     assert (np.array([r["samples"] for r in RO.family_draws(p, "truncated", 50, 5).collect()]) >= 1).all()
+    # Little mass above zero: the draws keep the mean of the truncated law, they are not all 1.
+    rare = spark.createDataFrame([(i, 2.0, 0.01) for i in range(40)], "key long, mu double, theta double")
+    x = np.array([r["samples"] for r in RO.family_draws(rare, "truncated", 200, 5).collect()])
+    want = 2.0 / -math.expm1(-0.01 * math.log1p(2.0 / 0.01))
+    assert x.min() >= 1 and abs(x.mean() / want - 1) < 0.1
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -260,3 +266,25 @@ def test_anchor_windows_hold_their_anchors_on_a_larger_grid(spark, sf_dir, tmp_p
         mine = [r for r in rows if r["draw"] == draw]
         assert unit in {r["unit"] for r in mine}
         assert {r["month_id"] for r in mine} == set(range(X.MONTHS[0], X.MONTHS[1] + 1))
+
+
+def test_box_sums_on_a_large_grid_with_holes(spark):
+    rng = np.random.default_rng(4)
+    at = [(r, c) for r in range(20) for c in range(17) if (r * 17 + c) % 11]
+    rows = [(r, c, float(rng.integers(0, 3))) for r, c in at]
+    value = {(r, c): v for r, c, v in rows}
+    for n in (1, 4, 5):
+        low, high = -(n // 2), n - 1 - n // 2
+        got = {(r["row"], r["col"]): r["box"] for r in P.neighbourhood_sum(spark.createDataFrame(rows, "row int, col int, v double"), {"box": F.col("v")}, n).collect()}
+        # A cell is sent to the places from low to high around it, so a box reaches the other way round.
+        want = {(r, c): sum(value.get((r - i, c - j), 0.0) for i in range(low, high + 1) for j in range(low, high + 1)) / n**2 for r, c in at}
+        assert got == pytest.approx(want)
+
+
+def test_roll_out_deals_units_in_blocks(spark):
+    months = [(m, u, float((m * u) % 5)) for m in range(1, 13) for u in range(30)]
+    df = spark.createDataFrame(months, "month_id int, unit long, lr_sb double")
+    kw = {"steps": 3, "passes": 2, "history": 6, "seed": 1, "feedback": "mean"}
+    one = spark.createDataFrame([(8,)], "m0 int")
+    whole, parts = (RO.roll_out(df, one, "lr_sb", block_units=b, **kw).select("unit", "pass_no", "h", "mean").orderBy("unit", "pass_no", "h").collect() for b in (None, 7))
+    assert whole == parts and len(whole) == 180
