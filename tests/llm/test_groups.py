@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairnfield.llm import mixing, quality, simhash, toxicity, wrapper
+from cairnfield.llm.common import materialize
 from cairnfield.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -439,7 +440,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, sf_dir):
         df = stage(spark, df, sf_dir)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert df.columns == columns
-        df = corpus_pipeline.materialize(df, "test")
+        df = materialize(df, "test")
         sizes.append(df.count())
         if name == "near-duplicates":
             assert df.select("text").distinct().count() == df.count()
