@@ -14,6 +14,9 @@ it by two bits lie within 3 of all of the former. So a star around one of the fo
 variant can show up to connectivity, and a hot variant costs as many links as it has fingerprints, not their square.
 Pairs that meet elsewhere are linked there. Variants travel as packed numpy blocks, one for each bucket and batch;
 the number of buckets follows the number of fingerprints, so a bucket stays within memory at any size.
+
+``similar_groups`` joins texts by the similarity of their five-word shingles with the same device: balls of radius 2 around
+many short independent SimHashes give candidates, exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
