@@ -44,6 +44,16 @@ LOSSES: dict[str, Callable[..., Column]] = {
     "weighted_bce_logits": lambda z, y, w=1.0: (1 - y) * z + (1 + (w - 1) * y) * (F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))),
     "focal": lambda p, y, alpha=0.25, gamma=2.0: -(F.when(y > 0, alpha).otherwise(1 - alpha)) * F.pow(1 - F.when(y > 0, p).otherwise(1 - p), F.lit(gamma)) * F.log(F.greatest(F.when(y > 0, p).otherwise(1 - p), F.lit(1e-12))),
 }
+#: what a head emits, as log1p of a count, from its channel and the event probability.
+EMITS: dict[str, Callable[..., Column]] = {
+    "standard": lambda reg, prob, **_: reg,
+    "dense_nb": lambda reg, prob, **_: F.log1p(F.greatest(reg, F.lit(0.0))),
+    # Fixed value: 13 lies above the logarithm of any count in the data.
+    "quantile": lambda reg, prob, **_: F.least(F.greatest(reg, F.lit(0.0)), F.lit(13.0)),
+    "hurdle_nb": lambda reg, prob, dispersion=1.0: scalars.hurdle_log1p_mean("nb", reg, prob, dispersion),
+    "hurdle_lognormal": lambda reg, prob, dispersion=1.0: scalars.hurdle_log1p_mean("lognormal", reg, prob, dispersion),
+    "hurdle_shrinkage": lambda reg, prob, **_: scalars.hurdle_log1p_mean("point", reg, prob),
+}
 
 
 def lookup(registry: dict, name: str):

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -152,26 +152,46 @@ def nb_log_pmf(y, mu, theta):
     return lgamma(y + t) - lgamma(t) - lgamma(y + 1.0) + t * (F.log(t) - F.log(t + m)) + y * (F.log(m) - F.log(t + m))
 
 
+def _clip(name: str) -> Column:
+    return F.least(F.greatest(F.col(name), F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
+def _log_add(a: Column, b: Column) -> Column:
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+
+def _base_log_pmf() -> Column:
+    return nb_log_pmf(F.col("y"), F.col("mu"), F.col("theta"))
+
+
+def _zinb_log_pmf() -> Column:
+    inner = F.log(1 - _clip("pi")) + _base_log_pmf()
+    return F.when(F.col("y") == 0, _log_add(F.log(_clip("pi")), inner)).otherwise(inner)
+
+
+def _mixture_log_pmf() -> Column:
+    second = nb_log_pmf(F.col("y"), F.col("mu2"), F.col("theta2"))
+    return _log_add(F.log(_clip("w")) + _base_log_pmf(), F.log(1 - _clip("w")) + second)
+
+
+def _truncated_log_pmf() -> Column:
+    """Null where y is 0: such rows have no likelihood and no weight."""
+    theta = F.greatest(F.col("theta"), F.lit(1e-6))
+    zero = -theta * F.log1p(F.greatest(F.col("mu"), F.lit(1e-6)) / theta)
+    return F.when(F.col("y") > 0, _base_log_pmf() - F.log(-F.expm1(zero)))
+
+
+#: log P(y) of each family, from the columns y and the family's parameters; add an entry to extend.
+LOG_PMFS: dict[str, Callable[[], Column]] = {"nb": _base_log_pmf, "zinb": _zinb_log_pmf, "mixture": _mixture_log_pmf, "truncated": _truncated_log_pmf}
+
+
 def family_nll(df: DataFrame, family: str, weight: str | None = None) -> DataFrame:
     """(nll): weighted mean negative log-likelihood of column y under the family's parameter columns; truncated: positives only."""
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-    log_add = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-    base = nb_log_pmf(F.col("y"), F.col("mu"), F.col("theta"))
-    if family == "nb":
-        lp = base
-    elif family == "zinb":
-        inner = F.log(1 - clip("pi")) + base
-        lp = F.when(F.col("y") == 0, log_add(F.log(clip("pi")), inner)).otherwise(inner)
-    elif family == "mixture":
-        lp = log_add(F.log(clip("w")) + base, F.log(1 - clip("w")) + nb_log_pmf(F.col("y"), F.col("mu2"), F.col("theta2")))
-    elif family == "truncated":
-        zero = -F.greatest(F.col("theta"), F.lit(1e-6)) * F.log1p(F.greatest(F.col("mu"), F.lit(1e-6)) / F.greatest(F.col("theta"), F.lit(1e-6)))
-        lp = base - F.log(-F.expm1(zero))
-        df = df.where("y > 0")
-    else:
+    if family not in LOG_PMFS:
         raise ValueError(f"unknown family {family!r}")
     w = F.col(weight) if weight else F.lit(1.0)
-    return df.select((-lp).alias("l"), w.alias("w")).agg((F.sum(F.col("l") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-8))).alias("nll"))
+    scored = df.select((-LOG_PMFS[family]()).alias("l"), w.alias("w")).where("l is not null")
+    return scored.agg((F.sum(F.col("l") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-8))).alias("nll"))
 
 
 def tobit_nll(df: DataFrame, sigma: float) -> DataFrame:

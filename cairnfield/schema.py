@@ -37,6 +37,21 @@ def with_roles(df, roles: dict[str, str]):
     return df.select(*[df[c].alias(c, metadata={"role": roles[c]}) if c in roles else df[c] for c in df.columns])
 
 
+def roles(df) -> list[tuple[int, str, str | None]]:
+    """(position, column, role) of every column, in order."""
+    return [(i, f.name, role(f)) for i, f in enumerate(df.schema)]
+
+
+def with_role(df, *wanted: str) -> list[str]:
+    """The columns that have one of the roles, in order."""
+    return [name for _, name, r in roles(df) if r in wanted]
+
+
+def without_identities(df):
+    """``df`` without the columns whose role is identity."""
+    return df.drop(*with_role(df, "identity"))
+
+
 def unit_column(names: list[str]) -> str:
     """The one alias of the cell column among ``names``; none or several is an error."""
     found = [n for n in UNIT_ALIASES if n in names]

@@ -9,6 +9,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.sources import work
+
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(origin, target, h, month_id, unit, samples) in folders by target and horizon, so a scan of one reads only its files.
@@ -57,6 +59,10 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
 
 
 def each_origin(df: DataFrame, sink: Callable[[int, DataFrame], None]) -> None:
-    """Calls ``sink(origin, rows)`` for each origin in ascending order; only the list of origins reaches the driver."""
-    for r in df.select("origin").distinct().orderBy("origin").collect():
-        sink(r["origin"], df.where(F.col("origin") == r["origin"]))
+    """Calls ``sink(origin, rows)`` for each origin in ascending order; only the list of origins reaches the driver.
+
+    ``df`` is computed once, into folders by origin; each call then reads its own folder.
+    """
+    stored = work.table(df, "origins", by=["origin"])
+    for r in stored.select("origin").distinct().orderBy("origin").collect():
+        sink(r["origin"], stored.where(F.col("origin") == r["origin"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +19,17 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: for results that several branches of a plan use.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under the work folder; nothing is there yet."""
+    return f"{work_dir(spark)}/cairnfield/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written as Parquet, in folders by the columns of ``by``, and read back: for results that several branches of a plan use.
 
     Spark runs a branch again for each use when the uses prune it differently; a table is computed once, its readers
     take only their columns, and it survives the loss of any executor.
     """
-    path = f"{work_dir(df.sparkSession)}/cairnfield/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = folder(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
