@@ -12,6 +12,7 @@ from cairnfield.llm.host_rules import op10_host_rules
 from cairnfield.llm.license import op4_license
 from cairnfield.llm.mixing import op6_mixing
 from cairnfield.llm.phrases import op13_phrases
+from cairnfield.llm.pieces import op11_pieces
 from cairnfield.llm.pii import op1_pii
 from cairnfield.llm.quality import op7_quality
 from cairnfield.llm.secret_scan import op5_secrets
@@ -22,7 +23,7 @@ from cairnfield.llm.wrapper import op3_html
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_pii, op2_simhash, op3_html, op4_license, op5_secrets, op6_mixing, op7_quality, op8_decontaminate, op9_toxicity, op10_host_rules, op12_whitening, op13_phrases)
+    numbered = (op1_pii, op2_simhash, op3_html, op4_license, op5_secrets, op6_mixing, op7_quality, op8_decontaminate, op9_toxicity, op10_host_rules, op11_pieces, op12_whitening, op13_phrases)
     return {f.__name__: f for f in numbered} | {"pipeline": pipeline.run}
 
 
