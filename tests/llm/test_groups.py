@@ -184,6 +184,11 @@ def page(title, paragraphs, extra=""):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a>m</a></ul></nav><div class='ad'>buy</div><article><h1>{title}</h1>{body}{extra}</article><footer>&copy; f</footer></body></html>"
 
 
+def neutral(title, paragraphs, extra):
+    """A page without telling names, and a block below its content."""
+    return f"<body><div><h2>{title}</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div>{extra}</div></body>"
+
+
 def test_pages_lose_boilerplate_and_keep_their_text(spark):
     rows = [(1, "http://a.x/1", page("T &amp; t", ["one  two<br>three", "four &lt;5"]) + "<!-- end -->"), (2, "http://a.x/2", None), (3, None, "plain <b>text</b>"), (4, "u", ""), (4, "u", "")]
     got = [(r["page_id"], r["text"]) for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))).orderBy("page_id").collect()]
@@ -210,6 +215,11 @@ SAID = "Story words go here and there are many of them in a row."
         (f'<article><h1>T</h1>{STORY}<div class="comments">{STORY * 5}</div><div class="comment-list">{STORY}</div></article>', ["T", SAID]),
         (f"<div>{STORY}</div><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li></ul>", [SAID]),
         (f'<div><h1>T</h1>{STORY}</div><div class="sidebar">{STORY * 9}</div><form>{STORY}</form>', ["T", SAID]),
+        (f'<div class="widget">{STORY * 4}<div class="content-card">{STORY * 3}</div></div>', [SAID] * 7),
+        (f'<div class="widget">{STORY * 9}<div class="sidebar"><p>few words</p></div></div>', [SAID] * 9),
+        (f"<div>{STORY}<ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li></ul>{STORY}</div>", [SAID, "a", "b", "c", SAID]),
+        (f"<header><h1>T</h1><p>since 1900</p></header><div>{STORY}</div>", ["T", SAID]),
+        (f"<header><nav><h1>N</h1></nav></header><div>{STORY}</div>", [SAID]),
         (f'<div class="site-header">x</div><div class="cookie-notice">c</div>{STORY}<div id="footer">f</div>', [SAID]),
     ],
 )
@@ -244,16 +254,34 @@ def test_pathological_pages_take_linear_time():
 
 def test_constant_blocks_become_template_but_copies_do_not(spark):
     box = "<p>Read more on our channel</p>"
-    rows = [(i, f"http://h.x/{i}", page(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
+    rows = [(i, f"http://h.x/{i}", neutral(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
     rows += [(100 + i, f"http://copy.x/{i}", page("same", ["every page", "is a copy"])) for i in range(12)]
     got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"title {i}\n\ntext {i} first\n\ntext {i} second" for i in range(12))
     assert all(got[100 + i] == "same\n\nevery page\n\nis a copy" for i in range(12))
 
 
+@pytest.mark.parametrize("box", ["article", "div", "main"])
+def test_constant_blocks_of_the_content_stay(spark, box):
+    """Versions of one article, sub-headings and standing lines: what pages repeat inside their content is content."""
+    top = "<div><p>Your daily paper since long ago</p></div>" if box == "div" else ""
+    put = lambda blocks: f"<body>{top}<{box}>{''.join(f'<{tag}>{text}</{tag}>' for tag, text in blocks)}</{box}></body>"
+    shared = [("h1", "The title of both"), *(("p", f"paragraph {k} that both versions share word for word") for k in range(4))]
+    versions = [[*shared[:3], *(("p", f"version {v} says {k} in its own way") for k in range(6)), *shared[3:]] for v in range(2)]
+    recipes = [[("h1", f"dish {i}"), ("h2", "Ingredients"), ("p", f"take {i} eggs and {i} spoons"), ("h2", "Method"), ("p", f"stir {i} times, wait {i} minutes and serve it to {i} guests of the house")] for i in range(6)]
+    columns = [[("p", f"column {i} on this and that"), ("p", f"more of column {i}"), ("p", "The author writes here every week")] for i in range(12)]
+    rows, want = [], {}
+    for host, group in (("versions", versions), ("recipes", recipes), ("columns", columns)):
+        for i, blocks in enumerate(group):
+            want[len(rows)] = "\n\n".join(text for _, text in blocks)
+            rows.append((len(rows), f"http://{host}.x/{i}", put(blocks)))
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_template_is_found_though_the_first_pages_lack_it(spark):
     box = "<p>Read more on our channel</p>"
-    rows = [(10 + i, f"http://h.x/{i}", page(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
+    rows = [(10 + i, f"http://h.x/{i}", neutral(f"title {i}", [f"text {i} first", f"text {i} second"], box)) for i in range(12)]
     rows += [(1, "http://h.x/null", None), (2, "http://h.x/error", "<html><body><h2>Not found</h2></body></html>")]
     # A second layout of the host has a block of its own.
     rows += [(50 + i, f"http://h.x/q{i}", f"<body><section><dl><dd>question {i}</dd><dd>Ask our experts</dd></dl></section></body>") for i in range(6)]
