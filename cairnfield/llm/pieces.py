@@ -5,10 +5,12 @@ pieces), so a text is the concatenation of chunks that are segmented independent
 can cross from the vocabulary: before markers, before characters that no piece joins to an earlier letter, and around
 characters that are in no longer piece. Each distinct chunk of the corpus is counted, then segmented once, by the library.
 
-The ids come back by position. Chunks that are frequent by the counts (at most ``FREQUENT`` short ones and the fewer than
-``FREQUENT`` that make up more than that share of all) travel to every task as one bounded table. The others leave their texts as rows
-(text, position, chunk), meet the table in a join on the chunk, none of which is a hot key, and return to their text as
-(position, ids). A text is then read once more and its ids are put in a row; the library decodes them.
+Frequent chunks travel to every task as one bounded table: those with most occurrences, at most ``FREQUENT`` short ones and the fewer than
+``FREQUENT`` that make up more than that share of all counted. A chunk counts where a task meets it ``LOCAL`` times or more, so rare
+ones are not shuffled for it. The other chunks leave their texts as rows (text, chunk); none is a hot key. Sorted by chunk, each
+distinct one is segmented once, and its ids return to its texts, which are packed on the way and are cut once more: every position
+takes its ids from the two tables. The library decodes the row of ids. Texts meet their ids under a hash of id and text, so that copies of
+one text spread; if two rows share a hash, both get the ids of both, which changes nothing, as ids depend on the chunk alone.
 
 A model with another normalisation, without byte fallback or whose pieces may cross markers has no such places: each text is a chunk.
 
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import lean_batches, materialize, table
+from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions, table
 
 #: Most chunks of up to SHORT characters that every task holds.
 FREQUENT, SHORT = 400_000, 48
-#: Distinct chunks that a task counts before it hands them on.
-FLUSH = 300_000
+#: Distinct chunks that a task counts before it hands them on, and the occurrences among them from which they count.
+FLUSH, LOCAL = 1_000_000, 4
 _MARK = "\u2581"
 
 
@@ -101,16 +103,13 @@ def _splitter(proto: bytes) -> Splitter:
     return _BUILT[key]
 
 
-def _binary(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
 def _count(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = _splitter(model.value).chunks, Counter()
 
         def flush() -> pa.RecordBatch:
-            cells = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            often = [(c, n) for c, n in counts.items() if n >= LOCAL]
+            cells = [pa.array([c for c, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())]
             counts.clear()
             return pa.RecordBatch.from_arrays(cells, names=["chunk", "n"])
 
@@ -125,21 +124,24 @@ def _count(model):
 
 
 def _segment(model):
+    """Rows (h, chunk) in order of chunk to (h, chunk, ids); a chunk is segmented once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = _splitter(model.value).segment
+        segment, last, ids = _splitter(model.value).segment, None, b""
         for batch in batches:
-            ids = [np.array(x, np.int32).tobytes() for x in segment(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(ids)], names=["chunk", "n", "ids"])
+            chunks = batch.column(1).to_pylist()
+            new = [c for c, before in zip(chunks, [last, *chunks[:-1]], strict=True) if c != before]
+            made = iter(segment(new))
+            out = []
+            for c in chunks:
+                if c != last:
+                    last, ids = c, np.array(next(made), np.int32).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["h", "chunk", "ids"])
 
     return run
 
 
-def chunk_table(texts: DataFrame, model) -> DataFrame:
-    """(chunk, n, ids) for each distinct chunk of the only column of ``texts``; ids are int32 in a row. Written in the shared folder."""
-    counts = texts.mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return materialize(counts.mapInArrow(_segment(model), "chunk string, n long, ids binary"), "chunks")
-
-
 def _frequent(chunks: DataFrame, most: int):
     """The condition that picks the chunks that travel: bounded in number and, for long ones, by their share of all text."""
     step = F.floor(F.log2("n") * 16)
@@ -155,37 +157,45 @@ def _frequent(chunks: DataFrame, most: int):
 
 
 def _missing(model, known):
-    """Texts to (doc_id, h, pos, chunk): their first occurrences of chunks that do not travel."""
+    """(h, text) to (h, chunk) for each distinct chunk of a text that does not travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, have = _splitter(model.value).chunks, known.value
         for batch in batches:
-            rows, places, chunks = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                all_chunks = split(text.as_py() or "")
-                # Reversed, so that the first position of a chunk is the one that stays.
-                first = {c: len(all_chunks) - 1 - k for k, c in enumerate(reversed(all_chunks)) if c not in have}
-                rows += [i] * len(first)
-                places += first.values()
-                chunks += first
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=["doc_id", "h", "pos", "chunk"])
+            rows, chunks = [], []
+            for i, text in enumerate(batch.column(1)):
+                new = {c for c in split(text.as_py() or "") if c not in have}
+                rows += [i] * len(new)
+                chunks += new
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(chunks, pa.string())], names=["h", "chunk"])
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, text) with the text compressed."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [pack(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "h", "packed"])
+
+
 def _assemble(model, known, end: bool):
-    """(doc_id, text, pos, ids) to (doc_id, ids, decoded)."""
+    """(doc_id, packed text, chunks, ids) to (doc_id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, have = _splitter(model.value), known.value
+        import zstandard
+
+        splitter, have, unpack = _splitter(model.value), known.value, zstandard.ZstdDecompressor().decompress
         last = np.array([splitter.model.eos_id()] if end else [], np.int32).tobytes()
         for batch in batches:
             parts, sizes, decoded = [], [0], []
-            for text, places, ids in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                chunks = splitter.chunks(text.as_py() or "")
-                more = {chunks[p]: x for p, x in zip(places.as_py() or (), ids.as_py() or (), strict=True)}
-                row = b"".join([have.get(c) or more[c] for c in chunks] if more else [have[c] for c in chunks])
+            for text, names, ids in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                chunks = splitter.chunks(unpack(text.as_py()).decode())
+                more = dict(zip(names.as_py() or (), ids.as_py() or (), strict=True))
+                row = b"".join([have[c] if c in have else more[c] for c in chunks] if more else [have[c] for c in chunks])
                 decoded.append(splitter.model.decode(np.frombuffer(row, np.int32).tolist()))
                 parts += (row, last)
                 sizes.append(sizes[-1] + (len(row) + len(last)) // 4)
@@ -202,22 +212,20 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, most: int = FREQU
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        proto = f.read()
+    model = spark.sparkContext.broadcast(proto)
     rows = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = chunk_table(rows.select("text"), model)
-    travels = _frequent(chunks, most)
-    held = chunks.where(travels).select("chunk", "ids").toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True)))
+    counts = materialize(rows.select("text").mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
+    held = counts.where(_frequent(counts, most)).select("chunk").toArrow().column(0).to_pylist()
+    ids = _splitter(proto).segment(held)
+    known = spark.sparkContext.broadcast({c: np.array(x, np.int32).tobytes() for c, x in zip(held, ids, strict=True)})
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rest = chunks.where(~travels).select("chunk", "ids")
-    if rest.limit(1).count():
-        keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        found = keyed.mapInArrow(_missing(model, known), f"doc_id {kind}, h long, pos int, chunk string").join(rest, "chunk")
-        back = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("pos", "ids")).alias("_back"))
-        keyed = keyed.join(back, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-        whole = keyed.select("doc_id", "text", F.col("_back.pos").alias("pos"), F.col("_back.ids").alias("ids"))
-    else:
-        whole = rows.select("doc_id", "text", F.lit(None).cast("array<int>").alias("pos"), F.lit(None).cast("array<binary>").alias("ids"))
+    keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    rare = keyed.select("h", "text").mapInArrow(_missing(model, known), "h long, chunk string")
+    coded = rare.repartition(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_segment(model), "h long, chunk string, ids binary")
+    back = coded.groupBy(F.col("h").alias("_h")).agg(F.collect_set(F.struct("chunk", "ids")).alias("_back"))
+    packed = keyed.mapInArrow(_pack, f"doc_id {kind}, h long, packed binary")
+    whole = packed.join(back, F.col("h") == F.col("_h"), "left").select("doc_id", "packed", F.col("_back.chunk").alias("chunk"), F.col("_back.ids").alias("ids"))
     return whole.mapInArrow(_assemble(model, known, end), f"doc_id {kind}, ids array<int>, decoded string")
 
 
