@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cairnfield.operators.draws import family_draws
+
+__all__ = ["family_draws", "family_nll", "log_ndtr", "posterior", "roll_out", "tobit_nll"]
+
 #: (state, field, rng) to (next state, mean field): one step of an injected model on arrays over the cells.
 Scorer = Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray]]
 
@@ -71,54 +75,6 @@ def posterior(rolled: DataFrame, *by: str) -> DataFrame:
     return rolled.groupBy(*by, "m0", "h", "month_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "draw"))), lambda s: s["draw"]).alias("samples"))
 
 
-def family_draws(params: DataFrame, family: str, k: int, seed: int, core: bool = False) -> DataFrame:
-    """``params`` (key, mu, theta and pi, mu2, theta2 or w as the family needs) with an array of k draws.
-
-    Each row has its own generator, seeded by the seed and its key, so draws depend on neither order nor partitions.
-    """
-    names = {"nb": [], "zinb": ["pi"], "mixture": ["mu2", "theta2", "w"], "truncated": []}[family]
-
-    def nb(rng: np.random.Generator, mu: float, theta: float, n: int) -> np.ndarray:
-        mu, theta = max(mu, 1e-6), max(theta, 1e-6)
-        return rng.poisson(np.minimum(rng.gamma(theta, mu / theta, n), 1e9)).astype(float)
-
-    def truncated(rng: np.random.Generator, mu: float, theta: float) -> np.ndarray:
-        """Exact draws given Y > 0: again where zeros are few, else as a sum of logarithmic series, a truncated Poisson number of them."""
-        rate = theta * np.log1p(mu / theta)  # P(Y = 0) is exp(-rate)
-        if rate > 0.05:
-            x = nb(rng, mu, theta, k)
-            while (zero := x == 0).any():
-                x[zero] = nb(rng, mu, theta, int(zero.sum()))
-            return x
-        u, number, p = rng.random(k) * -np.expm1(-rate), np.ones(k, int), rate * np.exp(-rate)
-        u -= p
-        while (more := u > 0).any():
-            number[more] += 1
-            p = p * rate / number.max()
-            if p == 0:
-                break
-            u[more] -= p
-        return np.array([rng.logseries(min(mu / (mu + theta), 1 - 1e-12), n).sum() for n in number], float)
-
-    def draw(r) -> list[float]:
-        rng = _stream(seed, int(r.key))
-        if family == "zinb":
-            x = nb(rng, r.mu, r.theta, k)
-            return x.tolist() if core else np.where(rng.random(k) < r.pi, 0.0, x).tolist()
-        if family == "mixture":
-            return np.where(rng.random(k) < r.w, nb(rng, r.mu, r.theta, k), nb(rng, r.mu2, r.theta2, k)).tolist()
-        if family == "truncated":
-            return truncated(rng, max(r.mu, 1e-6), max(r.theta, 1e-6)).tolist()
-        return nb(rng, r.mu, r.theta, k).tolist()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(samples=[draw(r) for r in pdf.itertuples(index=False)])
-
-    columns = ["key", "mu", "theta", *names]
-    return params.select(*columns).mapInPandas(run, "key long, " + ", ".join(f"{c} double" for c in columns[1:]) + ", samples array<double>")
-
-
 def lgamma(x):
     """log Γ of positive numbers, which Spark SQL lacks: Stirling's series from 8 on, and below by the recurrence. Null for NaN."""
 

@@ -583,9 +583,29 @@ def rollout_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RO.posterior(reduce(DataFrame.unionByName, rolled), "target")
 
 
-@query()
+FAMILIES = ("nb", "zinb", "mixture", "truncated")
+_UNIFORM = lambda digits: f"(cast(('0x' || {digits}) as bigint) + 0.5::double) / 281474976710656.0::double"
+
+
+@query(f"""with {_PARAMS_SQL},
+named as (select p.*, family from params p, (values {', '.join(f"('{f}')" for f in FAMILIES)}) f(family)),
+hexed as (select *, md5(concat_ws(':', 11, unit, j)) as x from (select *, unnest(range(0, 16)) as j from named)),
+level as (select *, {_UNIFORM("x[1:12]")} as u, {_UNIFORM("x[13:24]")} as v from hexed),
+chosen as (select unit, family, j, u, family = 'zinb' and v < pi as nought, case when family = 'mixture' and v >= w then mu2 else mu end as m, case when family = 'mixture' and v >= w then theta2 else theta end as t from level),
+rated as (select *, t * ln(1 + m / t) as rate, -ln(1 + m / t) as rest from chosen),
+likely as (select unit, family, j, n, u * case when family = 'truncated' then 1 - exp(-rate) else 1 end as goal, exp(n * ln(rate) - rate - lgamma(n + 1)) as p
+  from (select *, unnest(range(case when family = 'truncated' then 1 else 0 end, cast(rate + 10 * sqrt(rate) + 60 as integer) + 1)) as n from rated)),
+run as (select *, sum(p) over (partition by unit, family, j order by n) as c from likely),
+number as (select unit, family, j, count(*) filter (where c < goal) + min(n) as jumps from run group by all),
+jumped as (select r.*, md5(concat_ws(':', 11, r.unit, r.j, i)) as y from rated r join (select *, unnest(range(1, jumps + 1)) as i from number) n on n.unit = r.unit and n.family = r.family and n.j = r.j),
+pairs as (select *, 1 - exp(rest * {_UNIFORM("y[1:12]")}) as h, {_UNIFORM("y[13:24]")} as k from jumped),
+sized as (select unit, family, j, sum(case when k >= 1 - exp(rest) then 1 when k <= h * h then greatest(floor(1 + ln(k) / ln(h)), 1) when k >= h then 1 else 2 end) as y from pairs group by all)
+select r.unit, r.family, list(case when nought then 0.0::double else coalesce(s.y, 0.0::double) end order by r.j) as samples
+from rated r left join sized s on s.unit = r.unit and s.family = r.family and s.j = r.j group by r.unit, r.family""")
 def nb_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RO.family_draws(params(spark, sf_dir).withColumnRenamed("unit", "key"), "zinb", 16, 11)
+    """Sixteen draws for each unit and family."""
+    p = params(spark, sf_dir).withColumnRenamed("unit", "key")
+    return reduce(DataFrame.unionByName, [RO.family_draws(p, f, 16, 11).select(F.col("key").alias("unit"), F.lit(f).alias("family"), "samples") for f in FAMILIES])
 
 
 @query()
