@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions, table
 
 #: Most chunks of up to SHORT characters that every task holds.
-FREQUENT, SHORT = 400_000, 48
+FREQUENT, SHORT = 600_000, 48
 #: Distinct chunks that a task counts before it hands them on, and the occurrences among them from which they count.
-FLUSH, LOCAL = 1_000_000, 4
+FLUSH, LOCAL = 1_000_000, 2
 _MARK = "\u2581"
 
 
@@ -78,7 +78,9 @@ class Splitter:
         beyond = rf"(?!{letter.pattern})[^\x00-\x7F{_MARK}]"
         any_other, joined = (f"(?:{group(chars)}|{beyond})" if chars else f"(?:{beyond})" for chars in (others, others - marks))
         self.guard = min(alone)
-        self.pattern = re.compile(rf"{group(alone)}|[ {_MARK}]*+(?=[^ {_MARK}{group(alone)[1:]}){any_other}*+(?:{letter.pattern}++(?:{joined}{any_other}*+)?+)*+|[ {_MARK}]++")
+        # The first branch is the usual word, for speed; the others would cut it alike.
+        usual = rf" {letter.pattern}++(?=[\x00-\x7F])" + (f"(?!{group(others - marks)})" if others - marks else "")
+        self.pattern = re.compile(rf"{usual}|{group(alone)}|[ {_MARK}]*+(?=[^ {_MARK}{group(alone)[1:]}){any_other}*+(?:{letter.pattern}++(?:{joined}{any_other}*+)?+)*+|[ {_MARK}]++")
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, in order; their ids in a row are those of the text."""
@@ -124,10 +126,10 @@ def _count(model):
 
 
 def _segment(model):
-    """Rows (h, chunk) in order of chunk to (h, chunk, ids); a chunk is segmented once."""
+    """Rows (h, chunk) in order of chunk to (h, body): number of ids, ids, chunk. A chunk is segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, last, ids = _splitter(model.value).segment, None, b""
+        segment, last, body = _splitter(model.value).segment, None, b""
         for batch in batches:
             chunks = batch.column(1).to_pylist()
             new = [c for c, before in zip(chunks, [last, *chunks[:-1]], strict=True) if c != before]
@@ -135,9 +137,10 @@ def _segment(model):
             out = []
             for c in chunks:
                 if c != last:
-                    last, ids = c, np.array(next(made), np.int32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["h", "chunk", "ids"])
+                    ids = next(made)
+                    last, body = c, np.array([len(ids), *ids], "<i4").tobytes() + c.encode()
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["h", "body"])
 
     return run
 
@@ -173,34 +176,41 @@ def _missing(model, known):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text) with the text compressed."""
+    """(doc_id, h, text) to (doc_id, h, body) with the text compressed."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         packed = [pack(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "h", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "h", "body"])
 
 
 def _assemble(model, known, end: bool):
-    """(doc_id, packed text, chunks, ids) to (doc_id, ids, decoded)."""
+    """Rows (doc_id, h, whole, body) in order of h, segmented chunks before the texts (``whole``) that need them, to (doc_id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         splitter, have, unpack = _splitter(model.value), known.value, zstandard.ZstdDecompressor().decompress
-        last = np.array([splitter.model.eos_id()] if end else [], np.int32).tobytes()
+        last = np.array([splitter.model.eos_id()] if end else [], "<i4").tobytes()
+        of, more = None, {}
         for batch in batches:
-            parts, sizes, decoded = [], [0], []
-            for text, names, ids in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                chunks = splitter.chunks(unpack(text.as_py()).decode())
-                more = dict(zip(names.as_py() or (), ids.as_py() or (), strict=True))
+            parts, sizes, decoded, at = [], [0], [], []
+            for i, (h, whole, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                if h != of:
+                    of, more = h, {}
+                if not whole:
+                    cut = 4 + 4 * int.from_bytes(body[:4], "little")
+                    more[body[cut:].decode()] = body[4:cut]
+                    continue
+                chunks = splitter.chunks(unpack(body).decode())
                 row = b"".join([have[c] if c in have else more[c] for c in chunks] if more else [have[c] for c in chunks])
-                decoded.append(splitter.model.decode(np.frombuffer(row, np.int32).tolist()))
+                decoded.append(splitter.model.decode(np.frombuffer(row, "<i4").tolist()))
                 parts += (row, last)
                 sizes.append(sizes[-1] + (len(row) + len(last)) // 4)
+                at.append(i)
             flat = pa.Array.from_buffers(pa.int32(), sizes[-1], [None, pa.py_buffer(b"".join(parts))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -222,11 +232,11 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, most: int = FREQU
     kind = rows.schema["doc_id"].dataType.simpleString()
     keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
     rare = keyed.select("h", "text").mapInArrow(_missing(model, known), "h long, chunk string")
-    coded = rare.repartition(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_segment(model), "h long, chunk string, ids binary")
-    back = coded.groupBy(F.col("h").alias("_h")).agg(F.collect_set(F.struct("chunk", "ids")).alias("_back"))
-    packed = keyed.mapInArrow(_pack, f"doc_id {kind}, h long, packed binary")
-    whole = packed.join(back, F.col("h") == F.col("_h"), "left").select("doc_id", "packed", F.col("_back.chunk").alias("chunk"), F.col("_back.ids").alias("ids"))
-    return whole.mapInArrow(_assemble(model, known, end), f"doc_id {kind}, ids array<int>, decoded string")
+    parts = shuffle_partitions(spark)
+    coded = rare.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_segment(model), "h long, body binary")
+    texts = keyed.mapInArrow(_pack, f"doc_id {kind}, h long, body binary")
+    both = texts.select("doc_id", "h", F.lit(True).alias("whole"), "body").unionByName(coded.select(F.lit(None).cast(kind).alias("doc_id"), "h", F.lit(False).alias("whole"), "body"))
+    return both.repartition(parts, "h").sortWithinPartitions("h", "whole").mapInArrow(_assemble(model, known, end), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op11_pieces(spark, sf_dir: str) -> DataFrame:
