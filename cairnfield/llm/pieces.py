@@ -12,7 +12,8 @@ distinct one is segmented once, and its ids return to its texts, which are packe
 takes its ids from the two tables. The library decodes the row of ids. Texts meet their ids under a hash of id and text, so that copies of
 one text spread; if two rows share a hash, both get the ids of both, which changes nothing, as ids depend on the chunk alone.
 
-A model with another normalisation, without byte fallback or whose pieces may cross markers has no such places: each text is a chunk.
+A model with another normalisation, without byte fallback or whose pieces may cross markers has no such places: each text is
+segmented by itself, where it is.
 
 Defined cases: null texts are empty and give the end id only; repeated rows stay repeated; an empty table gives an empty
 result; other columns are ignored, whatever their names.
@@ -21,7 +22,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions,
 
 #: Most chunks of up to SHORT characters that every task holds.
 FREQUENT, SHORT = 600_000, 48
-#: Distinct chunks that a task counts before it hands them on, and the occurrences among them from which they count.
+#: Short words that a task keeps with their ids, or as known.
+WORDS = 300_000
+#: Distinct words that a task counts before it hands them on, and the occurrences among them from which they count.
 FLUSH, LOCAL = 1_000_000, 2
 _MARK = "\u2581"
 
@@ -48,6 +51,8 @@ class Splitter:
         self.guard, self.pattern = "", None
         if self._plain(proto):
             self._places()
+        #: Bytes of an id that travels.
+        self.kind = "<u2" if self.model.get_piece_size() <= 1 << 16 else "<i4"
         self.skip = len(self.model.encode(self.guard)) if self.guard else 0
 
     @staticmethod
@@ -89,6 +94,22 @@ class Splitter:
         # The model puts a marker before every text.
         return self.pattern.findall(f" {text}") if self.pattern else [text]
 
+    def words(self, text: str) -> list[str]:
+        """Parts of a text, each cut into chunks by itself (``of``): words between single blanks, or the whole of a text with other white space."""
+        if not text:
+            return []
+        plain = self.pattern is not None and "  " not in text and text[0] != " " and _MARK not in text
+        return text.split(" ") if plain else [text]
+
+    def of(self, word: str) -> list[str]:
+        """The chunks of a part of a text."""
+        return self.chunks(word) if word else [" "]
+
+    def text_of(self, ids: list[list[int]]) -> list[str]:
+        """What the ids of each chunk stand for within a text."""
+        guard = self.model.encode(self.guard)
+        return [t[len(self.guard) :] for t in self.model.decode([guard + x for x in ids])]
+
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """The ids of each chunk; behind the guard, which joins nothing, a chunk is segmented as within a text."""
         return [ids[self.skip :] for ids in self.model.encode([self.guard + c for c in chunks], num_threads=1)]
@@ -107,18 +128,22 @@ def _splitter(proto: bytes) -> Splitter:
 
 def _count(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = _splitter(model.value).chunks, Counter()
+        splitter, words = _splitter(model.value), Counter()
 
         def flush() -> pa.RecordBatch:
+            counts: dict[str, int] = defaultdict(int)
+            for word, n in words.items():
+                for c in splitter.of(word):
+                    counts[c] += n
+            words.clear()
             often = [(c, n) for c, n in counts.items() if n >= LOCAL]
             cells = [pa.array([c for c, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())]
-            counts.clear()
             return pa.RecordBatch.from_arrays(cells, names=["chunk", "n"])
 
-        for batch in batches:
+        for batch in batches if splitter.pattern else ():
             for text in batch.column(0):
-                counts.update(split(text.as_py() or ""))
-            if len(counts) > FLUSH:
+                words.update(splitter.words(text.as_py() or ""))
+            if len(words) > FLUSH:
                 yield flush()
         yield flush()
 
@@ -126,10 +151,11 @@ def _count(model):
 
 
 def _segment(model):
-    """Rows (h, chunk) in order of chunk to (h, body): number of ids, ids, chunk. A chunk is segmented once."""
+    """Rows (h, chunk) in order of chunk to (h, body), the chunk's ids. A chunk is segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, last, body = _splitter(model.value).segment, None, b""
+        splitter, last, body = _splitter(model.value), None, b""
+        segment, kind = splitter.segment, splitter.kind
         for batch in batches:
             chunks = batch.column(1).to_pylist()
             new = [c for c, before in zip(chunks, [last, *chunks[:-1]], strict=True) if c != before]
@@ -137,8 +163,7 @@ def _segment(model):
             out = []
             for c in chunks:
                 if c != last:
-                    ids = next(made)
-                    last, body = c, np.array([len(ids), *ids], "<i4").tobytes() + c.encode()
+                    last, body = c, np.array(next(made), kind).tobytes()
                 out.append(body)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["h", "body"])
 
@@ -163,11 +188,16 @@ def _missing(model, known):
     """(h, text) to (h, chunk) for each distinct chunk of a text that does not travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, have = _splitter(model.value).chunks, known.value
+        splitter, have, done = _splitter(model.value), known.value, set()
         for batch in batches:
             rows, chunks = [], []
             for i, text in enumerate(batch.column(1)):
-                new = {c for c in split(text.as_py() or "") if c not in have}
+                new: set[str] = set()
+                for word in set(splitter.words(text.as_py() or "")) - done if splitter.pattern else ():
+                    if missing := [c for c in splitter.of(word) if c not in have]:
+                        new.update(missing)
+                    elif len(done) < WORDS and len(word) <= SHORT:
+                        done.add(word)
                 rows += [i] * len(new)
                 chunks += new
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(chunks, pa.string())], names=["h", "chunk"])
@@ -193,18 +223,30 @@ def _assemble(model, known, end: bool):
 
         splitter, have, unpack = _splitter(model.value), known.value, zstandard.ZstdDecompressor().decompress
         last = np.array([splitter.model.eos_id()] if end else [], "<i4").tobytes()
-        of, more = None, {}
+        of, more, kept = None, {}, {}
+
+        def ids_of(word: str) -> bytes:
+            if splitter.pattern is None:
+                return np.array(splitter.segment([word])[0], "<i4").tobytes()
+            made = b"".join([have[c] if c in have else more[c.replace(_MARK, " ")] for c in splitter.of(word)])
+            if len(kept) < WORDS and len(word) <= SHORT:
+                kept[word] = made
+            return made
+
         for batch in batches:
             parts, sizes, decoded, at = [], [0], [], []
-            for i, (h, whole, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+            hs, wholes, bodies = (batch.column(c).to_pylist() for c in (1, 2, 3))
+            loose = [np.frombuffer(b, splitter.kind).astype("<i4") for b, whole in zip(bodies, wholes, strict=True) if not whole]
+            # Ids decode to their chunk, with blanks for markers.
+            found = iter(zip(splitter.text_of([x.tolist() for x in loose]), loose, strict=True))
+            for i, (h, whole, body) in enumerate(zip(hs, wholes, bodies, strict=True)):
                 if h != of:
                     of, more = h, {}
                 if not whole:
-                    cut = 4 + 4 * int.from_bytes(body[:4], "little")
-                    more[body[cut:].decode()] = body[4:cut]
+                    chunk, x = next(found)
+                    more[chunk] = x.tobytes()
                     continue
-                chunks = splitter.chunks(unpack(body).decode())
-                row = b"".join([have[c] if c in have else more[c] for c in chunks] if more else [have[c] for c in chunks])
+                row = b"".join([kept.get(w) or ids_of(w) for w in splitter.words(unpack(body).decode())])
                 decoded.append(splitter.model.decode(np.frombuffer(row, "<i4").tolist()))
                 parts += (row, last)
                 sizes.append(sizes[-1] + (len(row) + len(last)) // 4)

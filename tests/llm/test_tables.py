@@ -7,8 +7,10 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ def test_a_model_without_places_to_cut_keeps_texts_whole(splitter, monkeypatch):
     with open(MODEL, "rb") as f:
         whole = pieces.Splitter(f.read())
     assert whole.chunks("a b") == ["a b"] and whole.chunks("") == [] and whole.segment(["a b"]) == [whole.model.encode("a b")]
+    monkeypatch.setattr(pieces, "_splitter", lambda proto: whole)
+    shared = SimpleNamespace(value={})
+    given = pa.record_batch({"h": [1, 2], "text": ["a  b", ""]})
+    assert [b.num_rows for b in pieces._missing(shared, shared)(iter([given]))] == [0] and next(pieces._count(shared)(iter([given]))).num_rows == 0
+    packed = next(pieces._pack(iter([pa.record_batch({"doc_id": [7, 8], "h": [1, 2], "text": ["a  b", ""]})])))
+    rows = pa.RecordBatch.from_arrays([packed.column(0), packed.column(1), pa.array([True, True]), packed.column(2)], names=["doc_id", "h", "whole", "body"])
+    out = next(pieces._assemble(shared, shared, True)(iter([rows]))).to_pylist()
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in out] == [(7, whole.model.encode("a  b", add_eos=True), "a  b"), (8, [2], "")]
 
 
 @pytest.mark.parametrize("most", [pieces.FREQUENT, 3])
