@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import arrays
 from cairnfield.functions.registry import COLLAPSES, lookup
 from cairnfield.functions.scalars import logit
+from cairnfield.operators import order
 from cairnfield.operators.scores import ratio
 
 
@@ -44,10 +45,9 @@ def unmatched(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def audit_rows(cells: DataFrame, by: Sequence[str], tail: float = 100.0) -> DataFrame:
-    """(by, n, prevalence, y_max, ey_max, crps, brier, within2, zero_mass, tail_n, p10, p50, p90): one pass for each step's audit."""
+    """(by, n, prevalence, y_max, ey_max, crps, brier, within2, zero_mass, tail_n, p10, p50, p90): one aggregation for each step's audit, and its quantiles."""
     event = F.col("y") > 0
     r = F.when(event, F.col("ey") / F.col("y"))
-    q = F.percentile(r, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     one = cells.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(event.cast("double")).alias("prevalence"),
@@ -58,9 +58,8 @@ def audit_rows(cells: DataFrame, by: Sequence[str], tail: float = 100.0) -> Data
         F.avg(r.between(0.5, 2.0).cast("double")).alias("within2"),
         ratio(F.sum(F.when(event, 0.0).otherwise(F.col("ey"))), F.sum("ey")).alias("zero_mass"),
         F.count(F.when(F.col("y") >= tail, 1)).alias("tail_n"),
-        q.alias("q"),
     )
-    return one.select(*[c for c in one.columns if c != "q"], F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p90"))
+    return order.with_quantiles(one, cells, by, {"p10": (r, 0.1), "p50": (r, 0.5), "p90": (r, 0.9)})
 
 
 def proper_scores(scored: DataFrame, by: Sequence[str]) -> DataFrame:

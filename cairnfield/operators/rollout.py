@@ -6,17 +6,16 @@ run in parallel. A group holds the history and the free months of its block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
+from cairnfield.functions.scalars import log_normal_cdf
 from cairnfield.operators.draws import family_draws
 
-__all__ = ["family_draws", "family_nll", "log_ndtr", "posterior", "roll_out", "tobit_nll"]
+__all__ = ["family_draws", "family_nll", "posterior", "roll_out", "tobit_nll"]
 
 #: (state, field, rng) to (next state, mean field): one step of an injected model on arrays over the cells.
 Scorer = Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray]]
@@ -87,21 +86,6 @@ def lgamma(x):
     return F.when(~F.isnan(x), F.when(x < 8, shifted).otherwise(series(x)))
 
 
-@F.pandas_udf(DoubleType())
-def log_ndtr(x: pd.Series) -> pd.Series:
-    """log of the normal distribution function, stable in the lower tail."""
-    from math import erfc, log, pi
-
-    def one(v: float):
-        if v is None or v != v:
-            return None
-        if v > -30:
-            return log(erfc(-v / 2**0.5) / 2)
-        return -v * v / 2 - log(-v) - log(2 * pi) / 2
-
-    return x.map(one)
-
-
 def nb_log_pmf(y, mu, theta):
     """log P(Y = y) of a negative binomial; mean and dispersion at least 1e-6."""
     m, t = F.greatest(mu, F.lit(1e-6)), F.greatest(theta, F.lit(1e-6))
@@ -153,7 +137,7 @@ def family_nll(df: DataFrame, family: str, weight: str | None = None) -> DataFra
 def tobit_nll(df: DataFrame, sigma: float) -> DataFrame:
     """(nll): -log Φ(-μ/σ) where y is 0, else the Gaussian's; columns y and mu."""
     gauss = F.pow((F.col("y") - F.col("mu")) / sigma, 2) / 2 + F.log(F.lit(sigma)) + F.lit(0.9189385332046727)
-    return df.select(log_ndtr(-F.col("mu") / sigma).alias("t"), gauss.alias("g"), "y").agg(F.avg(F.when(F.col("y") == 0, -F.col("t")).otherwise(F.col("g"))).alias("nll"))
+    return df.select(log_normal_cdf(-F.col("mu") / sigma).alias("t"), gauss.alias("g"), "y").agg(F.avg(F.when(F.col("y") == 0, -F.col("t")).otherwise(F.col("g"))).alias("nll"))
 
 
 def attractor(x0: float, steps: int, spark, growth: float = 1.1, cap: float = 13.0) -> DataFrame:

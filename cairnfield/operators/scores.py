@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions import arrays
 from cairnfield.functions.scalars import logit, sigmoid
+from cairnfield.operators import order
 from cairnfield.operators.panel import neighbourhood_sum
+from cairnfield.sources.work import checked
 
 TAIL_EDGES = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e6)
 
@@ -35,18 +37,18 @@ def board(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """N, n_event, crps_all/events/none, brier, size_ratio (median of ey / y), pos_mcr (its mean), mcr_all, mcr_none."""
     event = F.col("y") > 0
     r = F.when(event, F.col("ey") / F.col("y"))
-    return cells.groupBy(*by).agg(
+    sums = cells.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count(F.when(event, 1)).alias("n_event"),
         F.avg("crps").alias("crps_all"),
         F.avg(F.when(event, F.col("crps"))).alias("crps_events"),
         F.avg(F.when(~event, F.col("crps"))).alias("crps_none"),
         F.avg(F.pow(F.col("p") - event.cast("double"), 2)).alias("brier"),
-        F.percentile(r, 0.5).alias("size_ratio"),
         F.avg(r).alias("pos_mcr"),
         ratio(F.sum("ey"), F.sum("y")).alias("mcr_all"),
         F.avg(F.when(~event, F.col("ey"))).alias("mcr_none"),
     )
+    return order.with_quantiles(sums, cells, by, {"size_ratio": (r, 0.5)})
 
 
 def base_rate_skill(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -64,32 +66,29 @@ def _by_score(cells: DataFrame, by: Sequence[str], score: str, event: Column) ->
 def average_precision(cells: DataFrame, by: Sequence[str], score: str = "p", event: Column | None = None) -> DataFrame:
     """(by, ap): sum of recall steps times precision over falling scores; null unless both classes occur."""
     ties = _by_score(cells, by, score, F.col("y") > 0 if event is None else event)
-    falling = W.partitionBy(*by).orderBy(F.desc("s"))
-    run = ties.select(*by, "pos", "n", F.sum("pos").over(falling).alias("tp"), F.sum("n").over(falling).alias("k"))
-    sums = run.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("s"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    run = order.before(ties, by, "s", ["pos", "n"], falling=True)
+    reached = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    sums = run.groupBy(*by).agg(F.sum(F.col("pos") * reached).alias("s"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("pos") < F.col("n")), F.col("s") / F.col("pos")).alias("ap"))
 
 
 def roc_auc(cells: DataFrame, by: Sequence[str], score: str = "p", event: Column | None = None) -> DataFrame:
     """(by, auc): the Mann-Whitney share with ties counting half; null unless both classes occur."""
     ties = _by_score(cells, by, score, F.col("y") > 0 if event is None else event)
-    rising = W.partitionBy(*by).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    run = ties.select(*by, "pos", "n", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(rising), F.lit(0)).alias("below"))
+    run = order.before(ties.withColumn("neg", F.col("n") - F.col("pos")), by, "s", ["neg"]).withColumnRenamed("neg_before", "below")
     sums = run.groupBy(*by).agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("n") - F.col("pos"))).alias("u2"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u2") / (2 * F.col("pos") * F.col("neg"))).alias("auc"))
 
 
-def ranks(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
-    """Average ranks within groups."""
-    ordered, tied = W.partitionBy(*by).orderBy(column), W.partitionBy(*by, column)
-    return df.withColumn(name, F.rank().over(ordered) + (F.count("*").over(tied) - 1) / 2.0)
-
-
 def spearman_positive(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, rho): rank correlation of y and ey on events; 0 for a constant side, null below two rows."""
-    ranked = ranks(ranks(cells.where("y > 0"), by, "y", "ry"), by, "ey", "re")
+    events = cells.where("y > 0").select(*by, "y", "ey")
+    ranked = events.groupBy(*by, "y", "ey").agg(F.count("*").alias("c"))
+    for column, name in (("y", "ry"), ("ey", "re")):
+        ranked = ranked.join(order.ranks(events, by, column).select(*by, column, F.col("rank").alias(name)), [*by, column])
     x, y = F.col("ry"), F.col("re")
-    s = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    c = F.col("c")
+    s = ranked.groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"), F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"), F.sum(c * x * y).alias("sxy"))
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.col("n") * F.col("syy") - F.col("sy") ** 2
     rho = F.when(F.col("n") < 2, F.lit(None)).when((vx <= 0) | (vy <= 0), 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy).otherwise(1.0)))
     return s.select(*by, "n", rho.alias("rho"))
@@ -117,9 +116,9 @@ def expected_calibration_error(table: DataFrame, by: Sequence[str]) -> DataFrame
 def within_two(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, ratio_med, within2, rescaled): share of events with ey / y in [1/2, 2], as is and after division by the median ratio."""
     r = cells.where("y > 0").withColumn("r", F.col("ey") / F.greatest(F.col("y"), F.lit(1e-9)))
-    med = r.groupBy(*by).agg(F.percentile("r", 0.5).alias("ratio_med"))
+    med = checked(order.quantiles(r, by, {"ratio_med": (F.col("r"), 0.5)}), "medians")
     inside = lambda x: F.avg(x.between(0.5, 2.0).cast("double"))
-    joined = r.join(F.broadcast(med), list(by))
+    joined = r.join(med, list(by))
     scaled = F.col("r") / F.when(F.col("ratio_med") > 0, F.col("ratio_med")).otherwise(1.0)
     return joined.groupBy(*by, "ratio_med").agg(F.count("*").alias("n"), inside(F.col("r")).alias("within2"), inside(scaled).alias("rescaled"))
 
@@ -127,8 +126,7 @@ def within_two(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def ratio_distribution(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, p10, p25, p50, p75, p90) of ey / y on events."""
     levels = (0.1, 0.25, 0.5, 0.75, 0.9)
-    q = cells.where("y > 0").groupBy(*by).agg(F.percentile(F.col("ey") / F.col("y"), F.array(*map(F.lit, levels))).alias("q"))
-    return q.select(*by, *[F.get("q", F.lit(i)).alias(f"p{round(100 * v)}") for i, v in enumerate(levels)])
+    return order.quantiles(cells.where("y > 0"), by, {f"p{round(100 * v)}": (F.col("ey") / F.col("y"), v) for v in levels})
 
 
 def tail_scorecard(scored: DataFrame, by: Sequence[str], edges: Sequence[float] = TAIL_EDGES) -> DataFrame:
@@ -137,35 +135,34 @@ def tail_scorecard(scored: DataFrame, by: Sequence[str], edges: Sequence[float]
     index = sum((y >= e).cast("int") for e in edges) - 1
     one = scored.where(y >= edges[0]).select(*by, index.alias("bin"), "y", arrays.mean(s).alias("ey"), arrays.quantile(s, 0.9).alias("q90"), F.array_max(s).alias("top"))
     u = F.col("y") - F.col("q90")
-    return one.groupBy(*by, "bin").agg(
+    sums = one.groupBy(*by, "bin").agg(
         F.count("*").alias("n"),
-        F.percentile("y", 0.5).alias("y_med"),
-        F.percentile("ey", 0.5).alias("ey_med"),
         F.avg((F.col("top") >= F.col("y")).cast("double")).alias("reach"),
         F.avg((F.col("y") <= F.col("q90")).cast("double")).alias("cover90"),
         F.avg(F.greatest(0.9 * u, -0.1 * u)).alias("pin90"),
     )
+    return order.with_quantiles(sums, one, [*by, "bin"], {"y_med": (F.col("y"), 0.5), "ey_med": (F.col("ey"), 0.5)})
 
 
 def bulk_cut(train: DataFrame, q: float, column: str = "y") -> DataFrame:
     """(target, cut): the q-quantile of the positive training truth."""
-    return train.where(F.col(column) > 0).groupBy("target").agg(F.percentile(column, q).alias("cut"))
+    return order.quantiles(train.where(F.col(column) > 0), ["target"], {"cut": (F.col(column), q)})
 
 
 def bulk_calibration(scored: DataFrame, cuts: DataFrame, by: Sequence[str], tau: float = 0.99) -> DataFrame:
     """(by, bulk_n, tail_n, ratio_med, within2, pin_tail): events up to the cut are the bulk, those above the tail."""
     s, y = F.col("samples"), F.col("y")
-    one = scored.where(y > 0).join(F.broadcast(cuts), "target").select(*by, "y", "cut", arrays.mean(s).alias("ey"), arrays.quantile(s, tau).alias("q"))
+    one = scored.where(y > 0).join(checked(cuts, "cuts"), "target").select(*by, "y", "cut", arrays.mean(s).alias("ey"), arrays.quantile(s, tau).alias("q"))
     bulk = F.col("y") <= F.col("cut")
     r = F.when(bulk, F.col("ey") / F.col("y"))
     u = F.col("y") - F.col("q")
-    return one.groupBy(*by).agg(
+    sums = one.groupBy(*by).agg(
         F.count(F.when(bulk, 1)).alias("bulk_n"),
         F.count(F.when(~bulk, 1)).alias("tail_n"),
-        F.percentile(r, 0.5).alias("ratio_med"),
         F.avg(F.when(bulk, r.between(0.5, 2.0).cast("double"))).alias("within2"),
         F.avg(F.when(~bulk, F.greatest(tau * u, (tau - 1) * u))).alias("pin_tail"),
     )
+    return order.with_quantiles(sums, one, by, {"ratio_med": (r, 0.5)})
 
 
 def zero_mass(cells: DataFrame, by: Sequence[str], tail: float = 100.0) -> DataFrame:
@@ -180,15 +177,17 @@ def zero_mass(cells: DataFrame, by: Sequence[str], tail: float = 100.0) -> DataF
 def range_compression(cells: DataFrame, by: Sequence[str], small: tuple[float, float] = (1.0, 10.0), big: float = 100.0, floor: float = 1e-3) -> DataFrame:
     """(by, truth_range, pred_range): median of large events over median of small ones, in truth and forecast."""
     is_small, is_big = F.col("y").between(*small), F.col("y") >= big
-    med = lambda cond, c: F.percentile(F.when(cond, F.col(c)), 0.5)
-    q = cells.groupBy(*by).agg(med(is_small, "y").alias("ys"), med(is_big, "y").alias("yb"), med(is_small, "ey").alias("es"), med(is_big, "ey").alias("eb"))
+    med = lambda cond, c: (F.when(cond, F.col(c)), 0.5)
+    groups = cells.groupBy(*by).agg(F.count("*").alias("n"))
+    q = order.with_quantiles(groups, cells, by, {"ys": med(is_small, "y"), "yb": med(is_big, "y"), "es": med(is_small, "ey"), "eb": med(is_big, "ey")})
     over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(floor))
     return q.select(*by, over("yb", "ys").alias("truth_range"), over("eb", "es").alias("pred_range"))
 
 
 def trajectory(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, mean, p99, top) of the cells' mean draws."""
-    return cells.groupBy(*by).agg(F.avg("ey").alias("mean"), F.percentile("ey", 0.99).alias("p99"), F.max("ey").alias("top"))
+    sums = cells.groupBy(*by).agg(F.avg("ey").alias("mean"), F.max("ey").alias("top"))
+    return order.with_quantiles(sums, cells, by, {"p99": (F.col("ey"), 0.99)})
 
 
 def fractions_skill(fields: DataFrame, grid: DataFrame, keys: Sequence[str], scales: Sequence[int], level: float = 0.5) -> DataFrame:
@@ -206,21 +205,24 @@ def fractions_skill(fields: DataFrame, grid: DataFrame, keys: Sequence[str], sca
 
 def matched_threshold(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, level): the k-th largest forecast, k the number of true events; null without events."""
-    falling = W.partitionBy(*by).orderBy(F.desc("ey"), "unit")
-    ranked = cells.select(*by, "ey", F.row_number().over(falling).alias("k"), F.sum((F.col("y") > 0).cast("int")).over(W.partitionBy(*by)).alias("events"))
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("k") == F.col("events"), F.col("ey"))).alias("level"))
+    ties = cells.groupBy(*by, "ey").agg(F.count("*").alias("n"))
+    events = cells.groupBy(*by).agg(F.count(F.when(F.col("y") > 0, 1)).alias("events"))
+    placed = order.before(ties, by, "ey", ["n"], falling=True).join(events, list(by))
+    here = (F.col("n_before") < F.col("events")) & (F.col("events") <= F.col("n_before") + F.col("n"))
+    return placed.groupBy(*by).agg(F.max(F.when(here, F.col("ey"))).alias("level"))
 
 
 def area_concentration(cells: DataFrame, by: Sequence[str], level: float = 0.5) -> DataFrame:
     """(by, area_ratio, top_share): cells forecast above the level over cells with events (at least 1), and the share of the forecast's mass in its top hundredth of positive cells."""
-    falling = W.partitionBy(*by).orderBy(F.desc("ey"), "unit")
-    pos = F.sum((F.col("ey") > 0).cast("int")).over(W.partitionBy(*by))
-    ranked = cells.select(*by, "y", "ey", F.row_number().over(falling).alias("k"), pos.alias("pos"))
-    top = F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("pos") / 100))
-    return ranked.groupBy(*by).agg(
+    sums = cells.groupBy(*by).agg(
         (F.count(F.when(F.col("ey") > level, 1)) / F.greatest(F.count(F.when(F.col("y") > 0, 1)), F.lit(1))).alias("area_ratio"),
-        ratio(F.sum(F.when(top, F.col("ey")).otherwise(0.0)), F.sum("ey")).alias("top_share"),
+        F.greatest(F.lit(1), F.floor(F.count(F.when(F.col("ey") > 0, 1)) / 100)).alias("most"),
+        F.sum("ey").alias("mass"),
     )
+    ties = order.before(cells.groupBy(*by, "ey").agg(F.count("*").alias("n")), by, "ey", ["n"], falling=True)
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("most") - F.col("n_before")))
+    top = ties.join(sums, list(by)).groupBy(*by, "area_ratio", "mass").agg(F.sum(taken * F.col("ey")).alias("top"))
+    return top.select(*by, "area_ratio", ratio(F.col("top"), F.col("mass")).alias("top_share"))
 
 
 def pit_flatness(pits: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
@@ -240,7 +242,7 @@ def hurdle_attribution(cells: DataFrame, by: Sequence[str], gate: str = "gate",
     rates = cells.groupBy(*by).agg(F.avg(event.cast("double")).alias("rho"), F.avg(F.when(event, F.col("y"))).alias("m_pos"))
     pi = F.col(gate)
     body = F.col("ey") / F.greatest(pi, F.lit(floor))
-    none = cells.where(~event).join(F.broadcast(rates), list(by))
+    none = cells.where(~event).join(checked(rates, "rates"), list(by))
     one = none.groupBy(*by).agg(
         F.avg(pi * body).alias("leak"),
         F.avg(pi * body - F.least(pi, F.col("rho")) * body).alias("by_gate"),
@@ -305,16 +307,12 @@ def greedy_members(scores: DataFrame, combine) -> list[str]:
 def activation(scored: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     """(by, fired, true_rate, hits, precision_at_k, false_size): shares of cells that fire and that have events; of the k largest forecasts (ties by unit) those with events, and the mean forecast on the others."""
     cells = scored.select(*by, "unit", "y", arrays.mean(F.col("samples")).alias("ey"), F.exists("samples", lambda x: x > 0).alias("fires"))
-    ranked = cells.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ey"), "unit")))
-    top = F.col("k") <= k
-    hit = top & (F.col("y") > 0)
-    return ranked.groupBy(*by).agg(
-        F.avg(F.col("fires").cast("double")).alias("fired"),
-        F.avg((F.col("y") > 0).cast("double")).alias("true_rate"),
-        F.count(F.when(hit, 1)).alias("hits"),
-        (F.count(F.when(hit, 1)) / F.count(F.when(top, 1))).alias("precision_at_k"),
-        F.avg(F.when(top & (F.col("y") <= 0), F.col("ey"))).alias("false_size"),
-    )
+    sums = cells.groupBy(*by).agg(F.avg(F.col("fires").cast("double")).alias("fired"), F.avg((F.col("y") > 0).cast("double")).alias("true_rate"))
+    # Spark keeps no more than k rows of a partition before they meet.
+    top = cells.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ey"), "unit"))).where(F.col("k") <= k)
+    hit = F.col("y") > 0
+    best = top.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("hits"), F.avg(hit.cast("double")).alias("precision_at_k"), F.avg(F.when(~hit, F.col("ey"))).alias("false_size"))
+    return sums.join(best, list(by))
 
 
 def parity_scorecard(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnfield.functions.scalars import gpd_cdf, is_real
+from cairnfield.operators import order
+from cairnfield.sources.work import checked
 
 
 def gap_decomposition(rows: DataFrame, reference: str) -> DataFrame:
@@ -17,7 +18,7 @@ def gap_decomposition(rows: DataFrame, reference: str) -> DataFrame:
     The gap in mean CRPS splits into cells without and with events, weighted by their shares; without a gap the share is null.
     """
     ref = rows.where(F.col("arm") == reference).select("target", "h", *[F.col(c).alias(f"r_{c}") for c in ("crps_all", "crps_none", "crps_events")])
-    joined = rows.where(F.col("arm") != reference).join(F.broadcast(ref), ["target", "h"])
+    joined = rows.where(F.col("arm") != reference).join(ref, ["target", "h"])
     p = F.col("n_event") / F.col("n")
     gap = F.col("crps_all") - F.col("r_crps_all")
     zero = (1 - p) * (F.coalesce("crps_none", F.lit(0.0)) - F.coalesce("r_crps_none", F.lit(0.0)))
@@ -101,7 +102,7 @@ def parity_falsifiers(scorecard: DataFrame, last_month: Column, exact_min: float
 def eligibility(rows: DataFrame, reference: str, gain: float = 0.05, slack: float = 0.01) -> DataFrame:
     """(arm, target, eligible): CRPS better by the gain, Brier no worse than the slack, the magnitude ratio nearer to 1."""
     ref = rows.where(F.col("arm") == reference).select("target", F.col("crps_all").alias("rc"), F.col("brier").alias("rb"), F.col("mcr_all").alias("rm"))
-    joined = rows.where(F.col("arm") != reference).join(F.broadcast(ref), "target")
+    joined = rows.where(F.col("arm") != reference).join(ref, "target")
     ok = (F.col("crps_all") <= (1 - gain) * F.col("rc")) & (F.col("brier") <= (1 + slack) * F.col("rb")) & (F.abs(F.col("mcr_all") - 1) < F.abs(F.col("rm") - 1))
     return joined.select("arm", "target", F.coalesce(ok, F.lit(False)).alias("eligible"))
 
@@ -109,13 +110,19 @@ def eligibility(rows: DataFrame, reference: str, gain: float = 0.05, slack: floa
 def pwm_fit(exceedances: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, m, gamma, sigma): generalised Pareto by probability-weighted moments of column v, ascending ranks i from 1.
 
-    a0 is the mean, a1 = sum((m - i) / (m - 1) v) / m; gamma = 2 - a0 / (a0 - 2 a1), sigma = 2 a0 a1 / (a0 - 2 a1).
+    a0 is the mean, a1 = sum((m - i) / (m - 1) v) / m; gamma = 2 - a0 / (a0 - 2 a1), sigma = 2 a0 a1 / (a0 - 2 a1). Fewer than two
+    exceedances, or moments without a positive scale, have no fit: both are null.
     """
-    ranked = exceedances.select(*by, "v", F.row_number().over(W.partitionBy(*by).orderBy("v")).alias("i"), F.count("*").over(W.partitionBy(*by)).alias("m"))
-    a = ranked.groupBy(*by, "m").agg((F.sum("v") / F.col("m")).alias("a0"), (F.sum((F.col("m") - F.col("i")) * F.col("v")) / F.col("m") / F.greatest(F.col("m") - 1, F.lit(1))).alias("a1"))
+    ties = exceedances.groupBy(*by, "v").agg(F.count("*").alias("c"))
+    totals = ties.groupBy(*by).agg(F.sum("c").alias("m"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("a0"))
+    c = F.col("c")
+    # The sum of m - i over the ranks of equal values.
+    above = c * F.col("m") - c * F.col("c_before") - c * (c + 1) / 2
+    a = order.before(ties, by, "v", ["c"]).join(totals, list(by)).groupBy(*by, "m", "a0").agg((F.sum(above * F.col("v")) / F.col("m") / F.greatest(F.col("m") - 1, F.lit(1))).alias("a1"))
     d = F.col("a0") - 2 * F.col("a1")
-    safe = F.when(F.abs(d) > 1e-12, d)
-    return a.select(*by, "m", (2 - F.col("a0") / safe).alias("gamma"), (2 * F.col("a0") * F.col("a1") / safe).alias("sigma"))
+    safe = F.when((F.col("m") > 1) & (F.abs(d) > 1e-12), d)
+    sigma = 2 * F.col("a0") * F.col("a1") / safe
+    return a.select(*by, "m", F.when(sigma > 0, 2 - F.col("a0") / safe).alias("gamma"), F.when(sigma > 0, sigma).alias("sigma"))
 
 
 def tail_index(pairs: DataFrame, q: float, least: int) -> DataFrame:
@@ -126,13 +133,18 @@ def tail_index(pairs: DataFrame, q: float, least: int) -> DataFrame:
     ``least`` on a side give a null index.
     """
     sides = pairs.select("target", F.explode(F.array(F.struct(F.lit("model").alias("side"), F.col("crps_model").alias("x")), F.struct(F.lit("ref").alias("side"), F.col("crps_ref").alias("x")))).alias("s")).select("target", "s.*")
-    cut = sides.groupBy("target").agg(F.percentile("x", q).alias("u"))
-    over = sides.join(F.broadcast(cut), "target").where(F.col("x") > F.col("u")).select("target", "side", "u", (F.col("x") - F.col("u")).alias("v"))
+    cut = checked(order.quantiles(sides, ["target"], {"u": (F.col("x"), q)}), "cuts")
+    over = sides.join(cut, "target").where(F.col("x") > F.col("u")).select("target", "side", "u", (F.col("x") - F.col("u")).alias("v"))
     fit = pwm_fit(over.where("side = 'ref'"), ["target"]).select("target", "gamma", "sigma")
-    part = W.partitionBy("target", "side")
-    placed = over.join(F.broadcast(fit), "target").select("target", "side", "u", "gamma", "sigma", "v", F.row_number().over(part.orderBy("v")).alias("i"), F.count("*").over(part).alias("m"))
-    gap = gpd_cdf(F.col("v"), F.col("gamma"), F.col("sigma")) - (2 * F.col("i") - 1) / (2 * F.col("m"))
-    omega = placed.groupBy("target", "u", "gamma", "side", "m").agg((1 / (12 * F.col("m")) + F.sum(gap * gap)).alias("omega"))
+    ties = order.before(over.groupBy("target", "side", "u", "v").agg(F.count("*").alias("c")), ["target", "side"], "v", ["c"])
+    sides_m = over.groupBy("target", "side").agg(F.count("*").alias("m"))
+    placed = ties.join(sides_m, ["target", "side"]).join(fit, "target")
+    # Sums of 2 i - 1 and of its square over the first n ranks are n^2 and n (4 n^2 - 1) / 3.
+    low, high = F.col("c_before").cast("double"), (F.col("c_before") + F.col("c")).cast("double")
+    first, second = high * high - low * low, (high * (4 * high * high - 1) - low * (4 * low * low - 1)) / 3
+    f, m2 = gpd_cdf(F.col("v"), F.col("gamma"), F.col("sigma")), 2 * F.col("m")
+    gaps = F.col("c") * f * f - 2 * f * first / m2 + second / (m2 * m2)
+    omega = placed.groupBy("target", "u", "gamma", "side", "m").agg((1 / (12 * F.col("m")) + F.sum(gaps)).alias("omega"))
     wide = omega.groupBy("target", "u", "gamma").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in ("model", "ref") for c in ("m", "omega")])
     enough = (F.coalesce("m_model", F.lit(0)) >= least) & (F.coalesce("m_ref", F.lit(0)) >= least)
     index = F.when(enough & (F.col("omega_model") > 0), 1 - F.col("omega_ref") / F.col("omega_model"))

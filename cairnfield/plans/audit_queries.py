@@ -12,7 +12,7 @@ from cairnfield.operators import panel as P
 from cairnfield.operators import rollout as RO
 from cairnfield.operators import scores as S
 from cairnfield.operators import verdicts as V
-from cairnfield.plans.base import BOARD_SQL, cells, cells_sql, dense, origins, q6, query, r6, rounded, scored, store, truth
+from cairnfield.plans.base import BOARD_SQL, cells, cells_sql, dense, erfc_sql, origins, q6, query, r6, rounded, scored, store, truth
 from cairnfield.plans.panel_queries import _LZ, _PARAMS_SQL, _parity_sql, _second_truth, params
 from cairnfield.sources import fixtures as X
 from cairnfield.sources import sinks
@@ -244,9 +244,10 @@ def sharpness_of_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(field(mean, "mean_area").join(field(F.get("samples", F.lit(0)), "draw_area"), AT))
 
 
-@query()
+@query(f"""with {_PARAMS_SQL}, x as (select mu, greatest(unit % 4 - 1, 0)::double as y, mu / sqrt(2) as z from params)
+select {q6(f'avg(case when y = 0 then -ln(({erfc_sql("z")}) / 2) else (y - mu) ** 2 / 2 + 0.9189385332046727 end)')} as nll from x""")
 def tobit_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RO.tobit_nll(params(spark, sf_dir).withColumn("y", F.greatest(F.col("unit") % 4 - 1, F.lit(0)).cast("double")), 1.0)
+    return rounded(RO.tobit_nll(params(spark, sf_dir).withColumn("y", F.greatest(F.col("unit") % 4 - 1, F.lit(0)).cast("double")), 1.0))
 
 
 @query(f"""with {X.LONG_SQL}, o as (select cast(unnest(range({X.ORIGINS[0]}, {X.ORIGINS[1] + 1})) as integer) as m0) select o.m0, l.target, count(*) as n, sum(l.y) as total from o join long l on l.month_id between o.m0 - 3 and o.m0 - 1 group by 1, 2""")

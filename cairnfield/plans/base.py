@@ -93,3 +93,10 @@ def ap_sql(by: str, source: str = "cells", score: str = "p") -> str:
     return f"""ap_ties as (select {by}, {score} as s, count(*) filter (where y > 0) as pos, count(*) as n from {source} group by {by}, {score}),
 ap_run as (select {by}, pos, n, sum(pos) over w as tp, sum(n) over w as k from ap_ties window w as (partition by {by} order by s desc)),
 ap as (select {by}, case when sum(pos) > 0 and sum(pos) < sum(n) then sum(pos * tp / k) / sum(pos) end as ap from ap_run group by {by})"""
+
+
+def erfc_sql(x: str) -> str:
+    """erfc of a number from 0 on: a series below 3, its continued fraction from there; lgamma gives the double factorials."""
+    series = f"2 / sqrt(pi()) * exp(-1.0 * ({x}) * ({x})) * list_sum(list_transform(range(0, 71), lambda n: case when {x} > 0 then exp(2 * n * ln(2) + (2 * n + 1) * ln({x}) + lgamma(n + 1) - lgamma(2 * n + 2)) else 0 end))"
+    fraction = f"list_reduce(list_prepend(1.0::double, list_reverse(range(1, 71))::double[]), lambda a, k: 1 + k / (2 * ({x}) ** 2) / a)"
+    return f"case when {x} < 3 then 1 - {series} else exp(-1.0 * ({x}) * ({x})) / (({x}) * sqrt(pi())) / {fraction} end"

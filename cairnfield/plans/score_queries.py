@@ -16,7 +16,7 @@ from cairnfield.operators import origins as O
 from cairnfield.operators import rollout as RO
 from cairnfield.operators import scores as S
 from cairnfield.operators import verdicts as V
-from cairnfield.plans.base import BOARD_SQL, ap_sql, cells, cells_sql, cells_table, dense, origins, q6, query, r6, rounded, scored, store, truth
+from cairnfield.plans.base import BOARD_SQL, ap_sql, cells, cells_sql, cells_table, dense, erfc_sql, origins, q6, query, r6, rounded, scored, store, truth
 from cairnfield.plans.panel_queries import _PARAMS_SQL, params
 from cairnfield.sources import fixtures as X
 
@@ -141,8 +141,9 @@ def _iid_sql(source: str, by: str, key: list[str], reps: int, level: float, seed
         p /= k + 1
     weight = " + ".join(f"(case when u >= {s!r}::double then 1 else 0 end)" for s in steps)
     keys = " || ':' || ".join(key)
-    return f"""i_many as (select {by}, rep, d, (cast('0x' || substr(md5('{seed}:' || rep || ':' || {keys}), 1, 12) as bigint) + 0.5::double) / {float(1 << 48)!r}::double as u from {source} cross join (select unnest(range({reps})) as rep)),
-i_drawn as (select {by}, rep, sum(d * ({weight})) / sum({weight}) as m from i_many group by {by}, rep),
+    return f"""i_hex as (select {by}, d, b, md5('{seed}:' || b || ':' || {keys}) as x from {source} cross join (select unnest(range({-(-reps // 8)})) as b)),
+i_many as (select {by}, b * 8 + j as rep, d, (cast('0x' || x[4 * j + 1 : 4 * j + 4] as bigint) + 0.5::double) / 65536.0::double as u from i_hex cross join (select unnest(range(8)) as j)),
+i_drawn as (select {by}, rep, sum(d * ({weight})) / sum({weight}) as m from i_many where rep < {reps} group by {by}, rep),
 i_plain as (select {by}, count(*) as n, avg(d) as mean from {source} group by {by}),
 i_ci as (select {by}, quantile_cont(m, {a}) as low, quantile_cont(m, {1 - a}) as high,
   least(1.0, 2 * least(avg(case when m <= 0 then 1.0::double else 0.0::double end), avg(case when m >= 0 then 1.0::double else 0.0::double end))) as p from i_drawn group by {by}),
@@ -154,6 +155,7 @@ def _out(columns: str) -> str:
 
 
 REPS = 2_000
+IID_REPS = 1_000
 
 
 @query(f"""with {cells_sql()}, {_PAIRS_SQL}, {_block_sql('pairs', 'target, h', REPS, 0.9, 'block')} select target, h, n, blocks, {_out('mean low high p')} from block""")
@@ -162,19 +164,19 @@ def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.block_bootstrap(d, ["target", "h"], block="m0", replicates=REPS, level=0.9, seed="block"))
 
 
-@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], 50, 0.95, 'iid')} select target, n, {_out('mean low high p')} from iid""")
+@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], IID_REPS, 0.95, 'iid')} select target, n, {_out('mean low high p')} from iid""")
 def iid_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
-    return rounded(I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=50, level=0.95, seed="iid"))
+    return rounded(I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=IID_REPS, level=0.95, seed="iid"))
 
 
-@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_block_sql('pairs', 'target', REPS, 0.9, 'block')}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], 50, 0.9, 'iid')}
+@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_block_sql('pairs', 'target', REPS, 0.9, 'block')}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], IID_REPS, 0.9, 'iid')}
 select b.target, {q6('(b.high - b.low) / 2')} as block_half, {q6('(i.high - i.low) / 2')} as iid_half, {q6('case when i.high > i.low then ((b.high - b.low) / 2) / ((i.high - i.low) / 2) end')} as inflation
 from block b join iid i on b.target = i.target""")
 def minimum_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
     block = I.block_bootstrap(d, ["target"], block="m0", replicates=REPS, level=0.9, seed="block")
-    iid = I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=50, level=0.9, seed="iid")
+    iid = I.iid_bootstrap(d, ["target"], key=["target", "m0", "unit"], replicates=IID_REPS, level=0.9, seed="iid")
     return rounded(I.minimum_effect(block, iid, ["target"]))
 
 
@@ -187,19 +189,25 @@ def stratified_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.stratified_test(d, strata, ["target", "h"], replicates=REPS, seed="stratum"))
 
 
-@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL},
-ranked as (select target, d, abs(d) as a, rank() over (partition by target order by abs(d)) + (count(*) over (partition by target, abs(d)) - 1) / 2 as r from pairs),
+_RANKS_SQL = """ranked as (select target, d, abs(d) as a, rank() over (partition by target order by abs(d)) + (count(*) over (partition by target, abs(d)) - 1) / 2 as r from pairs),
 s as (select target, count(*) as n, sum(case when d > 0 then r when d = 0 then r / 2 else 0 end) as w_plus, count(*) filter (where d = 0)::double as m0 from ranked group by target),
-t as (select target, sum(t * t * t - t) as tie from (select target, a, count(*) as t from ranked where a > 0 group by target, a) group by target)
-select s.target, n, w_plus, {q6("(w_plus - n::double * (n + 1) / 4) / sqrt((n::double * (n + 1) * (2 * n + 1) - m0 * (m0 + 1) * (2 * m0 + 1) - coalesce(tie, 0) / 2) / 24)")} as z from s left join t on s.target = t.target""")
+t as (select target, sum(t * t * t - t) as tie from (select target, a, count(*) as t from ranked where a > 0 group by target, a) group by target)"""
+_Z_SQL = "(w_plus - n::double * (n + 1) / 4) / sqrt((n::double * (n + 1) * (2 * n + 1) - m0 * (m0 + 1) * (2 * m0 + 1) - coalesce(tie, 0) / 2) / 24)"
+
+
+@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_RANKS_SQL}
+select s.target, n, w_plus, {q6(_Z_SQL)} as z from s left join t on s.target = t.target""")
 def signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.signed_ranks(I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B"), ["target"]))
 
 
-@query()
+@query(f"""with {cells_sql(T0)}, {_PAIRS_SQL}, {_iid_sql('pairs', 'target', ['target', 'm0', 'unit'], IID_REPS, 0.95, 'iid')}, {_RANKS_SQL},
+wilcoxon as (select s.target, abs({_Z_SQL}) / sqrt(2) as x from s left join t on s.target = t.target),
+tailed as (select target, {erfc_sql("x")} as wilcoxon_p from wilcoxon)
+select i.target, n, {_out('mean low high wilcoxon_p')}, (low > 0 or high < 0) and coalesce(wilcoxon_p < 0.05, false) as significant from iid i join tailed w on w.target = i.target""")
 def paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.paired_differences(cells_table(spark, sf_dir, T0), "A", "B")
-    return I.paired_significance(d, ["target"], key=["target", "m0", "unit"], replicates=50, seed="iid")
+    return rounded(I.paired_significance(d, ["target"], key=["target", "m0", "unit"], replicates=IID_REPS, seed="iid"))
 
 
 @query(f"""with {cells_sql()}, {ap_sql('arm, target, h')}, {_GAP_SQL}, {_PAIRS_SQL}, {_block_sql('pairs', 'target, h', REPS, 0.9, 'block')}
@@ -471,7 +479,7 @@ cut as (select target, quantile_cont(x, 0.9) as u from sides group by 1),
 over_u as (select s.target, side, u, x - u as v from sides s join cut c on s.target = c.target where x > u),
 pw as (select target, v, row_number() over (partition by target order by v) as i, count(*) over (partition by target) as m from over_u where side = 'ref'),
 a as (select target, m, sum(v) / m as a0, sum((m - i) * v) / m / greatest(m - 1, 1) as a1 from pw group by 1, 2),
-fit as (select target, case when abs(a0 - 2 * a1) > 1e-12 then 2 - a0 / (a0 - 2 * a1) end as gamma, case when abs(a0 - 2 * a1) > 1e-12 then 2 * a0 * a1 / (a0 - 2 * a1) end as sigma from a),
+fit as (select target, case when m > 1 and abs(a0 - 2 * a1) > 1e-12 and 2 * a0 * a1 / (a0 - 2 * a1) > 0 then 2 - a0 / (a0 - 2 * a1) end as gamma, case when m > 1 and abs(a0 - 2 * a1) > 1e-12 and 2 * a0 * a1 / (a0 - 2 * a1) > 0 then 2 * a0 * a1 / (a0 - 2 * a1) end as sigma from a),
 placed as (select o.target, side, u, gamma, sigma, v, row_number() over (partition by o.target, side order by v) as i, count(*) over (partition by o.target, side) as m from over_u o join fit f on o.target = f.target),
 om as (select target, u, gamma, side, m, 1 / (12 * m) + sum(({_GPD_SQL} - (2 * i - 1) / (2 * m)) ** 2) as omega from placed group by 1, 2, 3, 4, 5),
 wide as (select target, u, gamma, max(m) filter (where side = 'model') as m_model, max(omega) filter (where side = 'model') as o_model, max(m) filter (where side = 'ref') as m_ref, max(omega) filter (where side = 'ref') as o_ref from om group by 1, 2, 3)

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+#: Most rows of a table that may be broadcast after its rows were counted.
+CHECKED_ROWS = 100_000
+
+
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own, with a broadcast hint if it has CHECKED_ROWS rows at most, else without (Spark then shuffles both sides)."""
+    made = table(df, name)
+    return F.broadcast(made) if made.count() <= CHECKED_ROWS else made
