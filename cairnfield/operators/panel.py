@@ -130,31 +130,77 @@ def anchor_weights(act: DataFrame, column: str, strategy: str, min_events: int,
     return weighted.crossJoin(F.broadcast(sums)).select("unit", "activity", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("n")).alias("p"))
 
 
+#: Cells that share the offset of a running count.
+BLOCK = 10_000
+
+
+def pick_cells(cells: DataFrame, chances: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, unit): one cell for each draw.
+
+    ``cells`` has (by, unit, activity); ``chances`` has (by, keys, u, activity, n, w): for each draw the levels of activity, how many cells
+    each has and the weight of one of them (no weight at all: every cell alike). The level of activity is found where u falls
+    among the levels' running sums, the place in the level by what is left of u, and the cell at that place by running
+    counts of blocks of cells. No cell is copied for a draw, and only cells of the blocks that are hit are numbered.
+    """
+    of_draw = W.partitionBy(*keys)
+    known = chances.withColumn("w", F.when(F.sum(F.col("n") * F.col("w")).over(of_draw) > 0, F.col("w")).otherwise(1.0)).where("w > 0")
+    earlier = of_draw.orderBy("activity").rowsBetween(W.unboundedPreceding, -1)
+    mass = F.col("n") * F.col("w")
+    placed = known.select(*by, *keys, "activity", "n", "w", F.coalesce(F.sum(mass).over(earlier), F.lit(0.0)).alias("low"), (F.col("u") * F.sum(mass).over(of_draw)).alias("at"))
+    level = F.max_by(F.struct("activity", "n", "w", "low", "at"), "activity").alias("v")
+    found = placed.where("low <= at").groupBy(*by, *keys).agg(level).select(*by, *keys, "v.*")
+    place = F.least(F.col("n") - 1, F.floor((F.col("at") - F.col("low")) / F.col("w")))
+    found = found.select(*by, *keys, "activity", place.alias("place"))
+    spot = [*by, "activity", "_block"]
+    dealt = cells.select(*by, "unit", "activity", F.floor(F.col("unit") / BLOCK).alias("_block"))
+    counts = dealt.groupBy(*spot).agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(W.partitionBy(*by, "activity").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.select(*spot, "_n", start.alias("_start"))
+    hit = found.join(blocks, [*by, "activity"]).where((F.col("place") >= F.col("_start")) & (F.col("place") < F.col("_start") + F.col("_n")))
+    hit = hit.select(*spot, *keys, (F.col("place") - F.col("_start") + 1).alias("_k"))
+    inside = dealt.join(hit.select(*spot).distinct(), spot, "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(*spot).orderBy("unit")))
+    return hit.join(inside, [*spot, "_k"]).select(*keys, "unit")
+
+
 def draw_anchors(weights: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, unit): for each draw the cell with the largest log p - log(-log u), u keyed by seed, draw and cell."""
-    keyed_rows = weights.where("p > 0").select("unit", "p", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    score = F.log("p") - F.log(-F.log(keyed.uniform(F.lit(seed), F.col("draw"), F.col("unit"))))
-    return keyed_rows.groupBy("draw").agg(F.max_by("unit", F.struct(score.alias("s"), F.col("unit"))).alias("unit"))
+    """(draw, unit): cells drawn by their chance, which is a function of their activity; uniforms are keyed by seed and draw."""
+    levels = weights.groupBy("activity").agg(F.count("*").alias("n"), F.max("p").alias("w"))
+    wanted = levels.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return pick_cells(weights.select("unit", "activity"), wanted.withColumn("u", keyed.uniform(F.lit(seed), F.col("draw"))), [], ["draw"])
+
+
+def lesson_anchors(cells: DataFrame, plan: DataFrame, strategy: str, min_events: int, draws: int, seed: int, **params: float) -> DataFrame:
+    """(step, draw, unit): anchors of every lesson, ``draws`` each, from the cells (target, unit, activity) of the lesson's target.
+
+    The threshold strategy takes the lesson's threshold, the others ``min_events``.
+    """
+    levels = cells.groupBy("target", "activity").agg(F.count("*").alias("n")).withColumn("top", F.max("activity").over(W.partitionBy("target")))
+    least = F.col("threshold") if strategy == "threshold" else F.lit(min_events)
+    if strategy == "boltzmann":
+        params["top"] = F.col("top")
+    wanted = plan.select("step", "target", "threshold", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    chances = wanted.join(levels, "target").withColumn("w", lookup(ANCHORS, strategy)(F.col("activity"), least, **params)).withColumn("u", keyed.uniform(F.lit(seed), F.col("step"), F.col("draw")))
+    return pick_cells(cells, chances, ["target"], ["step", "draw"])
 
 
-def windows(grid: DataFrame, anchors: DataFrame, dim: int, height: int, width: int, row_offset: int, col_offset: int, seed: int) -> DataFrame:
-    """(draw, r0, c0): window corners, the anchor less a keyed jitter below dim, clipped to the grid."""
+def windows(grid: DataFrame, anchors: DataFrame, dim: int, height: int, width: int, row_offset: int, col_offset: int, seed: int, keys: Sequence[str] = ("draw",)) -> DataFrame:
+    """(keys, r0, c0): window corners, the anchor less a keyed jitter below dim, clipped to the grid."""
     if dim > height or dim > width:
         raise ContractError("the window is larger than the grid")
     at = anchors.join(grid.select("unit", "row", "col"), "unit")
-    jitter = lambda axis: keyed.integer(F.lit(seed), F.lit(axis), F.col("draw")) % dim
+    jitter = lambda axis: keyed.integer(F.lit(seed), F.lit(axis), *[F.col(k) for k in keys]) % dim
     clip = lambda x, size: F.greatest(F.lit(0), F.least(x, F.lit(size - dim)))
-    return at.select("draw", clip(F.col("row") - row_offset - jitter("r"), height).alias("r0"), clip(F.col("col") - col_offset - jitter("c"), width).alias("c0"))
+    return at.select(*keys, clip(F.col("row") - row_offset - jitter("r"), height).alias("r0"), clip(F.col("col") - col_offset - jitter("c"), width).alias("c0"))
 
 
-def cut_windows(panel: DataFrame, corners: DataFrame, dim: int, row_offset: int, col_offset: int, seed: int | None = None) -> DataFrame:
+def cut_windows(panel: DataFrame, corners: DataFrame, dim: int, row_offset: int, col_offset: int, seed: int | None = None, keys: Sequence[str] = ("draw",)) -> DataFrame:
     """The panel inside each window, as an equi-join: every corner lists its rows and columns. With a seed, axes flip at random."""
-    cells = corners.select("draw", "r0", "c0", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dc"))
-    places = cells.select("draw", "dr", "dc", (F.col("r0") + F.col("dr") + row_offset).cast("int").alias("row"), (F.col("c0") + F.col("dc") + col_offset).cast("int").alias("col"))
+    cells = corners.select(*keys, "r0", "c0", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dc"))
+    places = cells.select(*keys, "dr", "dc", (F.col("r0") + F.col("dr") + row_offset).cast("int").alias("row"), (F.col("c0") + F.col("dc") + col_offset).cast("int").alias("col"))
     out = panel.join(places, ["row", "col"])
     if seed is None:
         return out
-    coin = lambda axis: keyed.uniform(F.lit(seed), F.lit(axis), F.col("draw")) < 0.5
+    coin = lambda axis: keyed.uniform(F.lit(seed), F.lit(axis), *[F.col(k) for k in keys]) < 0.5
     return out.withColumns({"dr": F.when(coin("flip-r"), dim - 1 - F.col("dr")).otherwise(F.col("dr")), "dc": F.when(coin("flip-c"), dim - 1 - F.col("dc")).otherwise(F.col("dc"))})
 
 

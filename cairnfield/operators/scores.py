@@ -16,7 +16,7 @@ from cairnfield.functions import arrays
 from cairnfield.functions.scalars import logit, sigmoid
 from cairnfield.operators import order
 from cairnfield.operators.panel import neighbourhood_sum
-from cairnfield.sources.work import checked
+from cairnfield.sources.work import checked, table
 
 TAIL_EDGES = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e6)
 
@@ -63,21 +63,29 @@ def _by_score(cells: DataFrame, by: Sequence[str], score: str, event: Column) ->
     return cells.groupBy(*by, F.col(score).alias("s")).agg(F.sum(event.cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
-def average_precision(cells: DataFrame, by: Sequence[str], score: str = "p", event: Column | None = None) -> DataFrame:
-    """(by, ap): sum of recall steps times precision over falling scores; null unless both classes occur."""
-    ties = _by_score(cells, by, score, F.col("y") > 0 if event is None else event)
+def precision_of(ties: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, ap) from counts by score (by, s, pos, n)."""
     run = order.before(ties, by, "s", ["pos", "n"], falling=True)
     reached = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
     sums = run.groupBy(*by).agg(F.sum(F.col("pos") * reached).alias("s"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("pos") < F.col("n")), F.col("s") / F.col("pos")).alias("ap"))
 
 
+def auc_of(ties: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, auc) from counts by score (by, s, pos, n)."""
+    run = order.before(ties.withColumn("neg", F.col("n") - F.col("pos")), by, "s", ["neg"])
+    sums = run.groupBy(*by).agg(F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))).alias("u2"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u2") / (2 * F.col("pos") * F.col("neg"))).alias("auc"))
+
+
+def average_precision(cells: DataFrame, by: Sequence[str], score: str = "p", event: Column | None = None) -> DataFrame:
+    """(by, ap): sum of recall steps times precision over falling scores; null unless both classes occur."""
+    return precision_of(_by_score(cells, by, score, F.col("y") > 0 if event is None else event), by)
+
+
 def roc_auc(cells: DataFrame, by: Sequence[str], score: str = "p", event: Column | None = None) -> DataFrame:
     """(by, auc): the Mann-Whitney share with ties counting half; null unless both classes occur."""
-    ties = _by_score(cells, by, score, F.col("y") > 0 if event is None else event)
-    run = order.before(ties.withColumn("neg", F.col("n") - F.col("pos")), by, "s", ["neg"]).withColumnRenamed("neg_before", "below")
-    sums = run.groupBy(*by).agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("n") - F.col("pos"))).alias("u2"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
-    return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u2") / (2 * F.col("pos") * F.col("neg"))).alias("auc"))
+    return auc_of(_by_score(cells, by, score, F.col("y") > 0 if event is None else event), by)
 
 
 def spearman_positive(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -292,15 +300,32 @@ def ensemble(store: DataFrame) -> DataFrame:
     return store.groupBy("target", "m0", "h", "month_id", "unit").agg(arrays.pool(F.struct("arm", "samples")).alias("samples"))
 
 
-def greedy_members(scores: DataFrame, combine) -> list[str]:
-    """Members in order: the best alone, then each that improves the pool. ``combine(members)`` gives the pool's score."""
-    order = [r["arm"] for r in scores.orderBy("crps_all", "arm").collect()]
-    chosen = order[:1]
-    best = combine(chosen) if chosen else None
-    for arm in order[1:]:
-        now = combine([*chosen, arm])
-        if now < best:
-            chosen, best = [*chosen, arm], now
+def greedy_members(scored: DataFrame, ranked: Sequence[str]) -> list[str]:
+    """Members in order: the first of ``ranked`` (best alone first), then each that improves the mean CRPS of the pool.
+
+    A round scores the pool with each arm that is left, all in one job, and takes the first that improves it; those before it did
+    not. The pool is kept as a table, so jobs grow with the members taken, not with the arms. ``scored`` has (arm, target, m0, h, month_id, unit,
+    samples, y), the draws sorted or not; cells that an arm lacks do not count for it.
+    """
+    key = ["target", "m0", "h", "month_id", "unit"]
+    rest = list(ranked)
+    if not rest:
+        return []
+    chosen = [rest.pop(0)]
+    pool = scored.where(F.col("arm") == chosen[0]).select(*key, "y", F.array_sort("samples").alias("pooled"))
+    best = pool.agg(F.avg(arrays.crps(F.col("pooled"), F.col("y")))).first()[0]
+    while rest:
+        joined = pool.join(scored.where(F.col("arm").isin(rest)).select(*key, "arm", "samples"), key)
+        merged = joined.withColumn("pooled", F.array_sort(F.concat("pooled", "samples")))
+        means = {r["arm"]: r["m"] for r in merged.groupBy("arm").agg(F.avg(arrays.crps(F.col("pooled"), F.col("y"))).alias("m")).collect()}
+        better = next((a for a in rest if a in means and means[a] < best), None)
+        if better is None:
+            break
+        chosen.append(better)
+        best = means[better]
+        rest = rest[rest.index(better) + 1 :]
+        if rest:
+            pool = table(merged.where(F.col("arm") == better).select(*key, "y", "pooled"), "pool")
     return chosen
 
 

@@ -194,7 +194,35 @@ def anchor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+_U = lambda text: f"(cast(('0x' || substr(md5({text}), 1, 12)) as bigint) + 0.5::double) / 281474976710656.0::double"
+_I = lambda text: f"cast(('0x' || substr(md5({text}), 1, 12)) as bigint)"
+
+
+def _picked_sql(by: list[str], keys: list[str]) -> str:
+    """CTEs from ``cells`` (by, unit, activity) and ``chances`` (by, keys, u, activity, n, w) to ``picked`` (keys, unit)."""
+    k, b = ", ".join(keys), "".join(f"{c}, " for c in by)
+    same = " and ".join(f"c.{c} = p.{c}" for c in [*by, "activity"])
+    return f"""known as (select * replace (case when sum(n * w) over (partition by {k}) > 0 then w else 1.0 end as w) from chances),
+placed as (select *, coalesce(sum(n * w) over (partition by {k} order by activity rows between unbounded preceding and 1 preceding), 0) as low, u * sum(n * w) over (partition by {k}) as aim from known where w > 0),
+levels as (select * from placed where low <= aim qualify row_number() over (partition by {k} order by activity desc) = 1),
+numbered as (select *, row_number() over (partition by {b}activity order by unit) - 1 as place from cells),
+picked as (select {', '.join(f'p.{c}' for c in keys)}, c.unit from levels p join numbered c on {same} and c.place = least(p.n - 1, floor((aim - low) / p.w)))"""
+
+
+def _cut_sql(keys: list[str], dim: int, seed: int, columns: str) -> str:
+    """The windows around ``picked``, cut from ``dense`` and flipped, with the keys and the given columns."""
+    k, parts = ", ".join(keys), ", ".join(keys)
+    tag = lambda axis: f"concat_ws(':', {seed}, '{axis}', {parts})"
+    return f"""side as (select max(col) - min(col) + 1 as n from grid),
+corners as (select {k}, greatest(0, least(row - 87 - {_I(tag('r'))} % {dim}, n - {dim})) as r0, greatest(0, least(col - 310 - {_I(tag('c'))} % {dim}, n - {dim})) as c0 from picked join grid using (unit) cross join side),
+places as (select {k}, dr, dc, r0 + dr + 87 as row, c0 + dc + 310 as col from corners cross join (select unnest(range({dim})) as dr) cross join (select unnest(range({dim})) as dc))
+select {k}, month_id, unit, case when {_U(tag('flip-r'))} < 0.5 then {dim} - 1 - dr else dr end as dr, case when {_U(tag('flip-c'))} < 0.5 then {dim} - 1 - dc else dc end as dc, {columns} from places join dense using (row, col)"""
+
+
+@query(f"""with {X.DENSE_SQL}, cells as (select unit, count(*) filter (where lr_sb <> 0) as activity from dense group by 1),
+levels_w as (select activity, count(*) as n, case when activity >= 1 then activity::double else 0 end as w from cells group by 1),
+chances as (select d.draw, {_U("concat_ws(':', 5, d.draw)")} as u, l.activity, l.n, l.w from levels_w l cross join (select unnest(range(8)) as draw) d),
+{_picked_sql([], ["draw"])}, {_cut_sql(["draw"], 3, 5, "lr_sb")}""")
 def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows around drawn anchors anywhere on the grid, over all months, with jitter and flips."""
     g = X.grid(spark, sf_dir)
@@ -206,6 +234,30 @@ def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cut_windows(dense(spark, sf_dir), corners, 3, 87, 310, seed=5).select("draw", "month_id", "unit", "dr", "dc", "lr_sb")
 
 
+LESSONS = 30
+
+
+@query(f"""with {X.DENSE_SQL}, act as ({' union all '.join(f"select 'lr_{x}' as target, unit, count(*) filter (where lr_{x} <> 0) as activity from dense group by 2" for x in X.TARGETS)}),
+maxima as (select target, max(activity) as top, row_number() over (order by target) - 1 as slot, count(*) over () as many from act group by target),
+plan as (select i as step, target, greatest(1, floor(greatest(0.1::double, least(0.9::double * 0.9, 0.9::double + (-0.8::double / {LESSONS * 0.5}::double) * i)) * top)) as threshold
+  from (select unnest(range({LESSONS})) as i) join maxima on slot = i % many),
+cells as (select * from act),
+chances as (select p.step, d.draw, p.target, {_U("concat_ws(':', 9, p.step, d.draw)")} as u, l.activity, l.n, case when l.activity >= p.threshold then 1.0 else 0.0 end as w
+  from plan p cross join (select unnest(range(2)) as draw) d join (select target, activity, count(*) as n from act group by all) l on l.target = p.target),
+{_picked_sql(["target"], ["step", "draw"])}, {_cut_sql(["step", "draw"], 3, 9, "lr_sb, lr_ns, lr_os")}""")
+def curriculum_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planner, lens and window in one: every lesson's target and threshold, its anchors, and the flipped windows around them."""
+    d, g = dense(spark, sf_dir), X.grid(spark, sf_dir)
+    plan = P.lesson_plan(P.activity_maxima(d, FEATURES, 1), LESSONS, 0.1, 0.9, 0.5, 0.9)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("activity")) for c in FEATURES])).alias("p")
+    cells = P.activity(d, FEATURES).select("unit", pairs).select("p.target", "unit", "p.activity")
+    anchors = P.lesson_anchors(cells, plan, "threshold", 1, 2, 9)
+    side = g.agg(F.max("col") - F.min("col") + 1).first()[0]
+    keys = ["step", "draw"]
+    corners = P.windows(g, anchors, 3, side, side, 87, 310, 9, keys)
+    return P.cut_windows(d, corners, 3, 87, 310, seed=9, keys=keys).select(*keys, "month_id", "unit", "dr", "dc", *FEATURES)
+
+
 @query(f"""with {X.DENSE_SQL}
 select 'lr_sb' as column_name, {q6('avg(lr_sb)')} as mean, {q6('stddev_pop(lr_sb)')} as sd, min(lr_sb) as low, max(lr_sb) as high from dense union all
 select 'lr_ns', {q6('avg(lr_ns)')}, {q6('stddev_pop(lr_ns)')}, min(lr_ns), max(lr_ns) from dense""")

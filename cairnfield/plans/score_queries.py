@@ -19,6 +19,7 @@ from cairnfield.operators import verdicts as V
 from cairnfield.plans.base import BOARD_SQL, ap_sql, cells, cells_sql, cells_table, dense, erfc_sql, origins, q6, query, r6, rounded, scored, store, truth
 from cairnfield.plans.panel_queries import _PARAMS_SQL, params
 from cairnfield.sources import fixtures as X
+from cairnfield.sources import work
 
 AT = ["arm", "target"]
 ATH = ["arm", "target", "h"]
@@ -616,14 +617,13 @@ def nb_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [RO.family_draws(p, f, 16, 11).select(F.col("key").alias("unit"), F.lit(f).alias("family"), "samples") for f in FAMILIES])
 
 
-@query()
+@query(f"""with {cells_sql(T0)}, alone as (select arm, avg(crps) as c, row_number() over (order by avg(crps), arm) as r from cells group by arm),
+together as (select avg(list_sum(list_transform(s, lambda x: abs(x - y))) / 32 - list_sum(list_transform(list_sort(s), lambda x, i: (2 * (i - 1) - 31) * x)) / 1024) as c from (select target, m0, h, unit, any_value(y) as y, flatten(list(samples)) as s from preds group by target, m0, h, unit))
+select cast(r as integer) as place, arm from alone where r = 1 or (select c from together) < (select min(c) from alone)""")
 def greedy_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arms that a pool keeps, in order, at the first horizon."""
-    s = store(spark, sf_dir, T0)
-    t = truth(spark, sf_dir)
-    alone = S.board(cells(spark, sf_dir, T0), ["arm"]).select("arm", "crps_all")
-
-    def pooled(members: list[str]) -> float:
-        return S.cell_scores(O.with_truth(S.ensemble(s.where(F.col("arm").isin(members))), t, "error")).agg(F.avg("crps")).first()[0]
+    made = work.table(scored(spark, sf_dir, T0), "scored")
+    alone = S.cell_scores(made).groupBy("arm").agg(F.avg("crps").alias("crps_all"))
+    ranked = [r["arm"] for r in alone.orderBy("crps_all", "arm").collect()]
+    return spark.createDataFrame(list(enumerate(S.greedy_members(made, ranked), 1)), "place int, arm string")
 
-    return spark.createDataFrame(list(enumerate(S.greedy_members(alone, pooled), 1)), "place int, arm string")

@@ -21,6 +21,14 @@ def finish(sums: DataFrame) -> DataFrame:
     return sums.select("key", "lesson", (F.col("se") / F.col("n")).alias("mse"), (F.col("ae") / F.col("n")).alias("mae"), F.when(F.col("sy") == 0, 1.0).otherwise(F.col("sh") / F.when(F.col("sy") == 0, 1.0).otherwise(F.col("sy"))).alias("bias"))
 
 
+def score_counts(records: DataFrame) -> DataFrame:
+    """(key, lesson, s, pos, n): how many records (key, lesson, s, y) have each score, and how many of them events.
+
+    These counts are the exact, mergeable state of every ranking metric: ``scores.precision_of`` and ``scores.auc_of`` finish them.
+    """
+    return records.groupBy("key", "lesson", "s").agg(F.count(F.when(F.col("y") > 0, 1)).alias("pos"), F.count("*").alias("n"))
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, slide: str, late: str) -> DataFrame:
     """(start, key, n): event-time windows; rows later than the watermark are dropped by Spark, which frees their state."""
     w = F.window(time, width, slide)
@@ -32,6 +40,7 @@ def carry_forward(records: DataFrame, key: str, order: str, value: str) -> DataF
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0.0
+        # Spark hands a key's records of a micro-batch over in pieces; what reaches the state is ordered within the micro-batch only.
         pdf = pd.concat(list(batches)).sort_values(order)
         out = []
         for at, v in zip(pdf[order], pdf[value], strict=True):
