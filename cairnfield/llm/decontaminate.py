@@ -3,9 +3,10 @@
 * Windows. A window at similarity t or more shares one of the item's rarest shingles whose weight is over 1 - t of the
   item's (prefix filter), since less than that can be missing. So every window of the item's length that holds such a
   shingle, at each of its places in the document, is fingerprinted; phrases common to many items cost little.
-* Candidates. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits. Items are filed under every value of each block within
-  ``FLIPS`` bits, so a window finds all items of its length within ``RADIUS`` = 23 bits, whichever item its shingle came from. Two
-  texts at similarity 0.8 differ in 9.7 bits on average and in over 23 with a probability of about 1 in 100,000.
+* Candidates. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits. Items are filed under each of their rarest shingles with every value
+  of each block within ``FLIPS`` bits, so a window finds all items within ``RADIUS`` = 23 bits that have its length and its shingle,
+  and meets no others; by the prefix filter no similar item is among those. Two texts at similarity 0.8 differ in 9.7 bits
+  on average and in over 23 with a probability of about 1 in 100,000. A window that many documents hold is looked up once.
 * Verification. Exact weighted-shingle similarity decides; weights are how often a shingle occurs. Only ids, starts and
   fingerprints take part in the look-up; shingle arrays are fetched for pairs that passed it.
 
@@ -108,7 +109,7 @@ def anchors(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def windows(docs: DataFrame, marks: DataFrame, sizes: list[int]) -> DataFrame:
-    """(row, first, last, len): windows of ``len`` words to fingerprint, by their first and last start. ``sizes``: shingle lengths."""
+    """(row, h, first, last, len): windows of ``len`` words to fingerprint, by their rare shingle h and first and last start. ``sizes``: shingle lengths."""
     with_words = docs.select("row", _words(F.col("text")).alias("w"))
     # One pass for all shingle lengths: their arrays follow each other, so a place tells length and position.
     placed = with_words.select("row", F.size("w").alias("n"), F.posexplode(F.concat(*[_shingles(F.col("w"), k) for k in sizes])).alias("at", "h"))
@@ -125,7 +126,7 @@ def windows(docs: DataFrame, marks: DataFrame, sizes: list[int]) -> DataFrame:
     found = placed.join(mine, (F.col("h") == F.col("h2")) & (k == F.col("k2")))
     first = F.greatest(F.lit(0), pos + F.col("k2") - F.col("len"))
     last = F.least(pos, F.greatest(F.lit(0), F.col("n") - F.col("len")))
-    return found.select("row", first.alias("first"), last.alias("last"), "len").distinct()
+    return found.select("row", "h", first.alias("first"), last.alias("last"), "len").distinct()
 
 
 def _cut(held: DataFrame, at: Column, *more: Column) -> DataFrame:
@@ -137,10 +138,17 @@ def _cut(held: DataFrame, at: Column, *more: Column) -> DataFrame:
     return one.select("row", "x.*", *more, F.when(words >= SHINGLE, runs).otherwise(few).alias("shingles"))
 
 
-def index(items: DataFrame) -> DataFrame:
-    """(len, block, value, same, fp): the items under all values within FLIPS bits of each of their blocks."""
-    one = items.select("same", "len", "fp").distinct().select("same", "len", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "own"))
-    return one.select("len", "block", F.explode(F.transform(F.array(*map(F.lit, NEAR)), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"), "same", "fp")
+def index(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """(h, len, block, value, same, fp): the items under each of their rarest shingles and all values within FLIPS bits of each of their blocks."""
+    filed = marks.select("h", "len", "same").distinct().join(items.select("same", "fp").distinct(), "same")
+    one = filed.select("h", "len", "same", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "own"))
+    return one.select("h", "len", "block", F.explode(F.transform(F.array(*map(F.lit, NEAR)), lambda m: m.bitwiseXOR(F.col("own")))).alias("value"), "same", "fp")
+
+
+def candidates(windows: DataFrame, filed: DataFrame) -> DataFrame:
+    """(h, len, fp, same, fp2): each window (h, len, fp) with the items that are filed under its shingle, its length and one of its blocks."""
+    probes = windows.select("h", "len", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
+    return probes.join(small(filed.withColumnRenamed("fp", "fp2")), ["h", "len", "block", "value"]).select("h", "len", "fp", "same", "fp2")
 
 
 def _blocks(fp: Column) -> Column:
@@ -162,11 +170,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     held = materialize(texts.select("row", "w", _shingles(F.col("w"), SHINGLE).alias("sh"), "at"), "held")
     starts = F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), x["len"].alias("len"))))))
     prints = materialize(_cut(held, starts).select("row", "start", "len", simhash(F.col("shingles")).alias("fp")), "prints")
-    probes = prints.select("row", "start", "len", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "value"))
-    filed = small(index(items).toDF("len2", "block2", "value2", "same", "fp2"))
-    met = probes.join(filed, (F.col("len") == F.col("len2")) & (F.col("block") == F.col("block2")) & (F.col("value") == F.col("value2")))
+    brought = where.select("row", "h", "len", F.explode(F.sequence("first", "last")).alias("start"))
+    probes = materialize(prints.join(brought, ["row", "start", "len"]), "probes")
+    met = candidates(probes.select("h", "len", "fp").distinct(), index(items, marks))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))).alias("distance")
-    near = materialize(met.where(distance <= RADIUS).select("row", "start", "len", "same", distance).distinct(), "near")
+    found = small(materialize(met.select("h", "len", "fp", "same", distance).where(F.col("distance") <= RADIUS).distinct(), "found"))
+    near = materialize(probes.join(found, ["h", "len", "fp"]).select("row", "start", "len", "same", "distance").distinct(), "near")
     mine = small(near.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "len", "same", "distance")).alias("near")), 20_000)
     cut = _cut(held.join(mine, F.col("row").eqNullSafe(F.col("_row"))), F.col("near"))
     right = small(items.select("item", F.col("same").alias("same2"), F.col("marked").alias("marked2")))
