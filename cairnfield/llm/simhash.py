@@ -180,13 +180,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of such rows alone has a null component_id. An empty table gives an empty result.
     """
     prints = materialize(fingerprint_table(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    pairs = links(nodes)
-    by = nodes.where("node is not null")
-    ends = pairs.join(by.select(F.col("fp").alias("a"), F.col("node").alias("m")), "a").join(by.select(F.col("fp").alias("b"), F.col("node").alias("n")), "b")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+    pairs = materialize(links(nodes), "pairs")
+    size = pairs.count()
+    by = nodes.where("node is not null").select("fp", "node")
+
+    def named(ends: DataFrame, key: str, name: str) -> DataFrame:
+        """``ends`` with the node of one end; the centre of a large star is a hot key."""
+        degree = ends.groupBy(key).agg(F.count("*").alias("n"))
+        return skewed_join(ends, by.select(F.col("fp").alias(key), F.col("node").alias(name)).join(degree, key), key, size).drop("n")
+
+    ends = named(named(pairs, "a", "m"), "b", "n2").withColumnRenamed("n2", "n")
     reached = components(ends, "m", "n")
-    named = nodes.join(reached, "node", "left").select(F.col("fp").alias("key"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, prints.fp == named.key).select("doc_id", "fp", "component_id")
+    placed = nodes.join(reached, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    # Copies of one text share a fingerprint, which may be a third of all rows.
+    rows = nodes.agg(F.sum("n")).first()[0] or 0
+    return skewed_join(prints, materialize(placed, "placed"), "fp", rows).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
