@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from cairnfield.functions import arrays, keyed
+from cairnfield.functions.registry import lookup
 from cairnfield.functions.scalars import log_normal_cdf
-from cairnfield.operators.draws import family_draws
+from cairnfield.operators.draws import family_draw, family_draws
 
-__all__ = ["family_draws", "family_nll", "posterior", "roll_out", "tobit_nll"]
+__all__ = ["FEEDBACKS", "cell_roll_out", "composed", "family_draws", "family_nll", "posterior", "roll_out", "tobit_nll"]
 
 #: (state, field, rng) to (next state, mean field): one step of an injected model on arrays over the cells.
 Scorer = Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray]]
@@ -69,6 +71,57 @@ def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, p
     return many.groupBy("m0", "pass_no", "block").applyInPandas(fold, "m0 int, pass_no int, h int, month_id int, unit long, mean double, draw double")
 
 
+#: What a free step gets from the mean and the composed draw of the step before; add an entry to extend.
+FEEDBACKS: dict[str, Callable[[Column, Column], Column]] = {"mean": lambda mean, draw: mean, "sample": lambda mean, draw: draw}
+
+
+def composed(draw: Column, p: Column, u: Column, composition: str, threshold: float | None = None) -> Column:
+    """A family's draw behind its gate: as it is, zero with chance 1 - p, or zero where p stays below the threshold."""
+    if composition == "self_zeroed":
+        return draw
+    if composition == "soft_gate":
+        return F.when(u < p, draw).otherwise(0.0)
+    if composition == "threshold_gate" and threshold is not None:
+        return F.when(p >= threshold, draw).otherwise(0.0)
+    raise ValueError(f"unknown composition {composition!r}, or no threshold")
+
+
+def cell_roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, passes: int, history: int, seed: int, family: str, parameters: Callable[[Column], dict[str, Column]], gate: Callable[[Column], Column] | None = None, composition: str = "self_zeroed", threshold: float | None = None, feedback: str = "sample", cap: float | None = None) -> DataFrame:
+    """(m0, unit, pass_no, h, mean, draw): a roll-out of the smoothing model as a native fold over each cell's months.
+
+    The history before m0 is digested once for each cell and its state forked for the passes. Each free step emits the mean,
+    draws the family (``parameters`` gives its parameters from the mean), composes the draw with its gate, and feeds
+    back what ``FEEDBACKS`` names, capped on the copy fed back only. Uniforms are digests of seed, origin, unit, pass and step.
+    """
+    fed_back = lookup(FEEDBACKS, feedback)
+    listed = origins.select("m0", F.explode(F.sequence(F.col("m0") - history, F.col("m0") - 1)).alias("month_id")).withColumn("month_id", F.col("month_id").cast("int"))
+    known = panel.select("month_id", "unit", F.col(column).cast("double").alias("x")).join(F.broadcast(listed), "month_id")
+    series = known.groupBy("m0", "unit").agg(F.array_sort(F.collect_list(F.struct("month_id", "x"))).alias("past"))
+    smooth = lambda state, x: 0.7 * state + 0.3 * x
+    digest = F.aggregate("past", F.lit(0.0), lambda s, r: smooth(s, r["x"]))
+    forked = series.select("m0", "unit", digest.alias("state"), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass_no"))
+    made = lambda h, mean, draw: F.struct(h.cast("int").alias("h"), mean.alias("mean"), draw.alias("draw"))
+
+    def step(run: Column, h: Column) -> Column:
+        keys = (F.lit(seed), F.col("m0"), F.col("unit"), F.col("pass_no"), h)
+
+        def emit(mean: Column) -> Column:
+            p = gate(mean) if gate else F.lit(1.0)
+            draw = composed(family_draw(family, parameters(mean), *keys), p, keyed.uniform(*keys, F.lit("gate")), composition, threshold)
+
+            def advance(y: Column) -> Column:
+                fed = fed_back(mean, y)
+                return F.struct(smooth(run["state"], fed if cap is None else F.least(fed, F.lit(cap))).alias("state"), F.concat(run["out"], F.array(made(h, mean, y))).alias("out"))
+
+            return arrays.once(draw, advance)
+
+        return arrays.once(F.expm1(0.9 * F.log1p(run["state"])), emit)
+
+    nothing = F.array().cast("array<struct<h:int,mean:double,draw:double>>")
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.col("state").alias("state"), nothing.alias("out")), step, lambda s: s["out"])
+    return forked.select("m0", "unit", "pass_no", F.explode(run).alias("s")).select("m0", "unit", "pass_no", "s.*")
+
+
 def posterior(rolled: DataFrame, *by: str) -> DataFrame:
     """(by, m0, h, month_id, unit, samples): the passes' draws in order of the pass."""
     return rolled.groupBy(*by, "m0", "h", "month_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "draw"))), lambda s: s["draw"]).alias("samples"))
@@ -140,10 +193,14 @@ def tobit_nll(df: DataFrame, sigma: float) -> DataFrame:
     return df.select(log_normal_cdf(-F.col("mu") / sigma).alias("t"), gauss.alias("g"), "y").agg(F.avg(F.when(F.col("y") == 0, -F.col("t")).otherwise(F.col("g"))).alias("nll"))
 
 
-def attractor(x0: float, steps: int, spark, growth: float = 1.1, cap: float = 13.0) -> DataFrame:
-    """(step, x, top): a free-running scalar map and the largest level so far, as a recursive query."""
-    return spark.sql(
-        f"with recursive run(step, x, top) as (select 0, cast({x0} as double), cast(abs({x0}) as double) "
-        f"union all select step + 1, least({growth} * x, {cap}), greatest(top, least({growth} * x, {cap})) from run where step < {steps}) "
-        "select step, x, top from run"
-    )
+def free_runs(starts: DataFrame, key: str, steps: int, growth: float = 1.1, cap: float = 13.0) -> DataFrame:
+    """(key, step, x, top): the map x to min(growth x, cap), run freely from x0, and the largest level so far."""
+    level = lambda x, top: F.struct(x.alias("x"), top.alias("top"))
+
+    def step(run: Column, _: Column) -> Column:
+        last = F.element_at(run, -1)
+        x = F.least(growth * last["x"], F.lit(cap))
+        return F.concat(run, F.array(level(x, F.greatest(last["top"], x))))
+
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(level(F.col("x0"), F.abs("x0"))), step)
+    return starts.select(key, F.posexplode(run).alias("step", "s")).select(key, "step", "s.x", "s.top")

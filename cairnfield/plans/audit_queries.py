@@ -159,23 +159,31 @@ def temporal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.temporal_mean(dense(spark, sf_dir), ["lr_sb", "lr_ns"]))
 
 
-@query(f"""select cast(i as integer) as month_id, cast(1980 + (i - 1) // 12 as integer) as year, cast((i - 1) % 12 + 1 as integer) as month, strftime(make_date(1980 + (i - 1) // 12, (i - 1) % 12 + 1, 1), '%Y-%m-%d') as first_day from (select unnest(range({X.MONTHS[0]}, {X.MONTHS[1] + 1})) as i)""")
+@query(f"""with {X.SPARSE_SQL} select i as month_id, cast(1980 + (i - 1) // 12 as integer) as year, cast((i - 1) % 12 + 1 as integer) as month, strftime(make_date(1980 + (i - 1) // 12, (i - 1) % 12 + 1, 1), '%Y-%m-%d') as first_day from (select distinct month_id as i from sparse)""")
 def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.month_names(spark.range(X.MONTHS[0], X.MONTHS[1] + 1).select(F.col("id").cast("int").alias("month_id")))
+    return A.month_names(X.sparse_panel(spark, sf_dir).select("month_id").distinct())
 
 
-_NAMES = ["pred_lr_sb", "lr_ns", "Stage 4/Train Set", "predictions_calibration_20260722_102130"]
-
-
-@query(f"""with n as (select unnest({_NAMES}) as name) select name, translate(lower(name), ' /', '__') as label, regexp_extract(name, '(\\d{{8}}_\\d{{6}})$', 1) as stamp, regexp_replace(regexp_replace(name, '^pred_', ''), '^lr_', 'by_') as gate from n""")
+@query(f"""with {X.DENSE_SQL}, n as (
+  select distinct 'predictions_calibration_' || (1980 + (month_id - 1) // 12) || lpad(cast((month_id - 1) % 12 + 1 as varchar), 2, '0') || '01_102130' as name from sparse union all
+  select distinct 'Stage ' || c_id || '/Train Set' from grid union all select distinct 'pred_lr_' || c_id from grid union all select distinct 'lr_' || c_id from grid)
+select name, translate(lower(name), ' /', '__') as label, regexp_extract(name, '(\\d{{8}}_\\d{{6}})$', 1) as stamp, regexp_replace(regexp_replace(name, '^pred_', ''), '^lr_', 'by_') as gate from n""")
 def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.artifact_names(spark.createDataFrame([(n,) for n in _NAMES], "name string"))
+    """Names of runs by month and of stages and targets by nation."""
+    m = F.col("month_id") - 1
+    runs = X.sparse_panel(spark, sf_dir).select("month_id").distinct().select(F.format_string("predictions_calibration_%d%02d01_102130", (1980 + F.floor(m / 12)).cast("int"), (m % 12 + 1).cast("int")).alias("name"))
+    nations = X.grid(spark, sf_dir).select("c_id").distinct()
+    kinds = F.array(F.concat(F.lit("Stage "), "c_id", F.lit("/Train Set")), F.concat(F.lit("pred_lr_"), "c_id"), F.concat(F.lit("lr_"), "c_id"))
+    return A.artifact_names(runs.unionByName(nations.select(F.explode(kinds).alias("name"))))
 
 
-@query("select 'a' as name, 36 as steps, 0.5::double as threshold union all select 'b', 12, null")
+@query(f"""with {X.GRID_SQL} select 'nation_' || c_id as name, cast(count(*) as integer) as steps, case when c_id % 3 <> 0 then count(*) / 4.0::double end as threshold from grid group by c_id""")
 def config_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ['{"name": "a", "time_steps": 36, "derivations": {"threshold": 0.5}}', '{"name": "b", "time_steps": 12, "other": [1]}']
-    return A.config_records(spark.createDataFrame([(t,) for t in texts], "body string"))
+    """Records written as JSON, one for each nation, some without the nested setting, and read back."""
+    nations = X.grid(spark, sf_dir).groupBy("c_id").agg(F.count("*").alias("k"))
+    nested = F.when(F.col("c_id") % 3 != 0, F.struct((F.col("k") / 4.0).alias("threshold")))
+    body = F.to_json(F.struct(F.concat(F.lit("nation_"), "c_id").alias("name"), F.col("k").alias("time_steps"), nested.alias("derivations"), F.array("c_id").alias("other")))
+    return A.config_records(nations.select(body.alias("body")))
 
 
 @query(f"""with {X.DENSE_SQL}, u as (select month_id, unit, lr_sb as y, 0.5::double as own, (cast('0x' || substr(md5('mix:' || month_id || ':' || unit), 1, 12) as bigint) + 0.5::double) / {float(1 << 48)!r}::double as u from dense)

@@ -99,15 +99,18 @@ def _soft(x: str) -> str:
     return f"{x} + ln(1 - exp(-({x})))"
 
 
-@query(f"""with b as (select unnest([('nb', 0, 'mu', 0.5), ('nb', 1, 'theta', 1.0), ('zinb', 0, 'mu', 0.5), ('zinb', 1, 'theta', 1.0), ('zinb', 2, 'pi', 0.75),
-  ('mixture', 0, 'w', 0.9), ('mixture', 1, 'mu1', 0.5), ('mixture', 2, 'theta1', 1.0), ('mixture', 3, 'gap', 5.0), ('mixture', 4, 'theta2', 1.0), ('truncated', 0, 'mu', 0.5), ('truncated', 1, 'theta', 1.0)]) as t),
+@query(f"""with {X.DENSE_SQL}, p as (select avg(case when lr_sb = 0 then 1.0::double else 0.0::double end) as pi, avg(case when lr_sb > 0 then lr_sb end) as mu from dense),
+b as (select unnest([('nb', 0, 'mu', 0.5), ('nb', 1, 'theta', 1.0), ('zinb', 0, 'mu', 0.5), ('zinb', 1, 'theta', 1.0), ('zinb', 2, 'pi', pi),
+  ('mixture', 0, 'w', 0.9), ('mixture', 1, 'mu1', mu), ('mixture', 2, 'theta1', 1.0), ('mixture', 3, 'gap', 5.0), ('mixture', 4, 'theta2', 1.0), ('truncated', 0, 'mu', 0.5), ('truncated', 1, 'theta', 1.0)]) as t from p),
 r as (select t[1] as family, cast(t[2] as integer) as position, t[3] as parameter, cast(t[4] as double) as prior from b)
-select *, {q6(f"case when parameter in ('w', 'pi') then ln(prior / (1 - prior)) else {_soft('prior')} end")} as raw from r""")
+select family, position, parameter, {q6('prior')} as prior, {q6(f"case when parameter in ('w', 'pi') then ln(prior / (1 - prior)) else {_soft('prior')} end")} as raw from r""")
 def initial_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every family, with a prior given for one."""
+    """Of every family; the share of zeros and the mean of the events are the panel's."""
+    y = F.col("lr_sb")
+    priors = dense(spark, sf_dir).agg(F.avg((y == 0).cast("double")).alias("pi"), F.avg(F.when(y > 0, y)).alias("mu")).first().asDict()
     out = None
     for family in G.BIASES:
-        one = G.initial_bias(spark, family, {"pi": 0.75} if family == "zinb" else None)
+        one = G.initial_bias(spark, family, priors)
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 

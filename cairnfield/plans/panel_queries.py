@@ -139,9 +139,12 @@ def _rolling(spark: SparkSession) -> DataFrame:
     return O.origins_table(spark, O.rolling_origins(_N_MONTHS, 12, 13), X.MONTHS[0])
 
 
-@query(f"select cast(i as integer) as origin, cast({X.MONTHS[0]} + i + 1 as integer) as m0 from (select unnest(range({_N_MONTHS} - 12 - 1 - 12, {_N_MONTHS} - 12)) as i)")
+@query(f"""with {X.SPARSE_SQL}, m as (select min(month_id) as lo, max(month_id) - min(month_id) + 1 as n from sparse)
+select cast(i as integer) as origin, cast(lo + i + 1 as integer) as m0 from (select lo, unnest(range(n - 12 - 1 - 12, n - 12)) as i from m)""")
 def rolling_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolling(spark)
+    """Origins over the months that the table has."""
+    lo, n = X.sparse_panel(spark, sf_dir).agg(F.min("month_id"), F.max("month_id") - F.min("month_id") + 1).first()
+    return O.origins_table(spark, O.rolling_origins(n, 12, 13), lo)
 
 
 @query(f"""with {X.DENSE_SQL},
@@ -334,10 +337,13 @@ def hurdle_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("unit", at("nb", 2.0), at("lognormal", 1.0), at("point", 1.0))
 
 
-@query(f"""select cast(i as bigint) as step, {q6('1 - i / 29.0::double')} as linear, {q6('5.0::double / (5 + exp(i / 29.0::double * 10 - 5))')} as inverse_sigmoid, {q6('0.5::double ** (i / 29.0::double * 5)')} as exponential,
-  {q6('greatest(0.1::double, least(0.9::double * 0.9, 0.9::double + (-0.8::double / 15.0::double) * i))')} as cooling, {q6('64.0::double ** -0.5 * least((i + 1.0::double) ** -0.5, (i + 1.0::double) * 10.0::double ** -1.5)')} as rate
-from (select unnest(range(0, 30)) as i)""")
+@query(f"""with {X.SPARSE_SQL}, m as (select month_id - min(month_id) over () as i, count(*) over () - 1.0::double as d, count(*) over () * 0.5::double as h from (select distinct month_id from sparse))
+select cast(i as bigint) as step, {q6('1 - i / d')} as linear, {q6('5.0::double / (5 + exp(i / d * 10 - 5))')} as inverse_sigmoid, {q6('0.5::double ** (i / d * 5)')} as exponential,
+  {q6('greatest(0.1::double, least(0.9::double * 0.9, 0.9::double + (-0.8::double / h) * i))')} as cooling, {q6('64.0::double ** -0.5 * least((i + 1.0::double) ** -0.5, (i + 1.0::double) * 10.0::double ** -1.5)')} as rate from m""")
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    kinds = [r6(scalars.epsilon(k, i, 30)).alias(k) for k in ("linear", "inverse_sigmoid", "exponential")]
-    return spark.range(30).select(i.alias("step"), *kinds, r6(scalars.cooling(i, 30, 0.1, 0.9, 0.5, 0.9)).alias("cooling"), r6(scalars.warmup_rate(i + 1.0, 64.0, 10.0)).alias("rate"))
+    """Every schedule over the months of the table, a step for each."""
+    months = X.sparse_panel(spark, sf_dir).select("month_id").distinct()
+    lo, n = months.agg(F.min("month_id"), F.count("*")).first()
+    i = (F.col("month_id") - lo).cast("long")
+    kinds = [r6(scalars.epsilon(k, i, n)).alias(k) for k in ("linear", "inverse_sigmoid", "exponential")]
+    return months.select(i.alias("step"), *kinds, r6(scalars.cooling(i, n, 0.1, 0.9, 0.5, 0.9)).alias("cooling"), r6(scalars.warmup_rate(i + 1.0, 64.0, 10.0)).alias("rate"))

@@ -579,9 +579,13 @@ def family_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(RO.family_nll(params(spark, sf_dir).withColumn("y", (F.col("unit") % 4).cast("double")), "nb"))
 
 
-@query("with recursive run(step, x, top) as (select 0, 1.0::double, 1.0::double union all select step + 1, least(1.1 * x, 13.0)::double, greatest(top, least(1.1 * x, 13.0)::double) from run where step < 48) select step, " + q6("x") + " as x, " + q6("top") + " as top from run")
+@query(f"""with recursive {X.LONG_SQL}, starts as (select target, avg(y) as x from long where y > 0 group by target),
+run(target, step, x, top) as (select target, 0, x, abs(x) from starts union all select target, step + 1, least(1.1::double * x, 13.0::double), greatest(top, least(1.1::double * x, 13.0::double)) from run where step < 48)
+select target, step, {q6('x')} as x, {q6('top')} as top from run""")
 def attractor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(RO.attractor(1.0, 48, spark))
+    """Free runs from every target's mean event."""
+    starts = truth(spark, sf_dir).where("y > 0").groupBy("target").agg(F.avg("y").alias("x0"))
+    return rounded(RO.free_runs(starts, "target", 48))
 
 
 @query()
@@ -617,6 +621,38 @@ def nb_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [RO.family_draws(p, f, 16, 11).select(F.col("key").alias("unit"), F.lit(f).alias("family"), "samples") for f in FAMILIES])
 
 
+_KEMP = lambda x: f"(case when {_UNIFORM(f'{x}[13:24]')} >= 1 - exp(-grown) then 1 when {_UNIFORM(f'{x}[13:24]')} <= (1 - exp(-grown * {_UNIFORM(f'{x}[1:12]')})) ** 2 then greatest(floor(1 + ln({_UNIFORM(f'{x}[13:24]')}) / ln(1 - exp(-grown * {_UNIFORM(f'{x}[1:12]')}))), 1) when {_UNIFORM(f'{x}[13:24]')} >= 1 - exp(-grown * {_UNIFORM(f'{x}[1:12]')}) then 1 else 2 end)"
+#: Family, composition and feedback of each run; the parameters follow from the mean.
+_ROLLS = (("nb", "soft_gate", "sample"), ("zinb", "self_zeroed", "sample"), ("mixture", "threshold_gate", "sample"), ("truncated", "soft_gate", "mean"))
+
+
+@query(f"""with recursive {X.DENSE_SQL}, o as (select cast(unnest(range({X.ORIGINS[0]}, {X.ORIGINS[1] + 1})) as integer) as m0),
+past as (select o.m0, d.unit, sum(0.3::double * d.lr_sb * pow(0.7::double, o.m0 - 1 - d.month_id)) as state from o join dense d on d.month_id between o.m0 - 24 and o.m0 - 1 group by 1, 2),
+run(family, composition, feedback, m0, unit, pass_no, h, state, mean, draw) as (
+  select family, composition, feedback, m0, unit, pass_no, 0, state, 0.0::double, 0.0::double from past cross join (values {', '.join(str(r) for r in _ROLLS)}) f(family, composition, feedback) cross join (select unnest(range(2)) as pass_no)
+  union all
+  select family, composition, feedback, m0, unit, pass_no, h, 0.7::double * state + 0.3::double * least(case when feedback = 'mean' then mean else y end, 50.0), mean, y from (
+    select *, case composition when 'soft_gate' then case when {_UNIFORM("md5(concat_ws(':', 21, m0, unit, pass_no, h, 'gate'))[1:12]")} < p then drawn else 0 end when 'threshold_gate' then case when p >= 0.3 then drawn else 0 end else drawn end as y from (
+      select *, case when family = 'zinb' and v < 0.2 then 0.0::double when jumps = 0 then 0.0::double else list_sum(list_transform(range(1, jumps + 1), lambda i: {_KEMP("md5(concat_ws(':', 21, m0, unit, pass_no, h, i))")}))::double end as drawn from (
+        select *, cast(first + len(list_filter(range(first, cast(rate + 10 * sqrt(rate) + 60 as integer) + 1), lambda n: list_sum(list_transform(range(first, n + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1)))) < u * case when first = 1 then 1 - exp(-rate) else 1 end)) as bigint) as jumps from (
+          select *, t * grown as rate, case when family = 'truncated' then 1 else 0 end as first from (
+            select *, ln(1 + greatest(m, 1e-6) / t) as grown from (
+              select *, 1 - exp(-mean) as p, case when family = 'mixture' and v >= 0.7 then mean + 1 else mean end as m, case when family = 'mixture' and v >= 0.7 then 2.0::double else 0.8::double end as t from (
+                select *, {_UNIFORM("x[1:12]")} as u, {_UNIFORM("x[13:24]")} as v from (
+                  select family, composition, feedback, m0, unit, pass_no, h + 1 as h, state, exp(0.9 * ln(1 + state)) - 1 as mean, md5(concat_ws(':', 21, m0, unit, pass_no, h + 1)) as x from run where h < 6))))))))) 
+select family, m0, unit, pass_no, h, {q6('mean')} as mean, draw from run where h > 0""")
+def rollout_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free runs from every origin and cell, with each family, a composition with its gate, and what is fed back."""
+    panel, every = dense(spark, sf_dir), origins(spark)
+    given = lambda mean: {"mu": mean, "theta": F.lit(0.8), "pi": F.lit(0.2), "mu2": mean + 1, "theta2": F.lit(2.0), "w": F.lit(0.7)}
+    out = []
+    for family, composition, feedback in _ROLLS:
+        threshold = 0.3 if composition == "threshold_gate" else None
+        rolled = RO.cell_roll_out(panel, every, "lr_sb", steps=6, passes=2, history=24, seed=21, family=family, parameters=given, gate=lambda mean: 1 - F.exp(-mean), composition=composition, threshold=threshold, feedback=feedback, cap=50.0)
+        out.append(rolled.select(F.lit(family).alias("family"), "m0", "unit", "pass_no", "h", r6("mean").alias("mean"), "draw"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(f"""with {cells_sql(T0)}, alone as (select arm, avg(crps) as c, row_number() over (order by avg(crps), arm) as r from cells group by arm),
 together as (select avg(list_sum(list_transform(s, lambda x: abs(x - y))) / 32 - list_sum(list_transform(list_sort(s), lambda x, i: (2 * (i - 1) - 31) * x)) / 1024) as c from (select target, m0, h, unit, any_value(y) as y, flatten(list(samples)) as s from preds group by target, m0, h, unit))
 select cast(r as integer) as place, arm from alone where r = 1 or (select c from together) < (select min(c) from alone)""")

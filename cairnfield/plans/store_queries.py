@@ -13,8 +13,9 @@ from cairnfield.functions.registry import EMITS, STATICS
 from cairnfield.operators import contracts as C
 from cairnfield.operators import preflight as V
 from cairnfield.operators import scores as S
+from cairnfield.operators import settings as SE
 from cairnfield.plans.audit_queries import AT, T0
-from cairnfield.plans.base import FEATURES, cells_table, cells_sql, dense, q6, query, r6, rounded, store
+from cairnfield.plans.base import FEATURES, cells_table, cells_sql, dense, q6, query, r6, rounded, store, truth
 from cairnfield.plans.panel_queries import _PARAMS_SQL, params
 from cairnfield.sources import fixtures as X
 from cairnfield.sources import readers as R
@@ -150,12 +151,13 @@ def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.artifacts(spark, f"{path}/*/*.txt").select("sha256", "length")
 
 
-@query("""select 'm_20260101_000000' as name, sha256('weights') as sha256, 7::bigint as bytes, '{"loss": "mse", "steps": 12}' as config union all
-select 'm_20260102_000000', sha256('others'), 6::bigint, '{"steps": 36}'""")
+@query(f"""with {X.LONG_SQL}, t as (select target, target || ':' || cast(sum(y) as bigint) as body, count(distinct month_id) as steps from long group by 1)
+select 'm_' || target as name, sha256(body) as sha256, strlen(body)::bigint as bytes, '{{"loss": "mse", "steps": ' || steps || '}}' as config from t""")
 def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each target's artifact, its body being the target's total."""
     path = work.folder(spark, "manifest")
-    sinks.write_manifest(spark, path, "m_20260101_000000", b"weights", {"steps": 12, "loss": "mse"}, ["steps"])
-    sinks.write_manifest(spark, path, "m_20260102_000000", b"others", {"steps": 36}, ["steps"])
+    for r in truth(spark, sf_dir).groupBy("target").agg(F.sum("y").cast("long").alias("total"), F.countDistinct("month_id").alias("steps")).collect():
+        sinks.write_manifest(spark, path, f"m_{r['target']}", f"{r['target']}:{r['total']}".encode(), {"steps": r["steps"], "loss": "mse"}, ["steps"])
     return spark.read.parquet(path)
 
 
@@ -240,12 +242,17 @@ def channel_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.channels(dense(spark, sf_dir), [*FEATURES, "elevation"], 80)
 
 
-@query("""select run, missing, unset, unknown_loss from (values ('a', []::varchar[], []::varchar[], false), ('b', ['alpha', 'seed'], []::varchar[], false), ('c', []::varchar[], ['steps'], true), ('d', ['loss_reg', 'steps'], []::varchar[], true)) as t(run, missing, unset, unknown_loss)""")
+@query(f"""with {X.GRID_SQL}, n as (select c_id, ['mse', 'focal', 'other'][c_id % 3 + 1] as loss from grid group by c_id)
+select 'run_' || c_id as run, list_filter([case when c_id % 3 = 1 and c_id % 2 <> 0 then 'alpha' end, case when c_id % 3 = 1 and c_id % 4 = 0 then 'gamma' end, case when c_id % 5 = 0 then 'seed' end, case when c_id % 7 = 3 then 'steps' end], lambda x: x is not null) as missing,
+  list_filter([case when c_id % 7 <> 3 and c_id % 4 = 1 then 'steps' end], lambda x: x is not null) as unset, loss = 'other' as unknown_loss from n""")
 def genome_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings of four runs: whole, lacking keys, one set to null with an unknown loss, and no loss at all."""
-    rows = [("a", "seed", "1"), ("a", "steps", "12"), ("a", "loss_reg", "mse"), ("b", "steps", "12"), ("b", "loss_reg", "focal"), ("b", "gamma", "2")]
-    rows += [("c", "seed", "1"), ("c", "steps", None), ("c", "loss_reg", "other"), ("d", "seed", "1")]
-    records = spark.createDataFrame(rows, "run string, key string, value string")
+    """Settings of a run for each nation: whole ones, some that lack keys, some set to null, some with an unknown loss."""
+    c = F.col("c_id")
+    setting = lambda key, value, there: F.when(there, F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+    loss = F.element_at(F.array(*map(F.lit, ("mse", "focal", "other"))), (c % 3 + 1).cast("int"))
+    rows = [setting("seed", c, c % 5 != 0), setting("steps", F.when(c % 4 != 1, F.col("k")), c % 7 != 3), setting("loss_reg", loss, F.lit(True)), setting("alpha", c, c % 2 == 0), setting("gamma", c, c % 4 != 0)]
+    nations = X.grid(spark, sf_dir).groupBy("c_id").agg(F.count("*").alias("k"))
+    records = nations.select(F.concat(F.lit("run_"), c).alias("run"), F.explode(F.filter(F.array(*rows), lambda s: s.isNotNull())).alias("s")).select("run", "s.key", "s.value")
     return V.genome(records, ["seed", "steps", "loss_reg"], {"mse": (), "focal": ("alpha", "gamma")})
 
 
@@ -256,9 +263,13 @@ def shape_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unlike_widths(rows, "samples", "other", ["target"])
 
 
-@query("select * from (values ('sb', 0.5::double), ('ns', 1.5::double), ('os', 2.0::double)) as t(target, theta)")
+@query(f"""with {X.LONG_SQL} select target, {q6('greatest(avg(y) ** 2 / greatest(var_pop(y) - avg(y), 0.001::double), 0.001::double)')} as theta from long group by 1""")
 def target_dispersions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(V.dispersions({"os": 2, "ns": 1.5, "sb": 0.5}, X.TARGETS).items()), "target string, theta double")
+    """Dispersions by moments of each target's truth, checked and put in the targets' order."""
+    mean, spread = F.avg("y"), F.var_pop("y")
+    theta = F.greatest(mean * mean / F.greatest(spread - mean, F.lit(0.001)), F.lit(0.001))
+    given = {r["target"]: r["theta"] for r in truth(spark, sf_dir).groupBy("target").agg(theta.alias("theta")).collect()}
+    return rounded(spark.createDataFrame(list(V.dispersions(given, X.TARGETS).items()), "target string, theta double"))
 
 
 @query(f"with {X.DENSE_SQL} select month_id, unit, {q6('lr_sb')} as count from dense")
@@ -269,11 +280,15 @@ def target_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROLES = {"month_id": "identity", "unit": "identity", "row": "identity", "col": "identity", "c_id": "static", **{f: "feature" for f in FEATURES}}
 
 
-@query("select * from (values (0, 'c_id', 'static'), (1, 'lr_sb', 'feature'), (2, 'lr_ns', 'feature'), (3, 'lr_os', 'feature')) as t(position, channel, role)")
+@query(f"""with {X.DENSE_SQL}, f as (select count(*) filter (where c_id <> 0) as a, count(*) filter (where lr_sb <> 0) as b, count(*) filter (where lr_ns <> 0) as c, count(*) filter (where lr_os <> 0) as d from dense)
+select unnest([0, 1, 2, 3]) as position, unnest(['c_id', 'lr_sb', 'lr_ns', 'lr_os']) as channel, unnest(['static', 'feature', 'feature', 'feature']) as role, unnest([a, b, c, d]) as filled from f""")
 def model_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions and roles of the channels that are left without identities."""
+    """Positions and roles of the channels that are left without identities, and how many cells of each are filled."""
     kept = schema.without_identities(schema.with_roles(dense(spark, sf_dir).select(*_ROLES), _ROLES))
-    return spark.createDataFrame(schema.roles(kept), "position int, channel string, role string")
+    named = spark.createDataFrame(schema.roles(kept), "position int, channel string, role string")
+    counts = kept.agg(*[F.count(F.when(F.col(c) != 0, 1)).alias(c) for c in kept.columns])
+    filled = counts.select(F.explode(F.create_map(*[x for c in kept.columns for x in (F.lit(c), F.col(c))])).alias("channel", "filled"))
+    return named.join(filled, "channel")
 
 
 @query(f"""with {X.DENSE_SQL}, m as (select count(*) filter (where unit % 4 = 0) as k from dense)
@@ -297,3 +312,48 @@ def emit_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = params(spark, sf_dir).select("unit", (F.col("mu") - 1).alias("x"), (F.col("unit") % 5 / 5.0).alias("p"))
     emitted = F.explode(F.array(*[F.struct(F.lit(name).alias("head"), r6(emit(F.col("x"), F.col("p"))).alias("emitted")) for name, emit in EMITS.items()])).alias("e")
     return rows.select("unit", emitted).select("unit", "e.*")
+
+
+#: A value that keeps each kind's rule, whatever its bounds.
+_FITTING = {"int": "3", "number": "0.5", "flag": "true", "list": "[1, 2, 3]", "map": "{}", "text": "a"}
+_RULES = SE.rules()
+_RULES_SQL = "rules(i, field, kind, required, low, low_open, high, high_open, choices, counts, when_field, when_value) as (values " + ", ".join(
+    f"({i}, '{r.field}', '{r.kind}', {r.required}, {'null' if r.low is None else r.low}::double, {r.low_open}, {'null' if r.high is None else r.high}::double, {r.high_open}, {'null' if r.choices is None else list(r.choices)}::varchar[], "
+    + ", ".join("null" if x is None else f"'{x}'" for x in (r.counts, r.when_field, r.when_value)) + ")"
+    for i, r in enumerate(_RULES)
+) + ")"
+
+
+@query(f"""with {X.GRID_SQL}, {_RULES_SQL}, nations as (select c_id, count(*) as k from grid group by 1),
+made as (select 'run_' || c_id as run, field as key, case when (c_id * 3 + i) % 13 = 0 then null when (c_id + i * 2) % 17 = 3 then cast(k - 6 as varchar) when (c_id * 5 + i) % 19 = 7 then '1.0' when i % 31 = 30 and c_id % 3 = 0 then 'tobit'
+  when choices is not null then choices[1 + c_id % len(choices)] when kind = 'int' then '3' when kind = 'number' then '0.5' when kind = 'flag' then 'true' when kind = 'list' then '[1, 2, 3]' when kind = 'map' then '{{}}' else 'a' end as value
+  from nations cross join rules where (c_id + i) % 11 <> 0 union all select 'run_' || c_id, 'surplus_' || k, 'x' from nations where c_id % 4 = 0),
+runs as (select distinct run from made),
+p as (select r.run, u.*, v.value, o.value as other, w.value as cause from runs r cross join rules u left join made v on v.run = r.run and v.key = u.field left join made o on o.run = r.run and o.key = u.counts left join made w on w.run = r.run and w.key = u.when_field),
+n as (select *, try_cast(value as double) as x from p)
+select run, field, 'missing' as violation from n where value is null and (required or coalesce(cause = when_value, false)) union all
+select run, field, 'kind' from n where value is not null and not case kind when 'int' then regexp_matches(value, '^-?[0-9]+$') when 'number' then x is not null when 'flag' then value in ('true', 'false') when 'list' then value like '[%]' when 'map' then value like '{{%}}' else true end union all
+select run, field, 'range' from n where coalesce(x < low or (low_open and x = low), false) or coalesce(x > high or (high_open and x = high), false) union all
+select run, field, 'choice' from n where value is not null and choices is not null and not list_contains(choices, value) union all
+select run, field, 'count' from n where x is not null and other is not null and coalesce(case when other like '[%]' then json_array_length(other) end, -1) <> x union all
+select run, key, 'unknown' from made where key not in (select field from rules)""")
+def config_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole contract over a run for each nation, whose settings lack keys, are null, out of range or of another kind here and there."""
+    nations = X.grid(spark, sf_dir).groupBy("c_id").agg(F.count("*").alias("k"))
+    table = SE.rule_table(spark, _RULES).join(spark.createDataFrame([(r.field, i) for i, r in enumerate(_RULES)], "field string, i long"), "field")
+    c, i = F.col("c_id"), F.col("i")
+    fitting = F.coalesce(F.get("choices", (c % F.size("choices")).cast("int")), F.try_element_at(F.create_map(*[F.lit(x) for pair in _FITTING.items() for x in pair]), F.col("kind")))
+    value = (
+        F.when((c * 3 + i) % 13 == 0, F.lit(None)).when((c + i * 2) % 17 == 3, (F.col("k") - 6).cast("string")).when((c * 5 + i) % 19 == 7, "1.0").when((i % 31 == 30) & (c % 3 == 0), "tobit").otherwise(fitting)
+    )
+    made = nations.crossJoin(F.broadcast(table)).where((c + i) % 11 != 0).select(F.concat(F.lit("run_"), c).alias("run"), F.col("field").alias("key"), value.alias("value"))
+    surplus = nations.where(c % 4 == 0).select(F.concat(F.lit("run_"), c), F.concat(F.lit("surplus_"), "k"), F.lit("x"))
+    return SE.violations(made.union(surplus), _RULES)
+
+
+@query(f"with {X.SPARSE_SQL} select month_id, unit, row_number() over (order by month_id, unit) - 1 as position from sparse")
+def panel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a file in order of (month, unit): every row's place, from its file and its place there."""
+    path = work.folder(spark, "ordered")
+    sinks.write_ordered(X.sparse_panel(spark, sf_dir), path, ["month_id", "unit"])
+    return R.file_order(spark, path).select("month_id", "unit", "position")

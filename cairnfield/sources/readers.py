@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnfield.operators.contracts import ContractError
@@ -110,3 +110,12 @@ def latest_artifact(spark: SparkSession, path: str, sha256: str | None = None) -
     if sha256 is not None and [r["sha256"] for r in found.collect()] != [sha256]:
         raise ContractError("the artifact's checksum differs from its record")
     return found
+
+
+def file_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Parquet folder with ``position``, their place from 0 in the order of its files; only counts by file are summed."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_file", before.alias("_start"))
+    return rows.join(starts, "_file").withColumn("position", F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")

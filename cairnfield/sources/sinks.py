@@ -66,3 +66,21 @@ def each_origin(df: DataFrame, sink: Callable[[int, DataFrame], None]) -> None:
     stored = work.table(df, "origins", by=["origin"])
     for r in stored.select("origin").distinct().orderBy("origin").collect():
         sink(r["origin"], stored.where(F.col("origin") == r["origin"]))
+
+
+def ascending(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the partitions of ``df`` follow each other: no key of one lies before a key of an earlier one. Rows reach no driver, one pair a partition does."""
+    key = F.struct(*keys)
+    ends = df.groupBy(F.spark_partition_id().alias("at")).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    ends.sort(key=lambda r: r["at"])
+    return all(a["high"] <= b["low"] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Parquet files that follow each other in order of the keys, each sorted inside.
+
+    Where the partitions follow each other already (a panel that was written month by month) they are only sorted inside;
+    else rows are dealt by ranges of the keys first.
+    """
+    placed = df if ascending(df, keys) else df.repartitionByRange(*keys)
+    placed.sortWithinPartitions(*keys).write.parquet(path)
