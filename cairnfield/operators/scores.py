@@ -206,7 +206,9 @@ def fractions_skill(fields: DataFrame, grid: DataFrame, keys: Sequence[str], sca
     cells = fields.join(grid.select("unit", "row", "col"), "unit").select(*keys, "row", "col", (F.col("ey") > level).cast("double").alias("f"), (F.col("y") > 0).cast("double").alias("o"))
     out = None
     for n in scales:
-        one = neighbourhood_sum(cells, {"bf": F.col("f"), "bo": F.col("o")}, n, keys).groupBy(*keys).agg(F.sum((F.col("bf") - F.col("bo")) ** 2).alias("num"), F.sum(F.col("bf") ** 2 + F.col("bo") ** 2).alias("den")).select(*keys, F.lit(n).alias("scale"), F.when(F.col("den") > 0, 1 - F.col("num") / F.col("den")).alias("fss"))
+        # Counts in the box instead of shares: whole numbers, so that sums are exact in any order; the ratio is the same.
+        bf, bo = F.round(F.col("bf") * (n * n)), F.round(F.col("bo") * (n * n))
+        one = neighbourhood_sum(cells, {"bf": F.col("f"), "bo": F.col("o")}, n, keys).groupBy(*keys).agg(F.sum((bf - bo) ** 2).alias("num"), F.sum(bf**2 + bo**2).alias("den")).select(*keys, F.lit(n).alias("scale"), F.when(F.col("den") > 0, 1 - F.col("num") / F.col("den")).alias("fss"))
         out = one if out is None else out.unionByName(one)
     return out
 

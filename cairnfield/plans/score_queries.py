@@ -328,7 +328,7 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fss_sql() -> str:
-    one = lambda n: f"""select a.arm, a.target, a.m0, {n} as scale, a.row, a.col, sum(b.f) / {n * n} as bf, sum(b.o) / {n * n} as bo from field a join field b
+    one = lambda n: f"""select a.arm, a.target, a.m0, {n} as scale, a.row, a.col, sum(b.f) as bf, sum(b.o) as bo from field a join field b
   on a.arm = b.arm and a.target = b.target and a.m0 = b.m0 and b.row between a.row - {n // 2} and a.row + {n // 2} and b.col between a.col - {n // 2} and a.col + {n // 2} group by 1, 2, 3, 4, 5, 6"""
     return f"""with {cells_sql(T0)},
 field as (select c.arm, c.target, c.m0, g.row, g.col, case when ey > 0.5 then 1.0::double else 0.0::double end as f, case when y > 0 then 1.0::double else 0.0::double end as o from cells c join grid g on c.unit = g.unit),
