@@ -13,6 +13,7 @@ from cairnfield.functions.registry import COLLAPSES, lookup
 from cairnfield.functions.scalars import logit
 from cairnfield.operators import order
 from cairnfield.operators.scores import ratio
+from cairnfield.sources.work import large
 
 
 def collapse(store: DataFrame, method: str) -> DataFrame:
@@ -32,15 +33,15 @@ def evaluation_join(actual: DataFrame, predictions: DataFrame, steps: Mapping[in
     table = spark.createDataFrame([(int(o), int(m), int(s)) for o, of in steps.items() for m, s in of.items()], "m0 int, month_id int, step int")
     joined = predictions.join(F.broadcast(table), ["m0", "month_id"], "left")
     step = F.when(F.col("step").isNull(), F.raise_error(F.lit("a predicted month has no step"))).otherwise(F.col("step"))
-    return joined.withColumn("step", step).join(actual, ["month_id", "unit", "target"])
+    return joined.withColumn("step", step).join(large(actual), ["month_id", "unit", "target"])
 
 
 def unmatched(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """(only_a, only_b, both): how many keys each side has alone."""
     keys = list(key)
-    left = a.select(*keys).join(b.select(*keys), keys, "left_anti").agg(F.count("*").alias("only_a"))
-    right = b.select(*keys).join(a.select(*keys), keys, "left_anti").agg(F.count("*").alias("only_b"))
-    both = a.select(*keys).join(b.select(*keys), keys, "left_semi").agg(F.count("*").alias("both"))
+    left = a.select(*keys).join(large(b.select(*keys)), keys, "left_anti").agg(F.count("*").alias("only_a"))
+    right = b.select(*keys).join(large(a.select(*keys)), keys, "left_anti").agg(F.count("*").alias("only_b"))
+    both = a.select(*keys).join(large(b.select(*keys)), keys, "left_semi").agg(F.count("*").alias("both"))
     return left.crossJoin(right).crossJoin(both)
 
 
@@ -79,7 +80,7 @@ def divergence(a: DataFrame, b: DataFrame, column: str, by: Sequence[str]) -> Da
     key = ["month_id", "unit"]
     left = a.select(*key, F.col(column).alias("x"))
     right = b.select(*key, F.col(column).alias("z"))
-    both = left.join(right, key, "full").withColumns({"x": F.coalesce("x", F.lit(0.0)), "z": F.coalesce("z", F.lit(0.0))})
+    both = left.join(large(right), key, "full").withColumns({"x": F.coalesce("x", F.lit(0.0)), "z": F.coalesce("z", F.lit(0.0))})
     x, z = F.col("x"), F.col("z")
     n = lambda cond: F.count(F.when(cond, 1))
     return both.groupBy(*by).agg(
@@ -154,7 +155,7 @@ def config_records(configs: DataFrame) -> DataFrame:
 
 def mixed_inputs(panel: DataFrame, own: DataFrame, epsilon: float, uniform: Column) -> DataFrame:
     """(month_id, unit, x): the truth with chance epsilon, else the model's own last output."""
-    joined = panel.join(own, ["month_id", "unit"])
+    joined = panel.join(large(own), ["month_id", "unit"])
     return joined.select("month_id", "unit", F.when(uniform < epsilon, F.col("y")).otherwise(F.col("own")).alias("x"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import keyed
 from cairnfield.functions.scalars import erfc
 from cairnfield.operators import order
-from cairnfield.sources.work import checked
+from cairnfield.sources.work import checked, large
 
 
 def paired_differences(cells: DataFrame, a: str, b: str, value: str = "crps") -> DataFrame:
@@ -23,7 +23,7 @@ def paired_differences(cells: DataFrame, a: str, b: str, value: str = "crps") ->
     key = ["target", "m0", "h", "unit"]
     left = cells.where(F.col("arm") == a).select(*key, F.col(value).alias("x"))
     right = cells.where(F.col("arm") == b).select(*key, F.col(value).alias("y"))
-    return left.join(right, key).select(*key, (F.col("x") - F.col("y")).alias("d"))
+    return left.join(large(right), key).select(*key, (F.col("x") - F.col("y")).alias("d"))
 
 
 def block_bootstrap(diffs: DataFrame, by: Sequence[str], *, block: str, replicates: int, level: float, seed: str) -> DataFrame:
@@ -144,5 +144,5 @@ def paired_significance(diffs: DataFrame, by: Sequence[str], *, key: Sequence[st
 
 def stratified_test(diffs: DataFrame, strata: DataFrame, by: Sequence[str], *, replicates: int, seed: str, level: float = 0.95) -> DataFrame:
     """The block test on cells that were active before their origin."""
-    active = diffs.join(strata.where("active").select("m0", "unit", "target"), ["m0", "unit", "target"], "left_semi")
+    active = diffs.join(large(strata.where("active").select("m0", "unit", "target")), ["m0", "unit", "target"], "left_semi")
     return block_bootstrap(active, by, block="m0", replicates=replicates, level=level, seed=seed)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnfield.sources.work import large
+
 #: Steps for each power of two; values in one step differ by less than one in a thousand.
 STEPS = 1024
 #: Every exponent of a double is above -OCTAVES and below OCTAVES.
@@ -42,7 +44,7 @@ def before(ties: DataFrame, by: Sequence[str], value: str, sums: Sequence[str],
     offsets = totals.select(*keys, *[earlier(c, W.partitionBy(*by).orderBy("_step")).alias(f"_o_{c}") for c in sums])
     inside = W.partitionBy(*keys).orderBy(F.desc_nulls_last(value) if falling else F.asc_nulls_first(value))
     rows = dealt.select("*", *[earlier(c, inside).alias(f"_i_{c}") for c in sums])
-    return rows.join(offsets, keys).select(*ties.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in sums])
+    return rows.join(large(offsets), keys).select(*ties.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in sums])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], asked: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -71,7 +73,7 @@ def quantiles(df: DataFrame, by: Sequence[str], asked: dict[str, tuple[Column, f
         for _, level in mine:
             for at in places(level):
                 wanted = wanted | ((F.col("_m") == m) & within(at, F.col("_o"), F.col("_k")))
-    found = ties.join(placed.where(wanted).drop("_k"), keys)
+    found = ties.join(large(placed.where(wanted).drop("_k")), keys)
     inside = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_o") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     ranked = found.select(*by, "_m", "_v", "_n", "_all", start.alias("_start"))

@@ -15,7 +15,7 @@ from cairnfield.operators import verdicts as V
 from cairnfield.plans.base import BOARD_SQL, cells, cells_sql, dense, erfc_sql, origins, q6, query, r6, rounded, scored, store, truth
 from cairnfield.plans.panel_queries import _LZ, _PARAMS_SQL, _parity_sql, _second_truth, params
 from cairnfield.sources import fixtures as X
-from cairnfield.sources import sinks
+from cairnfield.sources import sinks, work
 
 T0 = (1,)
 AT = ["arm", "target"]
@@ -26,8 +26,8 @@ ATH = ["arm", "target", "h"]
 def collapse_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir, T0)
     key = ["arm", "target", "m0", "unit"]
-    mean = A.collapse(s, "mean").select(*key, F.col("point").alias("mean"))
-    return rounded(mean.join(A.collapse(s, "median").select(*key, F.col("point").alias("median")), key))
+    mean = A.collapse(s.withColumn("kept", F.col("samples")), "mean").withColumnsRenamed({"point": "mean", "kept": "samples"})
+    return rounded(A.collapse(mean, "median").select(*key, "mean", F.col("point").alias("median")))
 
 
 @query(f"""with {X.preds_sql(T0)} select arm, m0, h, month_id, unit, {', '.join(f"{q6(f"max(list_sum(samples) / 16) filter (where target = '{t}')")} as pred_{t}" for t in X.TARGETS)} from preds group by 1, 2, 3, 4, 5""")
@@ -246,10 +246,10 @@ def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
 select arm, target, {q6('count(*) filter (where mean_field > 0.5) / greatest(count(*) filter (where y > 0), 1)')} as mean_area, {q6('count(*) filter (where draw_field > 0.5) / greatest(count(*) filter (where y > 0), 1)')} as draw_area from t group by 1, 2""")
 def sharpness_of_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean field spreads where a single draw is sharp: forecast area over event area of both."""
-    s = scored(spark, sf_dir, T0)
-    field = lambda c, name: S.area_concentration(s.select(*AT, "unit", "y", c.alias("ey")), AT).select(*AT, F.col("area_ratio").alias(name))
     mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
-    return rounded(field(mean, "mean_area").join(field(F.get("samples", F.lit(0)), "draw_area"), AT))
+    s = work.table(scored(spark, sf_dir, T0).select(*AT, "unit", "y", mean.alias("mean"), F.get("samples", F.lit(0)).alias("draw")), "fields")
+    field = lambda c, name: S.area_concentration(s.select(*AT, "unit", "y", c.alias("ey")), AT).select(*AT, F.col("area_ratio").alias(name))
+    return rounded(field(F.col("mean"), "mean_area").join(field(F.col("draw"), "draw_area"), AT))
 
 
 @query(f"""with {_PARAMS_SQL}, x as (select mu, greatest(unit % 4 - 1, 0)::double as y, mu / sqrt(2) as z from params)
