@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.functions.scalars import is_real
+from cairnfield.sources.work import large
 
 
 class ContractError(ValueError):
@@ -76,8 +77,12 @@ def enforce(found: DataFrame) -> None:
 
 
 def duplicate_examples(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:
-    """The first n repeated keys, in key order, and how often each occurs."""
-    return df.groupBy(*key).count().where("count > 1").orderBy(*key).limit(n)
+    """The first n repeated keys, in key order, and how often each occurs.
+
+    Keys are dealt to all tasks of a shuffle: a panel's keys are packed so well that Spark would join their partitions to one.
+    """
+    keys = df.select(*key).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return keys.groupBy(*key).count().where("count > 1").orderBy(*key).limit(n)
 
 
 def forecast_alignment(history: DataFrame, scaffold: DataFrame) -> None:
@@ -167,7 +172,7 @@ def parity(a: DataFrame, b: DataFrame, key: Sequence[str], tolerance: float = 1e
     columns = [c for c in a.columns if c not in key]
     left = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_a"))
     right = b.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_b"))
-    both = left.join(right, list(key), "full")
+    both = left.join(large(right), list(key), "full")
     kinds = dict(a.dtypes)
 
     def differ(c: str) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from cairnfield.operators import contracts as C
 from cairnfield.operators import origins as O
 from cairnfield.operators import panel as P
+from cairnfield.operators import scores as S
 from cairnfield.plans.catalog import QUERIES
 
 
@@ -47,3 +49,17 @@ def test_queries_over_the_store_broadcast_their_origins_only(spark, sf_dir, name
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "SortMergeJoin" in line]
     assert sum("SortMergeJoin" in line for line in joins) >= 1
     assert sum("BroadcastHashJoin" in line for line in joins) <= 1  # the months of the origins
+
+
+def test_repeated_keys_are_counted_in_all_partitions(spark):
+    df = spark.range(100).select((F.col("id") % 97).alias("unit"), F.lit(1).alias("month_id"))
+    rows, plan = ran(C.duplicate_examples(df, ["month_id", "unit"]))
+    assert [(r["unit"], r["count"]) for r in rows] == [(0, 2), (1, 2), (2, 2)]
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_rank_correlation_computes_its_cells_once(spark):
+    cells = spark.range(40).select(F.lit("A").alias("arm"), (F.col("id") % 7).cast("double").alias("y"), (F.col("id") % 5).cast("double").alias("ey"))
+    rows, plan = ran(S.spearman_positive(cells, ["arm"]))
+    assert rows[0]["n"] == 34
+    assert "Range (" not in plan
