@@ -19,9 +19,8 @@ blocks in a row that are links go as a menu, unless paragraphs before and after
 but for the first heading of a page without a main element. The main element decides alone if it holds half of the open text; else article
 elements with less than a fifth of it are teasers. What is left open is then aligned.
 
-The matching is the largest one where the sizes of two trees multiply to ``TREE_CELLS`` or less (2,000 blocks each). Larger
-trees are matched from the root down, the children of each matched pair by a longest common sequence of their labels:
-nothing is left unaligned between, but among equally long sequences the sizes of the subtrees do not decide.
+The matching is the largest one at any size of the trees. Equal subtrees are weighed once; long lists of children keep about the square
+root of their rows for tracing back, so their memory grows with the power 1.5 of their length, and their time with its square.
 
 Only tree shapes, hashes and node numbers are shuffled for the alignment, never texts; statistics are counted for each host
 and node over all pages, so a host with a third of all pages is summed before it is shuffled. Pages with the same blocks
@@ -35,10 +34,12 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +52,8 @@ CONSTANT_SHARE, SURE = 0.9, 0.66
 REFERENCES = 8
 #: Pages of a host with over 1 / HOT_HOSTS of all pages are dealt to SALTS tasks, each with its own copy of the reference.
 HOT_HOSTS, SALTS = 250, 64
-#: Two trees whose sizes multiply to more are aligned level by level, children by a longest common sequence of labels.
-TREE_CELLS = 4_000_000
+#: Two lists of children whose lengths multiply to more are aligned by rows of arrays, with the same result.
+LOOP_CELLS = 2_000
 #: Words of a paragraph that shows that a list of links beside it belongs to the text.
 PARAGRAPH = 10
 #: The content region holds this share of the text that varies from page to page.
@@ -432,72 +433,113 @@ def common_sequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _heaviest(a: tuple[int, ...], b: tuple[int, ...], made: list, weight: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and places of the heaviest common sequence of two lists of subtrees; of several it gives the one that tracing back finds
+    when it leaves out the last of ``a`` first. Long lists go by rows of arrays, which take the same steps."""
+    i, j, found = len(a), len(b), []
+    if i * j <= LOOP_CELLS:
+        w = [[0] * (j + 1) for _ in range(i + 1)]
+        named = [made[q][0] for q in b]
+        for x, p in enumerate(a, 1):
+            row, above, label = w[x], w[x - 1], made[p][0]
+            for y, name in enumerate(named, 1):
+                best = above[y] if above[y] >= row[y - 1] else row[y - 1]
+                if label == name:
+                    with_pair = above[y - 1] + weight.get((p, b[y - 1]), 1)
+                    if with_pair > best:
+                        best = with_pair
+                row[y] = best
+        total = w[-1][-1]
+        while i and j:
+            if w[i][j] == w[i - 1][j]:
+                i -= 1
+            elif w[i][j] == w[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+        return total, found
+    kinds, code = np.unique(np.array(b, np.int64), return_inverse=True)
+    alike: dict[str, list[int]] = {}
+    for k, q in enumerate(kinds.tolist()):
+        alike.setdefault(made[q][0], []).append(k)
+
+    def below(above: np.ndarray, p: int) -> np.ndarray:
+        gain = np.zeros(len(kinds), np.int64)
+        for k in alike.get(made[p][0], ()):
+            gain[k] = weight.get((p, int(kinds[k])), 1)
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + gain[code], out=row[1:])
+        return np.maximum.accumulate(row)
+
+    # Every step-th row is kept; the rows between two of them are made again where the trace passes.
+    step = math.isqrt(i) + 1
+    marks, row = {}, np.zeros(j + 1, np.int64)
+    for x, p in enumerate(a):
+        if x % step == 0:
+            marks[x] = row
+        row = below(row, p)
+    total = int(row[-1])
+    while i and j:
+        start = (i - 1) // step * step
+        rows = [marks[start]]
+        for p in a[start:i]:
+            rows.append(below(rows[-1], p))
+        while i > start and j:
+            here, above = rows[i - start], rows[i - start - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+    return total, found
+
+
 def simple_tree_matching(labels_a: list[str], depths_a: list[int], labels_b: list[str], depths_b: list[int]) -> dict[int, int]:
-    """Order-preserving matching of two trees that maps roots to roots and children to children, a to b: the largest one,
-    or for trees beyond TREE_CELLS one by longest common sequences of the children's labels."""
+    """The largest order-preserving matching of two trees that maps roots to roots and children to children, a to b."""
     if not labels_a or not labels_b or labels_a[0] != labels_b[0]:
         return {}
     kids_a, kids_b = _tree(labels_a, depths_a), _tree(labels_b, depths_b)
     inner: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    exact = len(labels_a) * len(labels_b) <= TREE_CELLS
-    if exact:
-        # Equal subtrees are weighed once. No recursion, as pages nest deeply: subtrees below have smaller numbers.
-        known: dict[tuple[str, tuple[int, ...]], int] = {}
-        of_a, of_b = _subtrees(labels_a, kids_a, known), _subtrees(labels_b, kids_b, known)
-        made = list(known)
-        pairs, order = {(of_a[0], of_b[0])}, [(of_a[0], of_b[0])]
-        for x, y in order:
-            inside: dict[str, set[int]] = {}
-            for q in made[y][1]:
-                if made[q][1]:
-                    inside.setdefault(made[q][0], set()).add(q)
-            for p in set(made[x][1]):
-                for q in inside.get(made[p][0], ()) if made[p][1] else ():
-                    if (p, q) not in pairs:
-                        pairs.add((p, q))
-                        order.append((p, q))
-        weight: dict[tuple[int, int], int] = {}
-        sizes: list[int] = []
-        for _, below in made:
-            sizes.append(1 + sum(sizes[k] for k in below))
-        for x, y in sorted(order):
-            a, b = made[x][1], made[y][1]
-            # No matching gains by pairing equal subtrees at the front otherwise.
-            front = 0
-            while front < min(len(a), len(b)) and a[front] == b[front]:
-                front += 1
-            found = [(i, i) for i in range(front)]
-            weight[x, y] = 1 + sum(sizes[k] for k in a[:front])
-            a, b = a[front:], b[front:]
-            w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            named = [made[q][0] for q in b]
-            for i, p in enumerate(a, 1):
-                row, above, label = w[i], w[i - 1], made[p][0]
-                for j, name in enumerate(named, 1):
-                    best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                    if label == name:
-                        with_pair = above[j - 1] + weight.get((p, b[j - 1]), 1)
-                        if with_pair > best:
-                            best = with_pair
-                    row[j] = best
-            weight[x, y] += w[-1][-1]
-            i, j = len(a), len(b)
-            while i and j:
-                if w[i][j] == w[i - 1][j]:
-                    i -= 1
-                elif w[i][j] == w[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    found.append((front + i, front + j))
-            inner[x, y] = found
+    # Equal subtrees are weighed once. No recursion, as pages nest deeply: subtrees below have smaller numbers.
+    known: dict[tuple[str, tuple[int, ...]], int] = {}
+    of_a, of_b = _subtrees(labels_a, kids_a, known), _subtrees(labels_b, kids_b, known)
+    made = list(known)
+    pairs, order = {(of_a[0], of_b[0])}, [(of_a[0], of_b[0])]
+    for x, y in order:
+        inside: dict[str, set[int]] = {}
+        for q in made[y][1]:
+            if made[q][1]:
+                inside.setdefault(made[q][0], set()).add(q)
+        for p in set(made[x][1]):
+            for q in inside.get(made[p][0], ()) if made[p][1] else ():
+                if (p, q) not in pairs:
+                    pairs.add((p, q))
+                    order.append((p, q))
+    weight: dict[tuple[int, int], int] = {}
+    sizes: list[int] = []
+    for _, below in made:
+        sizes.append(1 + sum(sizes[k] for k in below))
+    for x, y in sorted(order):
+        a, b = made[x][1], made[y][1]
+        # No matching gains by pairing equal subtrees at the front otherwise.
+        front = 0
+        while front < min(len(a), len(b)) and a[front] == b[front]:
+            front += 1
+        found = [(i, i) for i in range(front)]
+        weight[x, y] = 1 + sum(sizes[k] for k in a[:front])
+        more, rest = _heaviest(a[front:], b[front:], made, weight)
+        weight[x, y] += more
+        inner[x, y] = found + [(front + i, front + j) for i, j in rest]
 
     matched, todo = {0: 0}, [(0, 0)]
     while todo:
         x, y = todo.pop()
         a, b = kids_a[x], kids_b[y]
         if a and b:
-            for i, j in inner[of_a[x], of_b[y]] if exact else common_sequence([labels_a[p] for p in a], [labels_b[q] for q in b]):
+            for i, j in inner[of_a[x], of_b[y]]:
                 matched[a[i]] = b[j]
                 todo.append((a[i], b[j]))
     return matched
