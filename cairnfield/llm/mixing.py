@@ -12,8 +12,8 @@ Targets are given by margin: shares by value, ``"equal"`` for equal shares, or n
 the largest gap stops falling; that gap is the ``residual``.
 
 The default topic comes from the content: whole texts become vectors of hashed word counts, the mean of their language is taken off
-so that topics cut across languages (or else the two margins would contradict each other), and spherical k-means on at most
-``TOPIC_SAMPLE`` documents, chosen by the hash of their id, gives ``TOPICS`` centres; every document gets the nearest.
+so that topics cut across languages (or else the two margins would contradict each other), and spherical k-means over all
+documents gives ``TOPICS`` centres; every document gets the nearest. Sums are of whole numbers, so they are the same in any order.
 
 Up to ``DRIVER_CELLS`` cells are raked in the driver after they were counted; more are raked by Spark with the same
 steps. Defined cases: nulls are values of their own in each dimension; texts without words are the topic ``empty``, have no tokens
@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from cairnfield.llm.common import SPACE, lean_batches, materialize, small
 
@@ -44,7 +44,11 @@ BUDGET = 0.5
 TOLERANCE = 1e-9
 #: Raking stops when a round takes less than this share off the largest gap.
 STALL = 1e-4
-TOPICS, TOPIC_SAMPLE, WIDTH = 8, 2_000, 256
+TOPICS, WIDTH = 8, 256
+#: Vectors are packed as whole numbers of 1 / SCALE and summed as whole numbers of 1 / FINE.
+SCALE, FINE = 32_767, 1 << 20
+#: k-means ends when a round adds less than this share to the summed similarity, or after ROUNDS.
+GAIN, ROUNDS = 1e-4, 25
 DRIVER_CELLS = 50_000
 SEED = 7
 
@@ -72,56 +76,122 @@ def vector(text: str) -> np.ndarray | None:
     return v / np.linalg.norm(v)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [vector(t.as_py() or "") for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([None if v is None else v.tobytes() for v in found], pa.binary())], names=["lang", "v"])
+def packed(texts: pa.Array) -> pa.Array:
+    """The vector of each text as int16 of SCALE, in bytes; null without words."""
+    found = [vector(t.as_py() or "") for t in texts]
+    return pa.array([None if v is None else np.rint(v * SCALE).astype(np.int16).tobytes() for v in found], pa.binary())
 
 
-def centres(vectors: np.ndarray, topics: int = TOPICS) -> np.ndarray:
-    """Spherical k-means with seeded k-means++ starts; fewer centres where there are fewer different vectors."""
-    rng = np.random.default_rng(SEED)
-    chosen: list[np.ndarray] = []
-    gap = np.ones(len(vectors))
-    while len(chosen) < topics and gap.sum() > 1e-9:
-        chosen.append(vectors[rng.choice(len(vectors), p=gap / gap.sum())])
-        gap = np.minimum(gap, np.maximum(0.0, 1 - vectors @ chosen[-1]))
-    c = np.array(chosen).reshape(-1, WIDTH)
-    for _ in range(25 if len(c) else 0):
-        to = (vectors @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, to, vectors)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-    return c
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Packed vectors, none of them null, as rows of numbers."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.int16).reshape(-1, WIDTH).astype(float)
+
+
+def _summed(vectors: DataFrame, name: str, kind: str, group: Callable[[np.ndarray, list], tuple[list, np.ndarray]]) -> dict:
+    """Count and sum of the integer rows that ``group`` makes of each batch's vectors and languages, by the group it names.
+
+    Every task adds up what it reads and Spark adds up the tasks; sums are of integers, so they are exact in any order.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, rows = group(_unpacked(batch.column(1)), batch.column(0).to_pylist())
+            number = {x: i for i, x in enumerate(dict.fromkeys(names))}
+            of = np.fromiter((number[x] for x in names), np.int64, len(names))
+            for x, i in number.items():
+                mine = of == i
+                n, total = sums.get(x, (0, 0))
+                sums[x] = n + int(mine.sum()), total + rows[mine].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa_kind), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=[name, "n", "s"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("s"))
+        return pa.table({name: rows.column(name).slice(0, 1), "n": [sum(rows.column("n").to_pylist())], "s": pa.array([total.tobytes()], pa.binary())})
+
+    pa_kind = pa.string() if kind == "string" else pa.int32()
+    schema = f"{name} {kind}, n long, s binary"
+    merged = vectors.mapInArrow(partial, schema).groupBy(name).applyInArrow(merge, schema)
+    return {r[name]: (r["n"], np.frombuffer(r["s"], np.int64)) for r in merged.collect()}
 
 
 class Topics:
     """Mean vectors of the languages and centres of what is left when they are taken off."""
 
-    def __init__(self, langs: list[str | None], vectors: np.ndarray):
-        self.means = {x: vectors[[i for i, lang in enumerate(langs) if lang == x]].mean(0) for x in set(langs)}
-        rest = np.array([self._rest(v, lang) for v, lang in zip(vectors, langs, strict=True)]).reshape(-1, WIDTH)
-        self.centres = centres(rest)
+    def __init__(self, means: dict[str | None, np.ndarray], centres: np.ndarray):
+        self.means, self.centres = means, centres
+
+    def rest(self, v: np.ndarray, langs: list[str | None]) -> np.ndarray:
+        """Unit vectors of what is left of packed vectors."""
+        nothing = np.zeros(WIDTH)
+        left = v / SCALE - np.array([self.means.get(x, nothing) for x in langs]).reshape(-1, WIDTH)
+        return left / np.maximum(1e-12, np.sqrt((left * left).sum(1, keepdims=True)))
+
+    def at(self, v: np.ndarray, langs: list[str | None]) -> np.ndarray:
+        """The number of each packed vector's topic."""
+        return (self.rest(v, langs) @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(v), int)
+
+    def named(self, column: pa.Array, langs: list[str | None]) -> pa.Array:
+        """The topic of each packed vector; ``empty`` where it is null."""
+        there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        said = np.full(len(column), "empty", object)
+        if len(there):
+            said[there] = [f"topic{i}" for i in self.at(_unpacked(column.take(pa.array(there))), [langs[i] for i in there])]
+        return pa.array(said, pa.string())
+
+
+def fit_vectors(vectors: DataFrame, topics: int = TOPICS) -> Topics:
+    """Topics from all rows of a table (lang, v): language means, then spherical k-means over every vector.
+
+    The starts are the means of the cells that fixed random planes cut, so no row is drawn; rounds end when the summed similarity
+    of the vectors to their centres grows by less than GAIN.
+    """
+    fitted = Topics({x: s / n / SCALE for x, (n, s) in _summed(vectors, "lang", "string", lambda v, langs: (langs, v.astype(np.int64))).items()}, np.zeros((0, WIDTH)))
+    planes = np.random.default_rng(SEED).standard_normal((max(1, (topics - 1).bit_length()), WIDTH))
+    whole = lambda rest: np.rint(rest * FINE).astype(np.int64)
+
+    def cells(v: np.ndarray, langs: list) -> tuple[list, np.ndarray]:
+        rest = fitted.rest(v, langs)
+        return (((rest @ planes.T > 0) @ (1 << np.arange(len(planes)))) % topics).tolist(), whole(rest)
+
+    last = 0.0
+    sums = _summed(vectors, "topic", "int", cells)
+    fitted.centres = np.array([sums[i][1] for i in sorted(sums)], float).reshape(-1, WIDTH)
+    for _ in range(ROUNDS):
+        size = np.sqrt((fitted.centres**2).sum(1, keepdims=True))
+        if not size.any() or size.sum() <= (1 + GAIN) * last:
+            break
+        last = float(size.sum())
+        fitted.centres = (fitted.centres / np.maximum(size, 1e-12))[size[:, 0] > 0]
+        sums = _summed(vectors, "topic", "int", lambda v, langs: (fitted.at(v, langs).tolist(), whole(fitted.rest(v, langs))))
+        # A centre that no vector is nearest to is given up.
+        fitted.centres = np.array([sums[i][1] for i in sorted(sums)], float).reshape(-1, WIDTH)
+    fitted.centres = fitted.centres / np.maximum(np.sqrt((fitted.centres**2).sum(1, keepdims=True)), 1e-12)
+    return fitted
+
+
+def _with_vectors(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the packed vector ``v`` in place of the text."""
+    at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), packed(batch.column(at))], names=[*(batch.schema.names[i] for i in kept), "v"])
+
+    return lean_batches(docs).mapInArrow(run, StructType([*(docs.schema.fields[i] for i in kept), StructField("v", BinaryType())]))
 
-    def _rest(self, v: np.ndarray, lang: str | None) -> np.ndarray:
-        v = v - self.means[lang] if lang in self.means else v
-        return v / max(1e-12, float(np.linalg.norm(v)))
 
-    def of(self, text: str, lang: str | None) -> str:
-        v = vector(text)
-        if v is None:
-            return "empty"
-        return f"topic{int((self.centres @ self._rest(v, lang)).argmax())}" if len(self.centres) else "topic0"
+def fit_topics(docs: DataFrame, text_col: str) -> Topics:
+    """Topics from the texts of all rows."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return fit_vectors(materialize(_with_vectors(rows, "text").where("v is not null"), "vectors"))
 
 
-def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
-    """Topics from a bounded sample of documents with an id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    ids = rows.select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(TOPIC_SAMPLE)
-    texts = lean_batches(rows).join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"])
-    found = sorted(texts.mapInArrow(_vectors, "lang string, v binary").where("v is not null").collect(), key=lambda r: (r["lang"] or "", bytes(r["v"])))
-    return Topics([r["lang"] for r in found], np.array([np.frombuffer(r["v"]) for r in found]).reshape(-1, WIDTH))
+def _languages(column: pa.Array) -> list[str | None]:
+    return [None if x is None else str(x) for x in column.to_pylist()]
 
 
 def with_topic(docs: DataFrame, text_col: str, fitted: Topics, name: str) -> DataFrame:
@@ -130,12 +200,21 @@ def with_topic(docs: DataFrame, text_col: str, fitted: Topics, name: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [fitted.of(t.as_py() or "", None if (x := lang.as_py()) is None else str(x)) for t, lang in zip(batch.column(at), batch.column(of), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fitted.named(packed(batch.column(at)), _languages(batch.column(of)))], names=[*batch.schema.names, name])
 
     return lean_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
+def _vectors_to_topics(rows: DataFrame, fitted: Topics) -> DataFrame:
+    """(doc_id, source, lang, tokens, u, v) with the topic in place of v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fitted.named(batch.column(5), _languages(batch.column(2)))], names=[*batch.schema.names[:-1], "topic"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("topic", StringType())])).select("doc_id", "source", "lang", "topic", "tokens", "u")
+
+
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) from the hash of the keys."""
     return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(SEED)), 11) / F.lit(float(1 << 53))
@@ -146,11 +225,11 @@ def words(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(text, f"[^{SPACE}]+", "x"), f"[{SPACE}]+", "")).cast("long")
 
 
-def counted(docs: DataFrame, id_col: str, text_col: str, topic: Column | None, fitted: Topics | None = None) -> DataFrame:
+def counted(docs: DataFrame, id_col: str, text_col: str, topic: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokens, u) and the topic, or the text where none is given."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"), words(text).alias("tokens"), uniform(F.col(id_col), F.col(text_col)).alias("u"), *([topic.cast("string").alias("topic")] if topic is not None else [text.alias("text")]))
-    named = one if topic is not None else with_topic(one, "text", fitted, "topic")
-    return named.select("doc_id", "source", "lang", "topic", "tokens", "u")
+    last = text.alias("text") if topic is None else topic.cast("string").alias("topic")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"), words(text).alias("tokens"), uniform(F.col(id_col), F.col(text_col)).alias("u"), last)
 
 
 def _tempered(share: np.ndarray) -> np.ndarray:
@@ -291,8 +370,12 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def weigh(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability, residual, kept) for each row; weight is 1 / probability."""
-    fitted = fit_topics(docs, id_col, text_col) if topic is None else None
-    rows = materialize(counted(docs, id_col, text_col, topic, fitted), "tokens")
+    rows = counted(docs, id_col, text_col, topic)
+    if topic is None:
+        # The texts are read once: their vectors are fitted and then named.
+        vectors = materialize(_with_vectors(rows, "text"), "vectors")
+        rows = _vectors_to_topics(vectors, fit_vectors(vectors.where("v is not null").select(F.col("lang").cast("string").alias("lang"), "v")))
+    rows = materialize(rows, "tokens")
     table, gap = cell_probabilities(_cells(rows), targets, budget, driver_cells)
     joined = rows.join(table, _same_cell(rows, table))
     weight = F.when(F.col("probability") > 0, F.lit(1.0) / F.col("probability"))
@@ -305,8 +388,8 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 def sample(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs`` with mix_topic, mix_tokens and mix_weight beside their own columns. Topics are found again beside the row."""
-    fitted = fit_topics(docs, id_col, text_col)
-    table, _ = cell_probabilities(_cells(counted(docs, id_col, text_col, None, fitted)), targets, budget)
+    fitted = fit_topics(docs, text_col)
+    table, _ = cell_probabilities(_cells(with_topic(counted(docs, id_col, text_col), "text", fitted, "topic")), targets, budget)
     own = [c for c in docs.columns if c not in ("mix_topic", "mix_tokens", "mix_weight")]
     rows = with_topic(docs.select(*own), text_col, fitted, "mix_topic")
     cells = table.toDF("mix__source", "mix__lang", "mix__topic", "mix__p")
