@@ -1,7 +1,7 @@
 """The sequential roll-out and random draws of count families: the steps without a relational form.
 
-A roll-out feeds its own output back, so months of one (origin, pass, block of units) run in order inside one group; groups
-run in parallel. A group holds the history and the free months of its block.
+A roll-out feeds its own output back, so months of one (origin, block of units) run in order inside one group, pass after pass;
+groups run in parallel. A group holds the history and the free months of its block.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from cairnfield.functions.registry import lookup
 from cairnfield.functions.scalars import log_normal_cdf
 from cairnfield.operators.draws import family_draw, family_draws
 
-__all__ = ["FEEDBACKS", "cell_roll_out", "composed", "family_draws", "family_nll", "posterior", "roll_out", "tobit_nll"]
+__all__ = ["FEEDBACKS", "cell_roll_out", "composed", "family_draws", "family_nll", "posterior", "roll_out", "roll_out_samples", "tobit_nll"]
 
 #: (state, field, rng) to (next state, mean field): one step of an injected model on arrays over the cells.
 Scorer = Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray]]
@@ -33,42 +33,62 @@ def _stream(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([abs(int(k)) for k in key])))
 
 
-def roll_out(panel: DataFrame, origins: DataFrame, column: str, *, steps: int, passes: int, history: int, seed: int, scorer: Scorer = smoothing_scorer, feedback: str = "sample", cap: float | None = None, block_units: int | None = 1_000) -> DataFrame:
-    """(m0, pass_no, h, month_id, unit, mean, draw): months before m0 are digested, then ``steps`` months run freely.
-
-    ``feedback`` is what a free step gets: the mean, or one Poisson draw for each cell, capped on the copy fed back only;
-    ``teacher_forced`` gets the truth where it is known. Units are dealt in blocks of ``block_units`` ids, so a group holds that many
-    units times history and steps whatever the panel's size; this needs a scorer that treats cells by themselves. For one
-    that sees the whole grid (a convolution, say) give None: a group then holds the grid.
-    """
+def _rolled(panel: DataFrame, origins: DataFrame, column: str, emit: Callable[[int, np.ndarray, list], pd.DataFrame], schema: str, *, steps: int, passes: int, history: int, seed: int, scorer: Scorer = smoothing_scorer, feedback: str = "sample", cap: float | None = None, block_units: int | None = 1_000) -> DataFrame:
+    """What ``emit`` makes of an origin's passes over a block of units: of m0, the units, and (mean, draw) of each step of each pass."""
     if feedback not in ("mean", "sample", "teacher_forced"):
         raise ValueError(f"unknown feedback {feedback!r}")
     listed = origins.select("m0", F.explode(F.sequence(F.col("m0") - history, F.col("m0") + steps - 1)).alias("month_id")).withColumn("month_id", F.col("month_id").cast("int"))
     rows = panel.select("month_id", "unit", F.col(column).cast("double").alias("x")).join(F.broadcast(listed), "month_id")
     block = F.floor(F.col("unit") / block_units).cast("int") if block_units else F.lit(0)
-    many = rows.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass_no"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        m0, pass_no = int(pdf["m0"].iloc[0]), int(pdf["pass_no"].iloc[0])
+        m0 = int(pdf["m0"].iloc[0])
         wide = pdf.pivot(index="month_id", columns="unit", values="x").sort_index().fillna(0.0)
         units = wide.columns.to_numpy()
-        state = np.zeros(len(units))
-        mean = np.zeros(len(units))
-        rng = _stream(seed, m0, pass_no, int(pdf["block"].iloc[0]))
-        for month in range(m0 - history, m0):
-            field = wide.loc[month].to_numpy() if month in wide.index else np.zeros(len(units))
-            state, mean = scorer(state, field, rng)
+        fields = {month: x for month, x in zip(wide.index, wide.to_numpy(), strict=True)}
         out = []
-        for h in range(1, steps + 1):
-            draw = rng.poisson(np.minimum(mean, 1e6)).astype(float)
-            out.append(pd.DataFrame({"m0": m0, "pass_no": pass_no, "h": h, "month_id": m0 + h - 1, "unit": units, "mean": mean, "draw": draw}))
-            fed = mean if feedback == "mean" else draw
-            if feedback == "teacher_forced" and m0 + h - 1 in wide.index:
-                fed = wide.loc[m0 + h - 1].to_numpy()
-            state, mean = scorer(state, fed if cap is None else np.minimum(fed, cap), rng)
-        return pd.concat(out)
-
-    return many.groupBy("m0", "pass_no", "block").applyInPandas(fold, "m0 int, pass_no int, h int, month_id int, unit long, mean double, draw double")
+        for pass_no in range(passes):
+            state = np.zeros(len(units))
+            mean = np.zeros(len(units))
+            rng = _stream(seed, m0, pass_no, int(pdf["block"].iloc[0]))
+            for month in range(m0 - history, m0):
+                state, mean = scorer(state, fields.get(month, np.zeros(len(units))), rng)
+            made = []
+            for h in range(1, steps + 1):
+                draw = rng.poisson(np.minimum(mean, 1e6)).astype(float)
+                made.append((mean, draw))
+                fed = mean if feedback == "mean" else draw
+                if feedback == "teacher_forced" and m0 + h - 1 in fields:
+                    fed = fields[m0 + h - 1]
+                state, mean = scorer(state, fed if cap is None else np.minimum(fed, cap), rng)
+            out.append(made)
+        return emit(m0, units, out)
+
+    return rows.withColumn("block", block).groupBy("m0", "block").applyInPandas(fold, schema)
+
+
+def roll_out(panel: DataFrame, origins: DataFrame, column: str, **how) -> DataFrame:
+    """(m0, pass_no, h, month_id, unit, mean, draw): months before m0 are digested, then ``steps`` months run freely.
+
+    ``feedback`` is what a free step gets: the mean, or one Poisson draw for each cell, capped on the copy fed back only;
+    ``teacher_forced`` gets the truth where it is known. Units are dealt in blocks of ``block_units`` ids, so a group holds that many
+    units times history and steps whatever the panel's size; this needs a scorer that treats cells by themselves. For one
+    that sees the whole grid (a convolution, say) give None: a group then holds the grid. See ``_rolled`` for the settings.
+    """
+
+    def emit(m0: int, units: np.ndarray, out: list) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"m0": m0, "pass_no": p, "h": h, "month_id": m0 + h - 1, "unit": units, "mean": mean, "draw": draw}) for p, made in enumerate(out) for h, (mean, draw) in enumerate(made, 1)])
+
+    return _rolled(panel, origins, column, emit, "m0 int, pass_no int, h int, month_id int, unit long, mean double, draw double", **how)
+
+
+def roll_out_samples(panel: DataFrame, origins: DataFrame, column: str, **how) -> DataFrame:
+    """(m0, h, month_id, unit, samples): ``posterior`` of a roll-out, made where the passes run, so nothing is shuffled again."""
+
+    def emit(m0: int, units: np.ndarray, out: list) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"m0": m0, "h": h, "month_id": m0 + h - 1, "unit": units, "samples": list(np.stack([made[h - 1][1] for made in out], 1))}) for h in range(1, len(out[0]) + 1)])
+
+    return _rolled(panel, origins, column, emit, "m0 int, h int, month_id int, unit long, samples array<double>", **how)
 
 
 #: What a free step gets from the mean and the composed draw of the step before; add an entry to extend.

@@ -288,3 +288,14 @@ def test_roll_out_deals_units_in_blocks(spark):
     one = spark.createDataFrame([(8,)], "m0 int")
     whole, parts = (RO.roll_out(df, one, "lr_sb", block_units=b, **kw).select("unit", "pass_no", "h", "mean").orderBy("unit", "pass_no", "h").collect() for b in (None, 7))
     assert whole == parts and len(whole) == 180
+
+
+def test_passes_run_beside_each_other_give_the_posterior_of_the_roll_out(spark):
+    origins = spark.createDataFrame([(103,), (104,)], "m0 int")
+    kw = dict(steps=3, passes=3, history=4, seed=1, block_units=3)
+    whole = RO.roll_out_samples(panel(spark), origins, "lr_sb", **kw)
+    parts = RO.posterior(RO.roll_out(panel(spark), origins, "lr_sb", **kw))
+    assert whole.columns == parts.columns
+    assert whole.orderBy("m0", "h", "unit").collect() == parts.orderBy("m0", "h", "unit").collect()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "pass_no" not in plan  # one group for all passes, and none after it
