@@ -16,6 +16,8 @@ from cairnfield.functions import arrays, keyed
 #: Parameters of each family besides mu and theta.
 PARAMETERS: dict[str, list[str]] = {"nb": [], "zinb": ["pi"], "mixture": ["mu2", "theta2", "w"], "truncated": []}
 LEAST = 1e-6
+#: Steps of an inversion before the first look whether it is done; the result does not depend on it.
+EARLY = 8
 
 
 def _real(hexed: Column, start: int) -> Column:
@@ -26,17 +28,26 @@ def _real(hexed: Column, start: int) -> Column:
 def poisson(u: Column, rate: Column, positive: bool = False) -> Column:
     """The Poisson count at level u of its distribution; ``positive``: of the distribution given that it is not zero."""
     start = 1 if positive else 0
-    # Beyond ten standard deviations and 60 the probability is under 2^-50.
-    last = (rate + 10 * F.sqrt(rate) + 60).cast("int")
-    first = F.log(rate) - rate if positive else -rate
-    goal = u * -F.expm1(-rate) if positive else u
     state = lambda lp, cum, n: F.struct(lp.alias("lp"), cum.alias("cum"), n.cast("int").alias("n"))
 
-    def step(s: Column, n: Column) -> Column:
-        lp = s["lp"] + F.log(rate / (n + 1))
-        return F.when(s["cum"] < goal, state(lp, s["cum"] + F.exp(lp), n + 1)).otherwise(s)
+    def inverted(given: Column) -> Column:
+        rate, goal = given["rate"], given["goal"]
+        # Beyond ten standard deviations and 60 the probability is under 2^-50.
+        last = (rate + 10 * F.sqrt(rate) + 60).cast("int")
+        first = F.log(rate) - rate if positive else -rate
 
-    return F.aggregate(F.sequence(F.lit(start), last), state(first, F.exp(first), F.lit(start)), step, lambda s: s["n"])
+        def step(s: Column, n: Column) -> Column:
+            lp = s["lp"] + F.log(rate / (n + 1))
+            return F.when(s["cum"] < goal, state(lp, s["cum"] + F.exp(lp), n + 1)).otherwise(s)
+
+        # Most levels are reached in a few steps; the others go on to the last one.
+        begun = F.aggregate(F.sequence(F.lit(start), F.lit(start + EARLY - 1)), state(first, F.exp(first), F.lit(start)), step)
+        later = lambda s: F.aggregate(F.sequence(F.lit(start + EARLY), last), s, step, lambda x: x["n"])
+        return F.when(rate.isNotNull(), arrays.once(begun, lambda s: F.when(s["cum"] < goal, later(s)).otherwise(s["n"])))
+
+    # Rate and level are worked out once, or else every step would read the level from its digest again.
+    given = lambda r: F.struct(r.alias("rate"), (u * -F.expm1(-r) if positive else u).alias("goal"))
+    return arrays.once(rate, lambda r: arrays.once(given(r), inverted))
 
 
 def logarithmic(u: Column, v: Column, log_rest: Column) -> Column:
@@ -49,13 +60,18 @@ def logarithmic(u: Column, v: Column, log_rest: Column) -> Column:
 def negative_binomial(u: Column, mu: Column, theta: Column, *keys: Column, positive: bool = False) -> Column:
     """The sum of as many jumps as ``u`` says, their uniforms being digests of ``keys`` and the jump's number."""
     m, t = F.greatest(mu, F.lit(LEAST)), F.greatest(theta, F.lit(LEAST))
-    grown = F.log1p(m / t)
 
-    def jump(i: Column) -> Column:
-        return arrays.once(keyed.digest(*keys, i), lambda hexed: logarithmic(_real(hexed, 1), _real(hexed, 13), -grown))
+    def drawn(given: Column) -> Column:
+        grown = given["grown"]
+        level = lambda hexed: F.struct(_real(hexed, 1).alias("u"), _real(hexed, 13).alias("v"))
+
+        def jump(i: Column) -> Column:
+            return arrays.once(arrays.once(keyed.digest(*keys, i), level), lambda x: logarithmic(x["u"], x["v"], -grown))
+
+        number = poisson(u, given["t"] * grown, positive)
+        return arrays.once(number, lambda n: F.when(n == 0, 0.0).otherwise(arrays.total(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), jump))))
 
-    number = poisson(u, t * grown, positive)
-    return arrays.once(number, lambda n: F.when(n == 0, 0.0).otherwise(arrays.total(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), jump))))
+    return arrays.once(F.struct(t.alias("t"), F.log1p(m / t).alias("grown")), drawn)
 
 
 def family_draw(family: str, parameters: dict[str, Column], *keys: Column, core: bool = False) -> Column:
