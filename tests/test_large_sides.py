@@ -10,6 +10,7 @@ from cairnfield.operators import origins as O
 from cairnfield.operators import panel as P
 from cairnfield.operators import scores as S
 from cairnfield.plans.catalog import QUERIES
+from cairnfield.sources import work
 
 
 def ran(df):
@@ -51,6 +52,17 @@ def test_queries_over_the_store_broadcast_their_origins_only(spark, sf_dir, name
     assert sum("BroadcastHashJoin" in line for line in joins) <= 1  # the months of the origins
 
 
+@pytest.mark.parametrize("name", ["fss_scales"])
+def test_cells_made_once_broadcast_their_origins_only(spark, sf_dir, name, monkeypatch):
+    plans, made = [], work.table
+    monkeypatch.setattr(work, "table", lambda df, *rest: plans.append(ran(df)[1]) or made(df, *rest))
+    _, last = ran(QUERIES[name](spark, sf_dir))
+    assert len(plans) == 1  # the cells; whatever follows reads their table
+    assert plans[0].count("SortMergeJoin") >= 2 and plans[0].count("BroadcastHashJoin") <= 1
+    if name == "fss_scales":  # the places of the cells and the sums of their boxes
+        assert last.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in last
+
+
 def test_repeated_keys_are_counted_in_all_partitions(spark):
     df = spark.range(100).select((F.col("id") % 97).alias("unit"), F.lit(1).alias("month_id"))
     rows, plan = ran(C.duplicate_examples(df, ["month_id", "unit"]))
