@@ -52,7 +52,7 @@ def test_queries_over_the_store_broadcast_their_origins_only(spark, sf_dir, name
     assert sum("BroadcastHashJoin" in line for line in joins) <= 1  # the months of the origins
 
 
-@pytest.mark.parametrize("name", ["fss_scales", "matched_threshold"])
+@pytest.mark.parametrize("name", ["fss_scales", "matched_threshold", "sharpness_of_draws"])
 def test_cells_made_once_broadcast_their_origins_only(spark, sf_dir, name, monkeypatch):
     plans, made = [], work.table
     monkeypatch.setattr(work, "table", lambda df, *rest: plans.append(ran(df)[1]) or made(df, *rest))
