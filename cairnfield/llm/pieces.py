@@ -34,7 +34,7 @@ from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions,
 
 #: Most chunks of up to SHORT characters that every task holds.
 FREQUENT, SHORT = 600_000, 48
-#: Short words that a task keeps with their ids, or as known.
+#: Short words that a worker keeps with their ids, or as known, beside the frequent chunks.
 WORDS = 300_000
 #: Distinct words that a task counts before it hands them on, and the occurrences among them from which they count.
 FLUSH, LOCAL = 1_000_000, 2
@@ -54,6 +54,9 @@ class Splitter:
         #: Bytes of an id that travels.
         self.kind = "<u2" if self.model.get_piece_size() <= 1 << 16 else "<i4"
         self.skip = len(self.model.encode(self.guard)) if self.guard else 0
+        m = self.model
+        #: What each piece stands for within a text; none for bytes, which make a character together, and for other ids.
+        self.pieces = [None if m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else m.id_to_piece(i).replace(_MARK, " ") for i in range(m.get_piece_size())]
 
     @staticmethod
     def _plain(proto: bytes) -> bool:
@@ -107,23 +110,22 @@ class Splitter:
 
     def text_of(self, ids: list[list[int]]) -> list[str]:
         """What the ids of each chunk stand for within a text."""
-        guard = self.model.encode(self.guard)
-        return [t[len(self.guard) :] for t in self.model.decode([guard + x for x in ids])]
+        guard, out = self.model.encode(self.guard), []
+        for x in ids:
+            parts = [self.pieces[i] for i in x]
+            out.append(self.model.decode(guard + x)[len(self.guard) :] if None in parts else "".join(parts))
+        return out
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """The ids of each chunk; behind the guard, which joins nothing, a chunk is segmented as within a text."""
         return [ids[self.skip :] for ids in self.model.encode([self.guard + c for c in chunks], num_threads=1)]
 
 
-_BUILT: dict[int, Splitter] = {}
-
-
-def _splitter(proto: bytes) -> Splitter:
-    """One for each model and Python worker."""
-    if (key := hash(proto)) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Splitter(proto)
-    return _BUILT[key]
+def _splitter(model: dict) -> Splitter:
+    """One for each model and Python worker: a worker keeps the value of a broadcast for all its tasks, though not the globals of a function."""
+    if "splitter" not in model:
+        model["splitter"] = Splitter(model["proto"])
+    return model["splitter"]
 
 
 def _count(model):
@@ -188,7 +190,7 @@ def _missing(model, known):
     """(h, text) to (h, chunk) for each distinct chunk of a text that does not travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, have, done = _splitter(model.value), known.value, set()
+        splitter, have, done = _splitter(model.value), known.value.get("ids", {}), known.value.get("done", set())
         for batch in batches:
             rows, chunks = [], []
             for i, text in enumerate(batch.column(1)):
@@ -221,30 +223,35 @@ def _assemble(model, known, end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        splitter, have, unpack = _splitter(model.value), known.value, zstandard.ZstdDecompressor().decompress
+        splitter, have, kept, unpack = _splitter(model.value), known.value.get("ids", {}), known.value.get("words", {}), zstandard.ZstdDecompressor().decompress
         last = np.array([splitter.model.eos_id()] if end else [], "<i4").tobytes()
-        of, more, kept = None, {}, {}
+        of, more = None, {}
 
         def ids_of(word: str) -> bytes:
             if splitter.pattern is None:
                 return np.array(splitter.segment([word])[0], "<i4").tobytes()
-            made = b"".join([have[c] if c in have else more[c.replace(_MARK, " ")] for c in splitter.of(word)])
-            if len(kept) < WORDS and len(word) <= SHORT:
+            chunks = splitter.of(word)
+            made = b"".join([have[c] if c in have else more[c.replace(_MARK, " ")] for c in chunks])
+            # A word with a rare chunk is rare.
+            if len(kept) < WORDS and len(word) <= SHORT and all(c in have for c in chunks):
                 kept[word] = made
             return made
 
         for batch in batches:
             parts, sizes, decoded, at = [], [0], [], []
-            hs, wholes, bodies = (batch.column(c).to_pylist() for c in (1, 2, 3))
-            loose = [np.frombuffer(b, splitter.kind).astype("<i4") for b, whole in zip(bodies, wholes, strict=True) if not whole]
+            hs, wholes, bodies = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in (1, 2, 3))
+            loose = [b for b, whole in zip(bodies, wholes, strict=True) if not whole]
+            flat = np.frombuffer(b"".join(loose), splitter.kind).astype("<i4")
+            ends = np.cumsum([len(b) // np.dtype(splitter.kind).itemsize for b in loose], dtype=np.int64).tolist()
+            raw, numbers, spans = flat.tobytes(), flat.tolist(), list(zip([0, *ends[:-1]], ends)) if ends else []
             # Ids decode to their chunk, with blanks for markers.
-            found = iter(zip(splitter.text_of([x.tolist() for x in loose]), loose, strict=True))
+            found = iter(zip(splitter.text_of([numbers[a:b] for a, b in spans]), [raw[4 * a : 4 * b] for a, b in spans], strict=True))
             for i, (h, whole, body) in enumerate(zip(hs, wholes, bodies, strict=True)):
                 if h != of:
                     of, more = h, {}
                 if not whole:
                     chunk, x = next(found)
-                    more[chunk] = x.tobytes()
+                    more[chunk] = x
                     continue
                 row = b"".join([kept.get(w) or ids_of(w) for w in splitter.words(unpack(body).decode())])
                 decoded.append(splitter.model.decode(np.frombuffer(row, "<i4").tolist()))
@@ -264,13 +271,13 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, most: int = FREQU
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
-        proto = f.read()
-    model = spark.sparkContext.broadcast(proto)
+        own = {"proto": f.read()}
+    model = spark.sparkContext.broadcast(own)
     rows = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = materialize(rows.select("text").mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
     held = counts.where(_frequent(counts, most)).select("chunk").toArrow().column(0).to_pylist()
-    ids = _splitter(proto).segment(held)
-    known = spark.sparkContext.broadcast({c: np.array(x, np.int32).tobytes() for c, x in zip(held, ids, strict=True)})
+    ids = _splitter(own).segment(held)
+    known = spark.sparkContext.broadcast({"ids": {c: np.array(x, np.int32).tobytes() for c, x in zip(held, ids, strict=True)}, "words": {}, "done": set()})
     kind = rows.schema["doc_id"].dataType.simpleString()
     keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
     rare = keyed.select("h", "text").mapInArrow(_missing(model, known), "h long, chunk string")

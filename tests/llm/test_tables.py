@@ -54,6 +54,32 @@ def test_a_model_without_places_to_cut_keeps_texts_whole(splitter, monkeypatch):
     assert [(r["doc_id"], r["ids"], r["decoded"]) for r in out] == [(7, whole.model.encode("a  b", add_eos=True), "a  b"), (8, [2], "")]
 
 
+def test_a_worker_builds_its_splitter_once_and_keeps_words_of_known_chunks(splitter, monkeypatch):
+    with open(MODEL, "rb") as f:
+        model = SimpleNamespace(value={"proto": f.read()})
+    known = SimpleNamespace(value={"ids": {" ab": np.array(splitter.segment([" ab"])[0], "<i4").tobytes()}, "words": {}, "done": set()})
+    built, plain = [], pieces.Splitter
+    monkeypatch.setattr(pieces, "Splitter", lambda proto: built.append(1) or plain(proto))
+    for _ in range(2):  # tasks
+        given = pa.record_batch({"h": pa.array([1], pa.int64()), "text": ["ab zq9 ab"]})
+        loose = next(pieces._missing(model, known)(iter([given])))
+        coded = next(pieces._segment(model)(iter([loose])))
+        packed = next(pieces._pack(iter([pa.record_batch({"doc_id": [7], "h": [1], "text": ["ab zq9 ab"]})])))
+        n = coded.num_rows
+        rows = pa.record_batch({"doc_id": [None] * n + [7], "h": [1] * (n + 1), "whole": [False] * n + [True], "body": coded.column(1).to_pylist() + packed.column(2).to_pylist()})
+        out = next(pieces._assemble(model, known, True)(iter([rows]))).to_pylist()
+        assert out == [{"doc_id": 7, "ids": splitter.model.encode("ab zq9 ab", add_eos=True), "decoded": "ab zq9 ab"}]
+    assert len(built) == 1
+    assert set(known.value["words"]) == {"ab"} == known.value["done"]
+
+
+def test_the_text_of_ids_is_the_library_s(splitter):
+    m, rng = splitter.model, random.Random(6)
+    ids = [[], *([i] for i in range(m.get_piece_size())), *([rng.randrange(400) for _ in range(5)] for _ in range(5_000))]
+    guard = m.encode(splitter.guard)
+    assert splitter.text_of(ids) == [t[len(splitter.guard) :] for t in m.decode([guard + x for x in ids])]
+
+
 @pytest.mark.parametrize("most", [pieces.FREQUENT, 3])
 def test_encoding_equals_the_library(spark, splitter, most):
     rng = random.Random(4)
