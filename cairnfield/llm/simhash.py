@@ -15,8 +15,8 @@ variant can show up to connectivity, and a hot variant costs as many links as it
 Pairs that meet elsewhere are linked there. Variants travel as packed numpy blocks, one for each bucket and batch;
 the number of buckets follows the number of fingerprints, so a bucket stays within memory at any size.
 
-``similar_groups`` joins texts by the similarity of their five-word shingles with the same device: balls of radius 2 around
-many short independent SimHashes give candidates, exact Jaccard similarity decides.
+``similar_groups`` joins texts by the similarity of their five-word shingles: texts that meet on one of many short independent
+SimHashes are verified exactly, and what that leaves unlinked is found by an exact join of the texts that share enough shingles.
 """
 
 from __future__ import annotations
@@ -41,15 +41,19 @@ BUCKET_VARIANTS = 1_500_000
 #: Fingerprints whose variants are made at once: at least, and at most where there are many buckets to fill.
 BATCH, MOST_BATCH = 2_000, 16_000
 
-#: The similarity join: word shingles, least Jaccard similarity of their sets, and ball hashing on TABLES independent
-#: SimHashes of SEGMENT bits with radius 2. Two texts at similarity 0.8 differ in 15 % of the bits on average and meet in one table
-#: at least with probability 0.90, at 0.85 with 0.98, at 0.9 with 0.999. Use 40 bits and more tables beyond a billion texts.
+#: The similarity join: word shingles, least Jaccard similarity of their sets, and TABLES independent SimHashes of SEGMENT bits.
 JOIN_SHINGLE, SIMILARITY = 5, 0.8
 TABLES, SEGMENT = 18, 32
-#: Candidates whose TABLES x SEGMENT bits differ in a greater share are not verified: five standard deviations from 0.15.
-FAR = 0.245
-#: Within a variant a text of each group found so far is compared with those of so many next groups in hash order.
+#: Within a segment a text is compared with so many next ones in hash order; links that this leaves out are found exactly afterwards.
 NEIGHBOURS = 3
+#: One hash in SHARE is looked at first; over a fifth of a text's hashes must be nobody else's to rule it out.
+SHARE = 3
+#: The place of a hash that several texts of one batch hold.
+ALREADY = 65_535
+DEALT = "bucket int, hashes binary, places binary, keys binary, told binary, counts binary"
+HELD = np.dtype([("hash", "<u8"), ("texts", "<u2")])
+#: Texts in a block of a family: at least, and at most where it would take over MOST_BLOCKS; bytes of a block's sets; columns of its matrix at once.
+BLOCK, MOST_BLOCK, MOST_BLOCKS, BLOCK_BYTES, COLUMNS = 128, 1_024, 20, 4_000_000, 4_096
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -235,59 +239,157 @@ def signature(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return sum(bits[:, i] << np.uint64(8 * i) for i in range(SEGMENT // 8))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_hashes(t.as_py()) for t in batch.column(2)]
         keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
-        sigs = [signature(h).view(np.int64) if len(h) else None for _, h in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "t", "key", "sig"])
+        some = [h[h % np.uint64(SHARE) == 0] for _, h in found]
+        sizes, picked = (pa.array([len(h) for h in x], pa.int64()) for x in ([h for _, h in found], some))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, picked, pa.array([h.tobytes() for h in some], pa.binary())], names=["doc_id", "t", "key", "size", "picked", "some"])
 
 
-def _emit_segments(buckets: int, flips: bool):
-    """(key, group, sig) to rows (bucket, variants, tables, keys, groups): packed segments of every table, with their one-bit variants if ``flips``."""
-    masks = np.array([0, *([1 << i for i in range(SEGMENT)] if flips else [])], np.uint64)
-    table = (np.arange(TABLES, dtype=np.uint64) << np.uint64(SEGMENT))[None, :, None]
+def _deal(keys: np.ndarray, sets: list[np.ndarray], buckets: int, count: bool) -> pa.RecordBatch:
+    """One row for each bucket: hashes, the places of their texts and the keys these name.
+
+    With ``count`` a hash that several texts here hold goes once, at place ALREADY, and each text's number of them goes along with
+    the first row: so a hash of very many texts costs its bucket one entry for each batch.
+    """
+    hashes, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.lexsort((keys[of], hashes))
+    hashes, of = hashes[order], of[order]
+    once = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[of[1:]] != keys[of[:-1]]))[: len(hashes)]
+    hashes, of = hashes[once], of[once]
+    known = np.zeros(len(keys), np.int64)
+    place = of.astype(np.uint16)
+    if count:
+        first = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        size = np.diff(np.append(np.flatnonzero(first), len(hashes)))
+        several = np.repeat(size > 1, size)
+        known = np.bincount(of[several], minlength=len(keys))
+        place[several] = ALREADY
+        hashes, place = hashes[first], place[first]
+    to = (_mix(hashes) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    hashes, place, to = hashes[order], place[order], to[order]
+    present, first = np.unique(to, return_index=True)
+    last = np.append(first[1:], len(to))[: len(first)]
+    rows: list[list[bytes]] = [[], [], [], [], []]
+    told = np.flatnonzero(known)
+    for i, j in zip(first, last, strict=True):
+        mine = np.unique(place[i:j][place[i:j] != ALREADY])
+        named = np.where(place[i:j] == ALREADY, ALREADY, np.searchsorted(mine, place[i:j])).astype(np.uint16)
+        for out, x in zip(rows, (hashes[i:j], named, keys[mine], keys[told], known[told]), strict=True):
+            out.append(x.tobytes())
+        told = told[:0]
+    return pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(x, pa.binary()) for x in rows)], names=DEALT.replace(" int", "").replace(" binary", "").split(", "))
+
+
+def _dealer(buckets: int, whole: bool):
+    """(key, text) if ``whole``, else (key, some), to dealt rows."""
+    read = (lambda x: shingle_hashes(x.as_py())[1]) if whole else (lambda x: np.frombuffer(x.as_buffer(), np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                ids = [np.array(part.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1)]
-                segments = np.array(part.column(2).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, TABLES)
-                variants = ((segments[:, :, None] ^ masks[None, None, :]) | table).ravel()
-                to = (_mix(variants) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                variants, to, of = variants[order], to[order], order // (TABLES * len(masks))
-                present, first = np.unique(to, return_index=True)
-                last = np.append(first[1:], len(to))
-                # The texts of a row are listed once; variants name them by their place.
-                rows: list[list[bytes]] = [[], [], [], [], [], []]
-                for i, j in zip(first, last, strict=True):
-                    mine, place = np.unique(of[i:j], return_inverse=True)
-                    key, group = ids[0][mine], ids[1][mine]
-                    # Few texts have a group other than themselves.
-                    odd = np.flatnonzero(key != group)
-                    for out, x in zip(rows, (variants[i:j].astype(np.uint32), (variants[i:j] >> np.uint64(SEGMENT)).astype(np.uint8), place.astype(np.uint16), key, odd.astype(np.uint16), group[odd]), strict=True):
-                        out.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(x, pa.binary()) for x in rows)], names=["bucket", "variants", "tables", "places", "keys", "odd", "groups"])
+                keys = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
+                yield _deal(keys, [read(x) for x in part.column(1)], buckets, not whole)
+
+    return run
+
+
+def _gather(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a bucket in order, each text's once, with the keys of their texts, if they are ALREADY known as shared, and starts and sizes of equal ones."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for h, p, k in zip(*(rows.column(n) for n in ("hashes", "places", "keys")), strict=True):
+        place, key = np.frombuffer(p.as_buffer(), np.uint16), np.append(np.frombuffer(k.as_buffer(), np.int64), 0)
+        already = place == ALREADY
+        parts.append((np.frombuffer(h.as_buffer(), np.uint64), key[np.where(already, len(key) - 1, place)], already))
+    hashes, keys, already = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((already, keys, hashes))
+    hashes, keys, already = hashes[order], keys[order], already[order]
+    once = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (already[1:] != already[:-1]))[: len(hashes)]
+    hashes, keys, already = hashes[once], keys[once], already[once]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+    return hashes, keys, already, first, np.diff(np.append(first, len(hashes)))
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """(key, shared): how many of a text's hashes in this bucket other texts hold, too."""
+    _, keys, already, first, size = _gather(rows)
+    if len(first):
+        many = np.repeat((size > 1) | np.logical_or.reduceat(already, first), size) & ~already
+        keys = keys[many]
+    parts = [(keys, np.ones(len(keys), np.int64))]
+    parts += [(np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)) for k, n in zip(rows.column("told"), rows.column("counts"), strict=True)]
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, at = np.unique(keys, return_inverse=True)
+    return pa.table({"key": pa.array(keys), "shared": pa.array(np.bincount(at, counts, len(keys)).astype(np.int64))})
+
+
+def _held(rows: pa.Table) -> pa.Table:
+    """(key, held): for each text its hashes of this bucket that other texts hold, too, each with the number of its texts."""
+    hashes, keys, _, first, size = _gather(rows)
+    many = np.repeat(size > 1, size)
+    held = np.empty(int(many.sum()), HELD)
+    held["hash"], held["texts"] = hashes[many], np.minimum(np.repeat(size, size), 65_535)[many]
+    order = np.argsort(keys[many], kind="stable")
+    held, keys = held[order], keys[many][order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    last = np.append(first[1:], len(keys))[: len(first)]
+    return pa.table({"key": pa.array(keys[first]), "held": pa.array([held[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
+
+
+def _live(least: float):
+    """(key, size, parts) to (key, size, set, sig, prefix) of the texts that may have a similar one.
+
+    ``set`` holds the hashes that other texts hold, too: overlaps need no others. In order of the number of their texts, the hashes of two
+    similar texts meet in their prefixes, which are all but ``least`` of a text and one more; the first of these are held by nobody else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sets, sigs, prefixes = [], [], [], []
+            for size, parts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held = np.concatenate([np.frombuffer(x.as_buffer(), HELD) for x in parts.values])
+                prefix = len(held) - int(np.ceil(least * size - 1e-9)) + 1
+                keep.append(prefix > 0)
+                if prefix > 0:
+                    held = held[np.lexsort((held["hash"], held["texts"]))]
+                    sets.append(np.sort(held["hash"]).tobytes())
+                    sigs.append(signature(held["hash"]).view(np.int64))
+                    prefixes.append(held["hash"][:prefix].astype(np.uint64).view(np.int64))
+            out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary()), pa.array(sigs, longs), pa.array(prefixes, longs)], names=["key", "size", "set", "sig", "prefix"])
+
+    return run
+
+
+def _emit_segments(buckets: int):
+    """(key, sig) to rows (bucket, variants, keys): packed segments of every table and the keys of their texts."""
+    table = np.arange(TABLES, dtype=np.uint64)[None, :] << np.uint64(SEGMENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            segments = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64).reshape(-1, TABLES)
+            variants = (segments | table).ravel()
+            to = (_mix(variants) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            variants, to, named = variants[order], to[order], keys[order // TABLES]
+            present, first = np.unique(to, return_index=True)
+            last = np.append(first[1:], len(to))[: len(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(present), *(pa.array([x[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()) for x in (variants, named))], names=["bucket", "variants", "keys"])
 
     return run
 
 
 def _neighbours(rows: pa.Table) -> pa.Table:
-    """Pairs of texts of different groups that share a variant: one text of each group, by a hash of text and variant, with those of the next groups."""
-    parts = []
-    for v, t, p, k, o, g in zip(*(rows.column(n) for n in ("variants", "tables", "places", "keys", "odd", "groups")), strict=True):
-        place, key = np.frombuffer(p.as_buffer(), np.uint16), np.frombuffer(k.as_buffer(), np.int64)
-        group = key.copy()
-        group[np.frombuffer(o.as_buffer(), np.uint16)] = np.frombuffer(g.as_buffer(), np.int64)
-        high = np.frombuffer(t.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(SEGMENT)
-        parts.append((np.frombuffer(v.as_buffer(), np.uint32).astype(np.uint64) | high, key[place], group[place]))
-    variants, keys, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((_mix(keys.view(np.uint64) ^ variants), _mix(groups.view(np.uint64)), variants))
-    variants, keys, groups = variants[order], keys[order], groups[order]
-    first = np.append(True, (variants[1:] != variants[:-1]) | (groups[1:] != groups[:-1]))
-    variants, keys = variants[first], keys[first]
+    """Pairs of texts that share a segment: each with the next ones by a hash of text and segment."""
+    variants, keys = (np.frombuffer(b"".join(x.as_buffer() for x in rows.column(n)), kind) for n, kind in (("variants", np.uint64), ("keys", np.int64)))
+    order = np.lexsort((_mix(keys.view(np.uint64) ^ variants), variants))
+    variants, keys = variants[order], keys[order]
     found = [np.zeros((0, 2), np.int64)]
     for step in range(1, NEIGHBOURS + 1):
         same = variants[step:] == variants[:-step]
@@ -297,67 +399,129 @@ def _neighbours(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [shingle_hashes(t.as_py())[1].tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "set"])
-
-
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                keep.append(both >= least * (n - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _candidates(nodes: DataFrame, flips: bool) -> DataFrame:
-    """(a, b): pairs of nodes (key, group, sig) of different groups that meet and are not FAR apart."""
-    n = nodes.count()
-    buckets = max(shuffle_partitions(nodes.sparkSession), -(-n * TABLES * (1 + SEGMENT * flips) // BUCKET_VARIANTS))
-    spread = nodes.select("key", "group", "sig").repartition(max(6, -(-n // 20_000)))
-    blocks = spread.mapInArrow(_emit_segments(buckets, flips), "bucket int, variants binary, tables binary, places binary, keys binary, odd binary, groups binary")
+def _quick_links(live: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar pairs among texts that share a segment of their SimHashes, a few for each text: what connects most near copies."""
+    n = live.count()
+    buckets = max(shuffle_partitions(live.sparkSession), -(-n * TABLES // BUCKET_VARIANTS))
+    blocks = live.select("key", "sig").mapInArrow(_emit_segments(buckets), "bucket int, variants binary, keys binary")
     met = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct()
-    sig = nodes.select("key", "sig")
-    both = met.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return materialize(both.where(apart <= int(FAR * TABLES * SEGMENT)).select("a", "b"), "candidates")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, only: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar; only the texts of these nodes are read again."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
-    wanted = small(materialize(wanted, "wanted"))
-    texts = only.join(wanted, (only.t == wanted["_t"]) & only.doc_id.eqNullSafe(wanted["_id"])).select("key", "text")
-    sets = materialize(texts.mapInArrow(_sets, "key long, set binary"), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    one = live.select("key", "set", "size")
+    both = met.join(one.toDF("a", "x", "m"), "a").join(one.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", F.col("m") + F.col("n"))
     return materialize(both.mapInArrow(_verify(similarity), "a long, b long"), "similar")
 
 
+def _families(live: DataFrame) -> DataFrame:
+    """(node, component): texts that shared hashes in prefixes connect; similar texts are in one family."""
+    held = materialize(live.select("key", F.explode("prefix").alias("hash")), "prefixes")
+    first = held.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return components(skewed_join(held, first, "hash", held.count()).where("first != key").select("first", "key").distinct(), "first", "key")
+
+
+def _block_links(least: float):
+    """Links between the groups of each family of a block: a forest of what similar texts connect."""
+
+    def forest(groups: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        many = count > 1
+        own, column = own[many[column]], (np.cumsum(many) - 1)[column[many[column]]]
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        both = np.zeros((len(sets), len(sets)))
+        for at in range(0, int(many.sum()), COLUMNS):
+            i, j = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[own[i:j], column[i:j] - at] = 1
+            both += part @ part.T
+        near = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+        near |= groups[:, None] == groups[None, :]
+        label, now = np.arange(len(sets)), None
+        while now is None or (now != label).any():
+            label = label if now is None else now
+            now = np.where(near, label[None, :], len(sets)).min(1)
+            now = now[now]
+        pairs = np.stack([groups, groups[label]], 1)
+        return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+    def run(rows: pa.Table) -> pa.Table:
+        family, groups, sizes = (rows.column(n).to_numpy() for n in ("family", "group", "size"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        order = np.argsort(family, kind="stable")
+        ends = np.flatnonzero(np.append(family[order][1:] != family[order][:-1], True)) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for mine in np.split(order, ends[:-1]):
+            if (groups[mine] != groups[mine[0]]).any():
+                found.append(forest(groups[mine], sizes[mine], [sets[i] for i in mine]))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _remaining_links(live: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between ``groups`` (node, component) that connect all that similar texts of ``live`` connect.
+
+    Texts of one family are compared all with all, in blocks: a task gets two blocks of one family or many small families, and
+    returns a forest over their groups, so a family costs as many rows as it has texts times blocks, not pairs. A family of one group is settled.
+    """
+    named = live.select("key", "size", "set").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
+    placed = named.join(materialize(_families(live), "families").toDF("key", "family"), "key")
+    members = materialize(placed, "members")
+    sums = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"), F.min("group").alias("one"), F.max("group").alias("other"))
+    texts = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.col("n") / MOST_BLOCKS))
+    blocks = F.ceil(F.greatest(F.col("n") / texts, F.col("bytes") / BLOCK_BYTES)).alias("blocks")
+    sizes = materialize(sums.where("one != other").select("family", "n", "bytes", blocks), "sizes")
+    total = sizes.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    bins = max(shuffle_partitions(live.sparkSession), -(-int(total) // BLOCK_BYTES))
+    rows = skewed_join(members, sizes.select("family", "n", "blocks"), "family", members.count())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    whole = F.col("blocks") == 1
+    into = F.when(whole, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family"))
+    pair = rows.select(into.alias("bin"), whole.alias("whole"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "family", "group", "size", "set")
+    return materialize(pair.groupBy("bin", "whole", "i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "remaining")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, t, key, group): groups of texts that links of Jaccard ``similarity`` or more connect, over five-word shingles.
+    """(doc_id, t, key, group): groups of texts that links of Jaccard ``similarity`` or more connect, over five-word shingles; exact.
 
-    ``t`` is xxhash64 of the text and ``key`` a hash of its lower-cased words: texts with equal words are one node. First, nodes
-    that share a segment are compared with the next ones in hash order, so large groups of near copies are found by pairs in proportion
-    to their texts. Then every node emits the one-bit variants of its segments, and only pairs of different groups
-    are candidates; exact similarity decides both times. A pair within a group needs no verification, as it is connected.
+    ``t`` is xxhash64 of the text and ``key`` a hash of its lower-cased words: texts with equal words are one node. A text of whose
+    shingles fewer than ``similarity`` occur in other texts has no similar one: a share of all shingles shows that for most texts, all shingles for
+    the rest. Of what is left, texts that share a segment of their SimHashes are compared with the next ones in hash order, so large groups
+    of near copies are found by pairs in proportion to their texts. All links between these groups are then found within families, by blocks.
     Texts without words are one group. Null texts count as empty. Rows stay repeated.
     """
     only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
-    prints = materialize(only.mapInArrow(_signatures, f"doc_id {kind}, t long, key long, sig array<long>"), "signatures")
+    prints = materialize(only.mapInArrow(_prints, f"doc_id {kind}, t long, key long, size long, picked long, some binary"), "prints")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
-    nodes = materialize(prints.groupBy("key").agg(one, F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("n")), "nodes")
-    words = nodes.where("sig is not null")
-    linked = _verified(_candidates(words.withColumn("group", F.col("key")), False), words, only, similarity)
-    reached = materialize(components(linked, "a", "b"), "components").withColumnRenamed("node", "key")
-    grouped = materialize(words.join(reached, "key", "left").select("key", "one", "sig", F.coalesce("component", "key").alias("group")), "grouped")
-    more = _verified(_candidates(grouped, True), words, only, similarity)
+    nodes = materialize(prints.groupBy("key").agg(one, F.max("size").alias("size"), F.max("picked").alias("picked"), F.count("*").alias("n")), "nodes")
+
+    def dealt(rows: DataFrame, whole: bool, hashes: int, reduce, schema: str) -> DataFrame:
+        buckets = max(shuffle_partitions(docs.sparkSession), -(-hashes // BUCKET_VARIANTS))
+        return rows.mapInArrow(_dealer(buckets, whole), DEALT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, schema)
+
+    picked = prints.agg(F.sum("picked")).first()[0] or 0
+    shared = dealt(prints.select("key", "some"), False, picked, _shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    maybe = nodes.join(shared, "key", "left").where(F.coalesce("shared", F.lit(0)) + F.col("size") - F.col("picked") >= similarity * F.col("size") - 1e-6).where("size > 0")
+    wanted = materialize(maybe.select("key", "size", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
+    near = small(wanted.drop("size"))
+    texts = only.join(near, (only.t == near["_t"]) & only.doc_id.eqNullSafe(near["_id"])).select("key", "text")
+    held = dealt(texts, True, wanted.agg(F.sum("size")).first()[0] or 0, _held, "key long, held binary").groupBy("key").agg(F.collect_list("held").alias("parts"))
+    live = materialize(held.join(wanted, "key").select("key", "size", "parts").mapInArrow(_live(similarity), "key long, size long, set binary, sig array<long>, prefix array<long>"), "live")
+    linked = _quick_links(live, similarity)
+    more = _remaining_links(live, materialize(components(linked, "a", "b"), "components"), similarity)
     final = materialize(components(linked.union(more), "a", "b"), "components").withColumnRenamed("node", "key")
     named = nodes.join(final, "key", "left").select("key", "n", F.coalesce("component", "key").alias("group"))
     return skewed_join(prints.select("doc_id", "t", "key"), named, "key", prints.count()).select("doc_id", "t", "key", "group")

@@ -169,6 +169,50 @@ def test_similar_groups_match_brute_force(spark):
     assert all(top(i) == top(j) for i in group for j in group if group[i] == group[j])
 
 
+def test_similar_groups_of_a_large_family_are_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = ["", "alone", *(" ".join(f"x{rng.randrange(10**6)}" for _ in range(80)) for _ in range(40))]
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.choice((2, 4, 5, 6))):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        texts += [" ".join(copy)] * rng.choice((1, 1, 2))
+    rng.shuffle(texts)
+    df = docs(spark, texts).repartition(7)
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) or t for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j]) if len(sets[i]) > 20 < len(sets[j]) else len(sets[i]) * (texts[i] == texts[j])
+            if top[i] != top[j] and (texts[i] == texts[j] or same * 1.8 >= 0.8 * (len(sets[i]) + len(sets[j]))):
+                old, new = top[i], top[j]
+                top = [new if x == old else x for x in top]
+
+    def partition(group):
+        by = {}
+        for i, g in group.items():
+            by.setdefault(g, set()).add(i)
+        return sorted(map(sorted, by.values()))
+
+    want = partition(dict(enumerate(top)))
+    assert 100 < max(map(len, want)) < 440 and len(want) > 60
+    made = {}
+
+    def counted(df, name, old=simhash.materialize):
+        out = old(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    assert partition({r["doc_id"]: r["group"] for r in simhash.similar_groups(df).collect()}) == want
+    # Pairs between texts that are not similar cost no rows.
+    assert sum(made.get(x, 0) for x in ("candidates", "similar", "remaining")) < 15 * len(texts)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "MOST_BLOCK", 32)
+    assert partition({r["doc_id"]: r["group"] for r in simhash.similar_groups(df).collect()}) == want
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b = "one text of six words here", "another text that is like none"
     rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, "alone without any id at all"), (None, "alone without any id at all"), (3, None), (4, "")]
