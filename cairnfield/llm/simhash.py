@@ -48,10 +48,6 @@ TABLES, SEGMENT = 18, 32
 NEIGHBOURS = 3
 #: One hash in SHARE is looked at first; over a fifth of a text's hashes must be nobody else's to rule it out.
 SHARE = 3
-#: The place of a hash that several texts of one batch hold.
-ALREADY = 65_535
-DEALT = "bucket int, hashes binary, places binary, keys binary, told binary, counts binary"
-HELD = np.dtype([("hash", "<u8"), ("texts", "<u2")])
 #: Texts in a block of a family: at least, and at most where it would take over MOST_BLOCKS; bytes of a block's sets; columns of its matrix at once.
 BLOCK, MOST_BLOCK, MOST_BLOCKS, BLOCK_BYTES, COLUMNS = 128, 1_024, 20, 4_000_000, 4_096
 
@@ -243,105 +239,37 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_hashes(t.as_py()) for t in batch.column(2)]
         keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
-        some = [h[h % np.uint64(SHARE) == 0] for _, h in found]
+        some = [h[h % np.uint64(SHARE) == 0].view(np.int64) for _, h in found]
         sizes, picked = (pa.array([len(h) for h in x], pa.int64()) for x in ([h for _, h in found], some))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, picked, pa.array([h.tobytes() for h in some], pa.binary())], names=["doc_id", "t", "key", "size", "picked", "some"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, picked, pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "t", "key", "size", "picked", "some"])
 
 
-def _deal(keys: np.ndarray, sets: list[np.ndarray], buckets: int, count: bool) -> pa.RecordBatch:
-    """One row for each bucket: hashes, the places of their texts and the keys these name.
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, hashes)."""
+    for batch in batches:
+        hashes = [shingle_hashes(t.as_py())[1].view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    With ``count`` a hash that several texts here hold goes once, at place ALREADY, and each text's number of them goes along with
-    the first row: so a hash of very many texts costs its bucket one entry for each batch.
-    """
-    hashes, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    order = np.lexsort((keys[of], hashes))
-    hashes, of = hashes[order], of[order]
-    once = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[of[1:]] != keys[of[:-1]]))[: len(hashes)]
-    hashes, of = hashes[once], of[once]
-    known = np.zeros(len(keys), np.int64)
-    place = of.astype(np.uint16)
-    if count:
-        first = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
-        size = np.diff(np.append(np.flatnonzero(first), len(hashes)))
-        several = np.repeat(size > 1, size)
-        known = np.bincount(of[several], minlength=len(keys))
-        place[several] = ALREADY
-        hashes, place = hashes[first], place[first]
-    to = (_mix(hashes) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(to, kind="stable")
-    hashes, place, to = hashes[order], place[order], to[order]
-    present, first = np.unique(to, return_index=True)
-    last = np.append(first[1:], len(to))[: len(first)]
-    rows: list[list[bytes]] = [[], [], [], [], []]
-    told = np.flatnonzero(known)
-    for i, j in zip(first, last, strict=True):
-        mine = np.unique(place[i:j][place[i:j] != ALREADY])
-        named = np.where(place[i:j] == ALREADY, ALREADY, np.searchsorted(mine, place[i:j])).astype(np.uint16)
-        for out, x in zip(rows, (hashes[i:j], named, keys[mine], keys[told], known[told]), strict=True):
-            out.append(x.tobytes())
-        told = told[:0]
-    return pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(x, pa.binary()) for x in rows)], names=DEALT.replace(" int", "").replace(" binary", "").split(", "))
-
-
-def _dealer(buckets: int, whole: bool):
-    """(key, text) if ``whole``, else (key, some), to dealt rows."""
-    read = (lambda x: shingle_hashes(x.as_py())[1]) if whole else (lambda x: np.frombuffer(x.as_buffer(), np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                keys = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-                yield _deal(keys, [read(x) for x in part.column(1)], buckets, not whole)
+def _alone(sets: DataFrame) -> DataFrame:
+    """(key, alone): how many hashes of a text's set (column hashes) no other text holds; texts without such hashes are left out.
 
-    return run
+    A hash of one text has one key: so hashes are aggregated, however many texts hold them, and neither joined nor collected.
+    """
+    holders = sets.select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    return holders.where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
 
 
-def _gather(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of a bucket in order, each text's once, with the keys of their texts, if they are ALREADY known as shared, and starts and sizes of equal ones."""
-    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
-    for h, p, k in zip(*(rows.column(n) for n in ("hashes", "places", "keys")), strict=True):
-        place, key = np.frombuffer(p.as_buffer(), np.uint16), np.append(np.frombuffer(k.as_buffer(), np.int64), 0)
-        already = place == ALREADY
-        parts.append((np.frombuffer(h.as_buffer(), np.uint64), key[np.where(already, len(key) - 1, place)], already))
-    hashes, keys, already = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((already, keys, hashes))
-    hashes, keys, already = hashes[order], keys[order], already[order]
-    once = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (already[1:] != already[:-1]))[: len(hashes)]
-    hashes, keys, already = hashes[once], keys[once], already[once]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
-    return hashes, keys, already, first, np.diff(np.append(first, len(hashes)))
-
-
-def _shared(rows: pa.Table) -> pa.Table:
-    """(key, shared): how many of a text's hashes in this bucket other texts hold, too."""
-    _, keys, already, first, size = _gather(rows)
-    if len(first):
-        many = np.repeat((size > 1) | np.logical_or.reduceat(already, first), size) & ~already
-        keys = keys[many]
-    parts = [(keys, np.ones(len(keys), np.int64))]
-    parts += [(np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)) for k, n in zip(rows.column("told"), rows.column("counts"), strict=True)]
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, at = np.unique(keys, return_inverse=True)
-    return pa.table({"key": pa.array(keys), "shared": pa.array(np.bincount(at, counts, len(keys)).astype(np.int64))})
-
-
-def _held(rows: pa.Table) -> pa.Table:
-    """(key, held): for each text its hashes of this bucket that other texts hold, too, each with the number of its texts."""
-    hashes, keys, _, first, size = _gather(rows)
-    many = np.repeat(size > 1, size)
-    held = np.empty(int(many.sum()), HELD)
-    held["hash"], held["texts"] = hashes[many], np.minimum(np.repeat(size, size), 65_535)[many]
-    order = np.argsort(keys[many], kind="stable")
-    held, keys = held[order], keys[many][order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    last = np.append(first[1:], len(keys))[: len(first)]
-    return pa.table({"key": pa.array(keys[first]), "held": pa.array([held[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
+def _held(sets: DataFrame) -> DataFrame:
+    """(key, held): for each text its hashes that other texts hold, too, each with the number of its texts: at most a row for each hash of a text on the way."""
+    pairs = sets.select("key", F.explode("hashes").alias("hash"))
+    shared = materialize(pairs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    return skewed_join(pairs, shared, "hash", total).groupBy("key").agg(F.collect_list(F.struct("hash", "n")).alias("held"))
 
 
 def _live(least: float):
-    """(key, size, parts) to (key, size, set, sig, prefix) of the texts that may have a similar one.
+    """(key, size, hashes, texts) to (key, size, set, sig, prefix) of the texts that may have a similar one.
 
     ``set`` holds the hashes that other texts hold, too: overlaps need no others. In order of the number of their texts, the hashes of two
     similar texts meet in their prefixes, which are all but ``least`` of a text and one more; the first of these are held by nobody else.
@@ -350,15 +278,16 @@ def _live(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, sets, sigs, prefixes = [], [], [], []
-            for size, parts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held = np.concatenate([np.frombuffer(x.as_buffer(), HELD) for x in parts.values])
-                prefix = len(held) - int(np.ceil(least * size - 1e-9)) + 1
+            for size, *held in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                hashes, texts = (x.values.to_numpy() for x in held)
+                prefix = len(hashes) - int(np.ceil(least * size - 1e-9)) + 1
                 keep.append(prefix > 0)
                 if prefix > 0:
-                    held = held[np.lexsort((held["hash"], held["texts"]))]
-                    sets.append(np.sort(held["hash"]).tobytes())
-                    sigs.append(signature(held["hash"]).view(np.int64))
-                    prefixes.append(held["hash"][:prefix].astype(np.uint64).view(np.int64))
+                    hashes = hashes.view(np.uint64)
+                    hashes = hashes[np.lexsort((hashes, texts))]
+                    sets.append(np.sort(hashes).tobytes())
+                    sigs.append(signature(hashes).view(np.int64))
+                    prefixes.append(hashes[:prefix].view(np.int64))
             out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary()), pa.array(sigs, longs), pa.array(prefixes, longs)], names=["key", "size", "set", "sig", "prefix"])
@@ -504,22 +433,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     only = lean_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = only.schema["doc_id"].dataType.simpleString()
-    prints = materialize(only.mapInArrow(_prints, f"doc_id {kind}, t long, key long, size long, picked long, some binary"), "prints")
+    prints = materialize(only.mapInArrow(_prints, f"doc_id {kind}, t long, key long, size long, picked long, some array<long>"), "prints")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
     nodes = materialize(prints.groupBy("key").agg(one, F.max("size").alias("size"), F.max("picked").alias("picked"), F.count("*").alias("n")), "nodes")
-
-    def dealt(rows: DataFrame, whole: bool, hashes: int, reduce, schema: str) -> DataFrame:
-        buckets = max(shuffle_partitions(docs.sparkSession), -(-hashes // BUCKET_VARIANTS))
-        return rows.mapInArrow(_dealer(buckets, whole), DEALT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, schema)
-
-    picked = prints.agg(F.sum("picked")).first()[0] or 0
-    shared = dealt(prints.select("key", "some"), False, picked, _shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
-    maybe = nodes.join(shared, "key", "left").where(F.coalesce("shared", F.lit(0)) + F.col("size") - F.col("picked") >= similarity * F.col("size") - 1e-6).where("size > 0")
+    alone = _alone(prints.select("key", F.col("some").alias("hashes")))
+    maybe = nodes.join(alone, "key", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= similarity * F.col("size") - 1e-6).where("size > 0")
     wanted = materialize(maybe.select("key", "size", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
     near = small(wanted.drop("size"))
     texts = only.join(near, (only.t == near["_t"]) & only.doc_id.eqNullSafe(near["_id"])).select("key", "text")
-    held = dealt(texts, True, wanted.agg(F.sum("size")).first()[0] or 0, _held, "key long, held binary").groupBy("key").agg(F.collect_list("held").alias("parts"))
-    live = materialize(held.join(wanted, "key").select("key", "size", "parts").mapInArrow(_live(similarity), "key long, size long, set binary, sig array<long>, prefix array<long>"), "live")
+    sets = materialize(texts.mapInArrow(_sets, "key long, hashes array<long>"), "sets")
+    if sets.count() > wanted.count():  # rows that repeat both id and text
+        sets = materialize(sets.dropDuplicates(["key"]), "sets")
+    held = _held(sets).join(wanted, "key").select("key", "size", F.col("held.hash").alias("hashes"), F.col("held.n").alias("texts"))
+    live = materialize(held.mapInArrow(_live(similarity), "key long, size long, set binary, sig array<long>, prefix array<long>"), "live")
     linked = _quick_links(live, similarity)
     more = _remaining_links(live, materialize(components(linked, "a", "b"), "components"), similarity)
     final = materialize(components(linked.union(more), "a", "b"), "components").withColumnRenamed("node", "key")

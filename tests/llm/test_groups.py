@@ -213,6 +213,47 @@ def test_similar_groups_of_a_large_family_are_exact(spark, monkeypatch):
     assert partition({r["doc_id"]: r["group"] for r in simhash.similar_groups(df).collect()}) == want
 
 
+def test_shared_shingles_are_counted_once_for_each_text(spark):
+    sets = [(1, [10, 11, 12]), (2, [10, 11, 13]), (3, [10, -14]), (4, [-15]), (5, []), (4, [-15])]
+    df = spark.createDataFrame(sets, "key long, hashes array<long>").repartition(3)
+    assert {r["key"]: r["alone"] for r in simhash._alone(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    held = simhash._held(df.where("key < 4 or key = 5")).collect()
+    assert {r["key"]: sorted(map(tuple, r["held"])) for r in held} == {1: [(10, 3), (11, 2)], 2: [(10, 3), (11, 2)], 3: [(10, 3)]}
+
+
+def test_rows_made_do_not_grow_with_the_partitions(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words[:40] + [f"x{i}"] + words[40:]) for i in range(60)]
+    df = docs(spark, texts).repartition(2).localCheckpoint()
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def made(partitions: str) -> dict[str, int]:
+        """The rows that each grouped Arrow function made."""
+        known = store.executionsCount()
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert len({r["group"] for r in simhash.similar_groups(df).collect()}) == 1
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        rows, runs = {}, store.executionsList()
+        for i in range(known, runs.size()):
+            run = runs.apply(i).executionId()
+            nodes = store.planGraph(run).allNodes()
+            arrow = [n for n in map(nodes.apply, range(nodes.size())) if "FlatMapGroupsInArrow" in n.name()]
+            ours = {n.metrics().apply(k).accumulatorId(): re.search(r"_\w+\(|run\(", n.desc())[0] for n in arrow for k in range(n.metrics().size()) if n.metrics().apply(k).name() == "number of output rows"}
+            values = store.executionMetrics(run).iterator()
+            while ours and values.hasNext():
+                value = values.next()
+                if value._1() in ours:
+                    rows[ours[value._1()]] = int(value._2().replace(",", ""))
+        return rows
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        few, many = made("4"), made("48")
+        assert few and all(many[name] <= 3 * few[name] for name in many), (few, many)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b = "one text of six words here", "another text that is like none"
     rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, "alone without any id at all"), (None, "alone without any id at all"), (3, None), (4, "")]
