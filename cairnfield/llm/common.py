@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.sources.work import large, work_dir
 from cairnfield.sources.work import table as materialize
-from cairnfield.sources.work import work_dir
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "held_out", "lean_batches", "materialize", "shuffle_partitions", "skewed_join", "small", "table", "work_dir"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "held_out", "large", "lean_batches", "materialize", "shuffle_partitions", "skewed_join", "small", "table", "work_dir"]
 
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -32,8 +32,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (Spark then shuffles both sides)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else with one to shuffle both sides.
+
+    Without the second hint Spark goes by the bytes of a file, which say nothing of the rows that an explode makes of them.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else large(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +55,9 @@ HOT_KEYS = 256
 def skewed_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
     """Inner join of ``left`` with ``right`` (key, n, ...), n being how many of the ``rows`` rows of ``left`` have the key.
 
-    The few hot keys are broadcast and their rows stay where they are; only the others are shuffled.
+    The few hot keys are broadcast and their rows stay where they are; the others are shuffled, whatever size Spark takes them for.
     """
     limit = max(1_000, rows // HOT_KEYS)
     hot = F.broadcast(right.where(F.col("n") > limit))
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= limit), key)
+    rest = left.join(hot.select(key), key, "left_anti").join(large(right.where(F.col("n") <= limit)), key)
     return left.join(hot, key).unionByName(rest)

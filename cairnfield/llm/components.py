@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import materialize
+from cairnfield.llm.common import BROADCAST_ROWS, large, materialize
 
 #: A node with over 1 / HOT_NODES of all link ends is hot: there are fewer than HOT_NODES of them, whatever the input.
 HOT_NODES = 256
@@ -20,6 +20,7 @@ def _with_least(ends: DataFrame, least: DataFrame, size: int) -> DataFrame:
     # A hot end finds its value above; it is scattered by its other end, as its own key matches nothing here.
     key = F.when(F.col("hot").isNull(), F.struct("u", F.lit(0).cast("long").alias("k"))).otherwise(F.struct("u", F.col("v").alias("k")))
     other = rest.select(F.struct(F.col("rest").alias("u"), F.lit(0).cast("long").alias("k")).alias("_key"), "rest_m")
+    other = large(other) if size > BROADCAST_ROWS else other
     both = known.withColumn("_own", key).join(other, F.col("_own") == F.col("_key"), "left")
     return both.select("u", "v", F.coalesce("hot_m", "rest_m").alias("m"))
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import materialize, small
+from cairnfield.llm.common import large, materialize, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -100,7 +100,7 @@ def anchors(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one = items.dropDuplicates(["same"]).select("same", "len", "k", F.size("shingles").alias("total"), F.explode("shingles").alias("h"))
     weights = one.groupBy("same", "len", "k", "total", "h").agg(F.count("*").alias("weight"))
     df = weights.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("df"))
-    known = weights.join(df, F.col("h") == F.col("h2")).select("same", "len", "k", "total", F.struct("df", "h", "weight").alias("s"))
+    known = weights.join(large(df), F.col("h") == F.col("h2")).select("same", "len", "k", "total", F.struct("df", "h", "weight").alias("s"))
     ordered = known.groupBy("same", "len", "k", "total").agg(F.sort_array(F.collect_list("s")).alias("s"))
     # Shingles in order of rarity until more than (1 - similarity) of the weight is taken.
     running = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda acc, y: acc + y["weight"]).alias("before")))
@@ -171,7 +171,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     starts = F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda i: F.struct(i.alias("start"), x["len"].alias("len"))))))
     prints = materialize(_cut(held, starts).select("row", "start", "len", simhash(F.col("shingles")).alias("fp")), "prints")
     brought = where.select("row", "h", "len", F.explode(F.sequence("first", "last")).alias("start"))
-    probes = materialize(prints.join(brought, ["row", "start", "len"]), "probes")
+    # A window's row unfolds to all its starts: hundreds of times the bytes that Spark sees, so it is never left to Spark to broadcast them.
+    probes = materialize(prints.join(large(brought), ["row", "start", "len"]), "probes")
     met = candidates(probes.select("h", "len", "fp").distinct(), index(items, marks))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))).alias("distance")
     found = small(materialize(met.select("h", "len", "fp", "same", distance).where(F.col("distance") <= RADIUS).distinct(), "found"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import lean_batches, materialize, shuffle_partitions, skewed_join, small
+from cairnfield.llm.common import large, lean_batches, materialize, shuffle_partitions, skewed_join, small
 from cairnfield.llm.components import components
 
 RADIUS = 3
@@ -347,7 +347,7 @@ def _quick_links(live: DataFrame, similarity: float) -> DataFrame:
     blocks = live.select("key", "sig").mapInArrow(_emit_segments(buckets), "bucket int, variants binary, keys binary")
     met = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct()
     one = live.select("key", "set", "size")
-    both = met.join(one.toDF("a", "x", "m"), "a").join(one.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", F.col("m") + F.col("n"))
+    both = met.join(large(one.toDF("a", "x", "m")), "a").join(large(one.toDF("b", "y", "n")), "b").select("a", "b", "x", "y", F.col("m") + F.col("n"))
     return materialize(both.mapInArrow(_verify(similarity), "a long, b long"), "similar")
 
 
@@ -405,8 +405,8 @@ def _remaining_links(live: DataFrame, groups: DataFrame, similarity: float) -> D
     Texts of one family are compared all with all, in blocks: a task gets two blocks of one family or many small families, and
     returns a forest over their groups, so a family costs as many rows as it has texts times blocks, not pairs. A family of one group is settled.
     """
-    named = live.select("key", "size", "set").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
-    placed = named.join(materialize(_families(live), "families").toDF("key", "family"), "key")
+    named = live.select("key", "size", "set").join(large(groups.withColumnRenamed("node", "key")), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
+    placed = named.join(large(materialize(_families(live), "families").toDF("key", "family")), "key")
     members = materialize(placed, "members")
     sums = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"), F.min("group").alias("one"), F.max("group").alias("other"))
     texts = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.col("n") / MOST_BLOCKS))
@@ -437,19 +437,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
     nodes = materialize(prints.groupBy("key").agg(one, F.max("size").alias("size"), F.max("picked").alias("picked"), F.count("*").alias("n")), "nodes")
     alone = _alone(prints.select("key", F.col("some").alias("hashes")))
-    maybe = nodes.join(alone, "key", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= similarity * F.col("size") - 1e-6).where("size > 0")
+    maybe = nodes.join(large(alone), "key", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= similarity * F.col("size") - 1e-6).where("size > 0")
     wanted = materialize(maybe.select("key", "size", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
     near = small(wanted.drop("size"))
     texts = only.join(near, (only.t == near["_t"]) & only.doc_id.eqNullSafe(near["_id"])).select("key", "text")
     sets = materialize(texts.mapInArrow(_sets, "key long, hashes array<long>"), "sets")
     if sets.count() > wanted.count():  # rows that repeat both id and text
         sets = materialize(sets.dropDuplicates(["key"]), "sets")
-    held = _held(sets).join(wanted, "key").select("key", "size", F.col("held.hash").alias("hashes"), F.col("held.n").alias("texts"))
+    held = _held(sets).join(large(wanted), "key").select("key", "size", F.col("held.hash").alias("hashes"), F.col("held.n").alias("texts"))
     live = materialize(held.mapInArrow(_live(similarity), "key long, size long, set binary, sig array<long>, prefix array<long>"), "live")
     linked = _quick_links(live, similarity)
     more = _remaining_links(live, materialize(components(linked, "a", "b"), "components"), similarity)
     final = materialize(components(linked.union(more), "a", "b"), "components").withColumnRenamed("node", "key")
-    named = nodes.join(final, "key", "left").select("key", "n", F.coalesce("component", "key").alias("group"))
+    named = nodes.join(large(final), "key", "left").select("key", "n", F.coalesce("component", "key").alias("group"))
     return skewed_join(prints.select("doc_id", "t", "key"), named, "key", prints.count()).select("doc_id", "t", "key", "group")
 
 
@@ -472,4 +472,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = told.where("stays = 1 and n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
     if again.isEmpty():
         return kept
+    again = small(again)
     return kept.unionByName(docs.join(again, at(again), "left_semi").dropDuplicates([id_col, text_col]))
